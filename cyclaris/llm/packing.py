@@ -14,6 +14,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -38,23 +39,30 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_padding()
-        self.slow.no_truncation()
-        special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        self.path, self.slow = path, None
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
 
+    def _slowly(self, text: str) -> bytes:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.no_padding()
+            self.slow.no_truncation()
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
         except Exception:  # the engine's own error types: its stack or its budget of steps ran out
-            return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._slowly(text)
 
 
 _encoders: dict[str, Encoder] = {}
