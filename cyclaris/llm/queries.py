@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, simhash
+from . import bpe, packing, quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op9_secret_scans": secrets.query,
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
+    "op5_sharding": sharding.query,
     "op7_best_fit_packing": packing.query,
 }
 
