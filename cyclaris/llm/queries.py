@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, sharding, simhash
+from . import bpe, packing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op9_secret_scans": secrets.query,
+    "op2_warc": warc.query,
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
     "op5_sharding": sharding.query,
