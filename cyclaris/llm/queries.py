@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, packing, quality, secrets, sharding, simhash, warc
+from . import bpe, embedding_dedup, html_text, packing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op8_html_extraction": html_text.query,
     "op9_secret_scans": secrets.query,
     "op2_warc": warc.query,
+    "op10_embedding_dedup": embedding_dedup.query,
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
     "op5_sharding": sharding.query,
