@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_text, packing, quality, secrets, sharding, simhash, warc
+from . import bpe, embedding_dedup, html_text, katz, packing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
     "op5_sharding": sharding.query,
+    "op6_katz_scores": katz.query,
     "op7_best_fit_packing": packing.query,
 }
 
