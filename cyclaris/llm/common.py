@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are no longer in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() gave and that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, path)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

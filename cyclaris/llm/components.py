@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, written
+from .common import dropped, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,8 +33,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         after = written(_star(_star(links, True), False), "links")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        for path in {f.rsplit("/", 1)[0] for f in links.inputFiles()}:
-            removed(links.sparkSession, path)
+        dropped(links)
         links = after
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, released, table, written
 
 #: Bytes of text to a block; tokens to a part; highest count that is discounted.
 BLOCK_BYTES, PART_TOKENS, DISCOUNTED = 12 << 20, 2_000_000, 5
-END_HASH, START_HASH = np.uint64(1), np.uint64(2)
+END_HASH = np.uint64(1)
+#: The number of the start of a text as a context; the numbers of words begin at 1.
+START = 0
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -40,7 +42,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
     head = ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
     data = len(head).to_bytes(4, "little") + head + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays])
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -62,9 +64,14 @@ def smallest(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of pairs of 64-bit hashes."""
-    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b * np.uint64(0x9E3779B97F4A7C15)
+def steps(a: np.ndarray) -> np.ndarray:
+    """Rising numbers as small differences; np.cumsum undoes it."""
+    return smallest(np.diff(a, prepend=0))
+
+
+def scattered(a: np.ndarray) -> np.ndarray:
+    """Numbers, hashed to 64 bits."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
@@ -119,8 +126,8 @@ def held_out(doc_id: int | None) -> bool:
 BLOCK = "block long, n_tokens long, ids array<long>, lengths binary, held binary, tokens binary, words binary"
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of texts as numbers of their own words; word 0 ends a text."""
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Blocks of texts as numbers of their own words (word 0 ends a text), and the blocks' words."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -132,18 +139,15 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 self[word] = n = len(self) + 1
                 return n
 
-        def row() -> pd.DataFrame:
+        def rows() -> pd.DataFrame:
             lengths = np.array([len(t) for t in texts], np.uint32)
             tokens, held = np.concatenate(texts), np.array([held_out(i) for i in ids])
             trained = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words) + 1)
             hashes = np.fromiter((digest(w, 7) for w in words), np.uint64, len(words))
             hashes = np.concatenate(([END_HASH], hashes))
-            return pd.DataFrame(
-                {
-                    "block": [number], "n_tokens": [len(tokens)], "ids": [ids], "lengths": [pack(smallest(lengths))],
-                    "held": [pack(held)], "tokens": [pack(smallest(tokens))], "words": [pack(hashes, smallest(trained))],
-                }
-            )
+            texts_of = (number, len(tokens), ids, pack(smallest(lengths)), pack(held), pack(smallest(tokens)), None)
+            words_of = (number, None, None, None, None, None, pack(hashes, smallest(trained)))
+            return pd.DataFrame([texts_of, words_of], columns=[x.split()[0] for x in BLOCK.split(", ")]).astype({"n_tokens": "Int64"})
 
         words, texts, ids, size = Numbers(), [], [], 0
         for b in batches:
@@ -154,134 +158,113 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 ids.append(None if pd.isna(doc) else int(doc))
                 size += len(data) + 16
                 if size >= block_bytes:
-                    yield row()
+                    yield rows()
                     words, texts, ids, size, number = Numbers(), [], [], 0, number + 1
         if texts:
-            yield row()
+            yield rows()
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(typed.mapInPandas(cut, BLOCK), "blocks")
-
+    made = written(typed.mapInPandas(cut, BLOCK), "blocks")
+    return made.where("words is null").drop("words"), made.where("words is not null").select("block", "words")
 
-def word_counts(made: DataFrame, parts: int) -> DataFrame:
-    """block, part, counts (packed word numbers and their training counts in all blocks), stats of the part's words.
 
-    A part also has a row without a block: the model's table of its words, hashes and counts.
-    """
+def word_counts(words: DataFrame, parts: int) -> DataFrame:
+    """The words of all blocks, counted: rows of a block and part with the block's word numbers and, for each, its corpus
+    number and training count; and a row without a block for each part, the model's table of hashes, numbers and counts."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, words in zip(b["block"], b["words"]):
-                hashes, c = unpack(words)
+            for block, data in zip(b["block"], b["words"]):
+                hashes, c = unpack(data)
                 part = (hashes % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(int(p), block, pack(smallest(i), hashes[i], c[i])) for p in np.unique(part) for i in [order[ends[p] : ends[p + 1]]]]
+                rows = [(int(p), block, pack(steps(i), hashes[i], c[i])) for p in np.unique(part) for i in [order[ends[p] : ends[p + 1]]]]
                 yield pd.DataFrame(rows, columns=["part", "block", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(x) for x in pdf["data"]]
         hashes, inverse = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([g[2] for g in got]), len(hashes)).astype(np.int64)
-        rows, at, part = [], 0, int(pdf["part"].iloc[0])
-        for block, (numbers, _, _) in zip(pdf["block"], got):
-            rows.append((part, block, pack(numbers, smallest(total[inverse[at : at + len(numbers)]])), None))
-            at += len(numbers)
-        rows.append((part, None, pack(hashes, smallest(total)), counted(total)))
+        part = int(pdf["part"].iloc[0])
+        # The more frequent, the smaller the number.
+        place = np.empty(len(total), np.int64)
+        place[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        number = place * parts + part + 1
+        rows, at = [], 0
+        for block, (own, _, _) in zip(pdf["block"], got):
+            i = inverse[at : at + len(own)]
+            rows.append((part, block, pack(own, smallest(number[i]), smallest(total[i])), None))
+            at += len(own)
+        rows.append((part, None, pack(hashes, smallest(number), smallest(total)), counted(total)))
         out = pd.DataFrame(rows, columns=["part", "block", "counts", "stats"])
         out["block"] = out["block"].astype("Int64")
         return out
 
-    dealt = made.select("block", "words").mapInPandas(deal, "part long, block long, data binary")
+    dealt = words.mapInPandas(deal, "part long, block long, data binary")
     return written(dealt.groupBy("part").applyInPandas(add, "part long, block long, counts binary, stats array<long>"), "words")
 
 
-def _block_counts(counts: list, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    for data in counts:
-        numbers, c = unpack(data)
-        out[numbers] = c
-    return out
-
-
-PAIRS = "part long, block long, data binary"
-
-
-def pairs(made: DataFrame, counts: DataFrame, parts: int, model: tuple) -> tuple[DataFrame, DataFrame]:
-    """The pairs of each block, dealt out to parts; and block, ids, held, n_tokens, n_known, base_score of its documents."""
-    total, kinds, starts = model
-    most = max(1, total // (4 * parts))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for block, ids, lengths, held, tokens, words, back in b.itertuples(index=False):
-                (lengths,), (held,), (tokens,), (hashes, _) = map(unpack, (lengths, held, tokens, words))
-                lengths = lengths.astype(np.int64)
-                tokens, n = tokens.astype(np.int64), len(hashes)
-                c = _block_counts(back, n)
-                starts_at = np.cumsum(lengths) - lengths
-                logs = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-                base = np.add.reduceat(logs[tokens], starts_at)
-                known = np.add.reduceat((c > 0)[tokens].astype(np.int64), starts_at)
-                # Number n is the start of a text, which is a context only.
-                before = np.concatenate(([n], tokens[:-1]))
-                before[starts_at] = n
-                hashes, c = np.append(hashes, START_HASH), np.append(c, starts)
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                key = before * (n + 1) + tokens
-                order = np.argsort(key, kind="stable")
-                key, doc = key[order], doc[order]
-                new_pair = np.concatenate(([True], key[1:] != key[:-1]))
-                new_entry = new_pair | np.concatenate(([True], doc[1:] != doc[:-1]))
-                at = np.flatnonzero(new_entry)
-                times, entry_doc = np.diff(np.append(at, len(key))), doc[at]
-                entries = np.diff(np.append(np.flatnonzero(new_pair[at]), len(at)))
-                first, second = np.divmod(key[new_pair], n + 1)
-                first_entry = np.cumsum(entries) - entries
-                trained = np.add.reduceat(np.where(held[entry_doc], 0, times), first_entry)
-                spread = (c // most + 1).astype(np.uint64)[first]
-                part = mixed(hashes[first], mixed(hashes[second], hashes[second]) % spread) % np.uint64(parts)
-                part = part.astype(np.int64)
-                by_part = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[by_part], np.arange(parts + 1))
-                for p in np.unique(part):
-                    i = by_part[ends[p] : ends[p + 1]]
-                    a, a_code = np.unique(first[i], return_inverse=True)
-                    w, w_code = np.unique(second[i], return_inverse=True)
-                    k = entries[i]
-                    e = np.repeat(first_entry[i] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-                    data = pack(
-                        hashes[a], smallest(c[a]), smallest(a_code), hashes[w], smallest(c[w]), smallest(w_code),
-                        smallest(trained[i]), smallest(k), smallest(entry_doc[e]), smallest(times[e]),
-                    )
-                    yield pd.DataFrame([(int(p), block, data)], columns=["part", "block", "data"])
-                docs = pack(known, base)
-                yield pd.DataFrame([(-1, block, docs)], columns=["part", "block", "data"])
-
-    back = counts.where("block is not null").groupBy("block").agg(F.collect_list("counts").alias("back"))
-    whole = made.select("block", "ids", "lengths", "held", "tokens", "words").join(back, "block")
-    dealt = whole.mapInPandas(deal, PAIRS)
-    out = written(dealt, "pairs")
-    return out.where("part >= 0"), out.where("part = -1")
+def _pairs_of(tokens: np.ndarray, lengths: np.ndarray, number: np.ndarray, c: np.ndarray, held: np.ndarray, starts: int, most: int, parts: int) -> Iterator[tuple[int, bytes]]:
+    """The packed pairs of a block, by part. number and c: of the block's words, the corpus number and count."""
+    n = len(number)
+    # Number n is the start of a text, which is a context only.
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = n
+    number, c = np.append(number, START), np.append(c, starts)
+    key = before.astype(np.int64) * (n + 1) + tokens
+    del before
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+    del order
+    new_pair = np.concatenate(([True], key[1:] != key[:-1]))
+    at = np.flatnonzero(new_pair | np.concatenate(([True], doc[1:] != doc[:-1])))
+    times, entry_doc = smallest(np.diff(np.append(at, len(key)))), smallest(doc[at])
+    entries = np.diff(np.append(np.flatnonzero(new_pair[at]), len(at)))
+    first, second = np.divmod(key[new_pair], n + 1)
+    del key, doc, at, new_pair
+    first_entry = np.cumsum(entries) - entries
+    trained = smallest(np.add.reduceat(np.where(held[entry_doc], 0, times), first_entry))
+    spread = (c // most + 1).astype(np.uint64)[first]
+    part = (scattered(scattered(number[first]) + scattered(number[second]) % spread) % np.uint64(parts)).astype(np.int64)
+    by_part = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[by_part], np.arange(parts + 1))
+    for p in np.unique(part):
+        i = by_part[ends[p] : ends[p + 1]]
+        k = entries[i]
+        e = np.repeat(first_entry[i] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        codes = []
+        for own in (first[i], second[i]):
+            corpus, code = np.unique(number[own], return_inverse=True)
+            count = np.zeros(len(corpus), np.int64)
+            count[code] = c[own]
+            codes += [steps(corpus), smallest(count), smallest(code)]
+        yield int(p), pack(*codes, trained[i], smallest(k), entry_doc[e], times[e])
 
 
 class Part:
     """The pairs of one part from all blocks."""
 
     def __init__(self, data: list[bytes]) -> None:
-        got = [unpack(x) for x in data]
-        self.pieces = [(g[7].astype(np.int64), g[8], g[9]) for g in got]
-        self.sizes = [len(g[6]) for g in got]
-        first = np.concatenate([g[0][g[2]] for g in got])
-        second = np.concatenate([g[3][g[5]] for g in got])
-        self.context_count = np.concatenate([g[1][g[2]].astype(np.int64) for g in got])
-        self.word_count = np.concatenate([g[4][g[5]].astype(np.int64) for g in got])
-        _, at, self.kind = np.unique(mixed(first, second), return_index=True, return_inverse=True)
-        self.count = np.bincount(self.kind, np.concatenate([g[6] for g in got]), len(at)).astype(np.int64)
-        self.at = at  # one row of each pair
+        self.pieces, first, second, c_first, c_second, trained = [], [], [], [], [], []
+        for x in data:
+            a, ca, a_code, w, cw, w_code, t, k, doc, times = unpack(x)
+            self.pieces.append((k, doc, times))
+            first.append(np.cumsum(a, dtype=np.uint64)[a_code])
+            second.append(np.cumsum(w, dtype=np.uint64)[w_code])
+            c_first.append(ca.astype(np.int64)[a_code])
+            c_second.append(cw.astype(np.int64)[w_code])
+            trained.append(t)
+        first, second, self.word_count = map(np.concatenate, (first, second, c_second))
+        words, second = np.unique(second, return_inverse=True)
         self.contexts, self.context = np.unique(first, return_inverse=True)
         self.total = np.zeros(len(self.contexts), np.int64)
-        self.total[self.context] = self.context_count
+        self.total[self.context] = np.concatenate(c_first)
+        key = self.context * len(words) + second
+        del first, second, words, c_first, c_second
+        _, self.at, self.kind = np.unique(key, return_index=True, return_inverse=True)
+        self.count = np.bincount(self.kind, np.concatenate(trained), len(self.at)).astype(np.int64)
 
     def sums(self, unigrams: Unigrams) -> np.ndarray:
         """Of each context: seen words by count 1..DISCOUNTED, the sum of higher counts, the sum of P of seen words."""
@@ -300,18 +283,70 @@ class Part:
         none_left = left < 1e-9 * total
         scale, left = np.where(none_left, total + 1, total), np.where(none_left, 1.0, left)
         alpha = np.where(self.total > 0, left / scale / (1 - sums[:, DISCOUNTED + 1]), 1.0)
-        c, context = self.count[self.kind], self.context
+        c, context = self.count, self.context[self.at]
         seen = d[np.minimum(c, DISCOUNTED)] * c
         seen = np.where(c > DISCOUNTED, c, seen) / scale[context]
-        return np.log10(np.where(c > 0, seen, alpha[context] * unigrams(self.word_count)))
+        logs = np.log10(np.where(c > 0, seen, alpha[context] * unigrams(self.word_count[self.at])))
+        return logs[self.kind]
+
+
+PART = "part long, block array<long>, data array<binary>, context long, sums array<double>, stats array<long>"
+
+
+def gathered(made: DataFrame, counts: DataFrame, parts: int, unigrams: Unigrams, kinds: int, starts: int) -> DataFrame:
+    """Rows of three sorts: a part with the pairs of all blocks and its counts of counts; a wide context of a part with its
+    sums there; and, under a part below zero, a block with the packed n_known and base_score of its texts."""
+    total = unigrams.total
+    most = max(1, total // (4 * parts))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, lengths, held, tokens, back in b.itertuples(index=False):
+                (lengths,), (held,), (tokens,) = map(unpack, (lengths, held, tokens))
+                got = [unpack(x) for x in back]
+                own = [np.cumsum(g[0], dtype=np.int64) for g in got]
+                n = sum(map(len, own))
+                number, c = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for i, (_, number_i, c_i) in zip(own, got):
+                    number[i], c[i] = number_i, c_i
+                del got, own
+                tokens, lengths = tokens.astype(np.int32), lengths.astype(np.int64)
+                at = np.cumsum(lengths) - lengths
+                logs = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+                base = np.add.reduceat(logs[tokens], at)
+                known = np.add.reduceat((c > 0)[tokens].astype(np.int32), at)
+                yield pd.DataFrame([(-1 - block % parts, block, pack(known, base))], columns=["part", "block", "data"])
+                for p, data in _pairs_of(tokens, lengths, number, c, held, starts, most, parts):
+                    yield pd.DataFrame([(p, block, data)], columns=["part", "block", "data"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, blocks_, data = int(pdf["part"].iloc[0]), pdf["block"].tolist(), pdf["data"].tolist()
+        if number < 0:
+            rows = [(number, [b], [x], None, None, None) for b, x in zip(blocks_, data)]
+        else:
+            part = Part(data)
+            rows = [(number, blocks_, data, None, None, counted(part.count))]
+            wide = np.flatnonzero(part.total >= most)
+            if len(wide):
+                sums = part.sums(unigrams)
+                rows += [(number, None, None, int(part.contexts[i]), sums[i].tolist(), None) for i in wide]
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")])
+        out["context"] = out["context"].astype("Int64")
+        return out
+
+    back = counts.where("block is not null").groupBy("block").agg(F.collect_list("counts").alias("back"))
+    whole = made.select("block", "lengths", "held", "tokens").join(back, "block")
+    dealt = whole.mapInPandas(deal, "part long, block long, data binary")
+    return written(dealt.groupBy("part").applyInPandas(count, PART), "parts")
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    made = blocks(docs)
+    spark = docs.sparkSession
+    made, words = blocks(docs)
     tokens = made.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(4, -(-tokens // PART_TOKENS))
-    counts = word_counts(made, parts)
+    counts = word_counts(words, parts)
     *by_count, above, kinds, total = _stats(counts)
     unigrams = Unigrams(total, np.array([0, *by_count]), above)
 
@@ -320,48 +355,37 @@ def scored(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"n": [int((~unpack(x)[0]).sum()) for x in b["held"]]})
 
     starts = made.select("held").mapInPandas(trained, "n long").agg(F.sum("n")).first()[0] or 0
-    dealt, about = pairs(made, counts, parts, (total, kinds, starts))
-    most = max(1, total // (4 * parts))
-    n_sums = DISCOUNTED + 2
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = Part(list(pdf["data"]))
-        rows = [(int(pdf["part"].iloc[0]), None, None, counted(part.count))]
-        wide = np.flatnonzero(part.total >= most)
-        if len(wide):
-            sums = part.sums(unigrams)
-            rows += [(rows[0][0], int(part.contexts[i].astype(np.int64)), sums[i].tolist(), None) for i in wide]
-        out = pd.DataFrame(rows, columns=["part", "context", "sums", "stats"])
-        out["context"] = out["context"].astype("Int64")
-        return out
-
-    model = written(dealt.groupBy("part").applyInPandas(count, "part long, context long, sums array<double>, stats array<long>"), "contexts")
-    *pair_counts, _, _, _ = _stats(model)
+    released(spark)
+    model = gathered(made, counts, parts, unigrams, kinds, starts)
+    dropped(counts)
+    released(spark)
+    *pair_counts, _, _, _ = _stats(model.where("stats is not null"))
     d = discounts(np.array([0, *pair_counts]))
-    wide = model.where("context is not null")
-    joined = wide.groupBy("context").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(n_sums))).alias("all"))
+    wide = model.where("context is not null").select("part", "context", "sums")
+    joined = wide.groupBy("context").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(DISCOUNTED + 2))).alias("all"))
     wide = wide.select("part", "context").join(joined, "context").groupBy("part")
-    wide = wide.agg(F.collect_list(F.struct("context", "all")).alias("wide"))
-
-    def score(key: tuple, pdf: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(pdf):
-            part = Part(list(pdf["data"]))
-            sums = part.sums(unigrams)
-            for x in extra["wide"].iloc[0] if len(extra) else ():
-                i = np.searchsorted(part.contexts, np.int64(x["context"]).astype(np.uint64))
-                sums[i] = x["all"]
-            logs, at = part.scores(unigrams, d, sums), 0
-            for block, size, (k, doc, times) in zip(pdf["block"], part.sizes, part.pieces):
-                value = np.repeat(logs[at : at + size], k) * times
-                ids, inverse = np.unique(doc, return_inverse=True)
-                rows.append((block, pack(smallest(ids), np.bincount(inverse, value, len(ids)))))
-                at += size
-        return pd.DataFrame(rows, columns=["block", "sums"])
-
-    gathered = dealt.groupBy("part").cogroup(wide.groupBy("part")).applyInPandas(score, "block long, sums binary")
-    sums = gathered.groupBy("block").agg(F.collect_list("sums").alias("sums"))
-    whole = made.select("block", "ids", "lengths", "held").join(about.select("block", "data"), "block").join(sums, "block")
+    wide = written(wide.agg(F.collect_list(F.struct("context", "all")).alias("wide")), "wide")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for blocks_, data, wide_of in b.itertuples(index=False):
+                part = Part(list(data))
+                sums = part.sums(unigrams)
+                for x in wide_of if wide_of is not None else ():
+                    sums[np.searchsorted(part.contexts, np.uint64(x["context"]))] = x["all"]
+                logs, at, rows = part.scores(unigrams, d, sums), 0, []
+                for block, (k, doc, times) in zip(blocks_, part.pieces):
+                    value = np.repeat(logs[at : at + len(k)], k) * times
+                    ids, inverse = np.unique(doc, return_inverse=True)
+                    rows.append((block, pack(steps(ids), np.bincount(inverse, value, len(ids)))))
+                    at += len(k)
+                yield pd.DataFrame(rows, columns=["block", "sums"])
+
+    pairs = model.where("stats is not null").select("part", "block", "data").join(wide, "part", "left")
+    partial = pairs.select("block", "data", "wide").mapInPandas(score, "block long, sums binary")
+    sums = partial.groupBy("block").agg(F.collect_list("sums").alias("sums"))
+    about = model.where("part < 0").select(F.get("block", F.lit(0)).alias("block"), F.get("data", F.lit(0)).alias("data"))
+    whole = made.select("block", "ids", "lengths", "held").join(about, "block").join(sums, "block")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -370,8 +394,8 @@ def scored(docs: DataFrame) -> DataFrame:
                 log = np.zeros(len(lengths))
                 for x in got:
                     i, v = unpack(x)
-                    log[i] += v
-                out = pd.DataFrame({"held_out": held, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": base, "score": log})
+                    log[np.cumsum(i, dtype=np.int64)] += v
+                out = pd.DataFrame({"held_out": held, "n_tokens": lengths.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": total, "base_score": base, "score": log})
                 out.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"))
                 yield out
 
