@@ -320,3 +320,20 @@ def recall(vectors: DataFrame, result: DataFrame, every: int = 50, radius: float
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+with recursive v as (
+  select row_number() over () as row_id, vec_id, embedding::double[] as e,
+    coalesce(len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(embedding, lambda x: abs(x))) > 0, false) as fine
+  from embeddings),
+u as (select row_id, vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v where fine),
+pairs as (
+  select a.row_id as a, b.row_id as b from u a join u b on a.row_id <> b.row_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) >= {RADIUS}),
+reach as (select row_id as a, row_id as b from v union select r.a, p.b from reach r join pairs p on r.b = p.a),
+least as (select a as row_id, min(vec_id) as component_id from reach join v on reach.b = v.row_id group by a),
+counts as (select a as row_id, count(*) as n_links from pairs group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+from v left join counts using (row_id) left join least using (row_id)
+"""

@@ -23,4 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_warc": warc.ORACLE,
+    "op9_secret_scans": secrets.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
 }

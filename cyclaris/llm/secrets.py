@@ -168,3 +168,51 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(BASE), 256).alias("base_sha256"),
         listed(KINDS).alias("spans"),
     )
+
+
+def _sql_kind(kind: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    gaps = f"regexp_split_to_array(text, '{quoted}')"
+    return f"""select row_id, {_RANK.get(kind, len(_RANK))} as rank, unnest(list_zip({gaps}, regexp_extract_all(text, '{quoted}'))) as p,
+        generate_subscripts({gaps}, 1) as i from d where regexp_matches(text, '{quoted}')"""
+
+
+def _group_2(pattern: str, least: int) -> str:
+    return f"length(regexp_extract(m, '{pattern.replace(chr(39), 2 * chr(39))}', 2)) >= {least}"
+
+
+def _oracle() -> str:
+    kinds = " union all ".join(_sql_kind(k, p) for k, (p, _) in KINDS.items())
+    r = _RANK
+    valid = f"""case rank when {r["assign"]} then {_group_2(_SECRET, 6)} when {r["id"]} then {_group_2(_NAME, 3)}
+      when {r["key"]} then length(m) between 40 and 88 and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')
+      else true end"""
+    secrets, names = (", ".join(str(r[k]) for k in ks) for ks in (SECRETS, NAMES))
+    shown = ", ".join(f"'{k}'" for k in KINDS)
+    return f"""
+with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text from documents),
+found as ({kinds} union all {_sql_kind("break", _BREAK)}),
+placed as (
+  select row_id, rank, p[2] as m, sum(length(p[1]) + coalesce(length(p[2]), 0)) over (partition by row_id, rank order by i) as stop
+  from found),
+parts as (
+  select row_id, rank, m, stop - length(m) as start, stop, {valid} as valid from placed where m is not null),
+scoped as (
+  select *, sum((rank = {len(_RANK)})::int) over (partition by row_id order by start) as scope from parts),
+linked as (
+  select *, max((valid and rank in ({secrets}))::int) over near as secret, max((valid and rank in ({names}))::int) over near as name
+  from scoped window near as (partition by row_id, scope order by start range between {WINDOW} preceding and {WINDOW} following)),
+spans as (
+  select row_id, rank, start::bigint || ':' || stop::bigint as place, start from linked where valid and (rank < 3
+    or rank = {r["id"]} and secret = 1 or rank = {r["key"]} and name = 1 or rank = {r["endpoint"]} and secret = 1 and name = 1)),
+each as (
+  select row_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+    string_agg([{shown}][rank + 1] || ':' || place, ',' order by start, rank) filter (rank < 3) as base,
+    string_agg([{shown}][rank + 1] || ':' || place, ',' order by start, rank) as spans from spans group by row_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join each using (row_id)
+"""
+
+
+ORACLE = _oracle()

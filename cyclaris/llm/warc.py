@@ -299,3 +299,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = archived(table(spark, sf_dir, "pages"), new_path(spark, "archives"))
     wanted = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return records(manifest, wanted).select(*wanted)
+
+
+ORACLE = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d from pages),
+bits as (
+  select *, array_to_string(list_transform(string_split(d, ''), lambda h: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', h) - 1)::int + 1, 4)), '') as b,
+    max(page_id) over (partition by html) as last_id
+  from p),
+named as (
+  select page_id, strlen(html)::bigint as payload_bytes, last_id, array_to_string(list_transform(range(0, 32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * substr(b, 5 * i + 1, 1)::int + 8 * substr(b, 5 * i + 2, 1)::int
+    + 4 * substr(b, 5 * i + 3, 1)::int + 2 * substr(b, 5 * i + 4, 1)::int + substr(b, 5 * i + 5, 1)::int + 1)::int, 1)), '') as payload_digest
+  from bits)
+select page_id, payload_bytes, payload_digest,
+  case when last_id is not null and page_id is distinct from last_id then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from last_id then last_id end as refers_to
+from named
+"""
