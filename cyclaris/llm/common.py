@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII white space that separates words.
-SPACE = r"[\x20\x09-\x0D]"
+#: Settings for the writes of tables: shuffle files go once a write is done (else they stay until the driver collects its
+#: garbage), and batches for Python are bounded in bytes.
+_WRITES = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,23 +32,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors don't take it along."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and lost executors don't take it along.
 
+    by: a column of whose values each gets a folder of its own.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in _WRITES}
+    for k, v in _WRITES.items():
+        spark.conf.set(k, v)
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
-def released(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are no longer in use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that written() gave and that nothing reads any more."""
+def dropped(df: DataFrame, folder: str = "") -> None:
+    """Deletes a table that written() gave, or one folder of it, that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        removed(df.sparkSession, path)
+        if path.endswith(folder):
+            removed(df.sparkSession, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:

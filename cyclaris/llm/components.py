@@ -26,7 +26,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node that has a link to another; component is the smallest node that it reaches."""
+    """(node, component) for every node that reaches a smaller one; component is the smallest that it reaches."""
     links = links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links = written(links, "links")
     state = None

@@ -27,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, released, table, written
+from .common import dropped, table, written
 
-#: Bytes of text to a block; tokens to a part; highest count that is discounted.
-BLOCK_BYTES, PART_TOKENS, DISCOUNTED = 12 << 20, 2_000_000, 5
+#: Bytes of text to a block; tokens to a part; highest count that is discounted; texts of a block from which on a pair
+#: travels without them.
+BLOCK_BYTES, PART_TOKENS, DISCOUNTED, MANY = 8 << 20, 2_000_000, 5, 12
 END_HASH = np.uint64(1)
 #: The number of the start of a text as a context; the numbers of words begin at 1.
 START = 0
@@ -123,7 +124,7 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-BLOCK = "block long, n_tokens long, ids array<long>, lengths binary, held binary, tokens binary, words binary"
+BLOCK = "kind string, block long, n_tokens long, ids array<long>, lengths binary, held binary, tokens binary, words binary"
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -145,8 +146,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
             trained = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words) + 1)
             hashes = np.fromiter((digest(w, 7) for w in words), np.uint64, len(words))
             hashes = np.concatenate(([END_HASH], hashes))
-            texts_of = (number, len(tokens), ids, pack(smallest(lengths)), pack(held), pack(smallest(tokens)), None)
-            words_of = (number, None, None, None, None, None, pack(hashes, smallest(trained)))
+            texts_of = ("texts", number, len(tokens), ids, pack(smallest(lengths)), pack(held), pack(smallest(tokens)), None)
+            words_of = ("words", number, None, None, None, None, None, pack(hashes, smallest(trained)))
             return pd.DataFrame([texts_of, words_of], columns=[x.split()[0] for x in BLOCK.split(", ")]).astype({"n_tokens": "Int64"})
 
         words, texts, ids, size = Numbers(), [], [], 0
@@ -164,8 +165,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
             yield rows()
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = written(typed.mapInPandas(cut, BLOCK), "blocks")
-    return made.where("words is null").drop("words"), made.where("words is not null").select("block", "words")
+    made = written(typed.mapInPandas(cut, BLOCK), "blocks", by="kind")
+    return made.where("kind = 'texts'").drop("words"), made.where("kind = 'words'").select("block", "words")
 
 
 def word_counts(words: DataFrame, parts: int) -> DataFrame:
@@ -206,7 +207,10 @@ def word_counts(words: DataFrame, parts: int) -> DataFrame:
 
 
 def _pairs_of(tokens: np.ndarray, lengths: np.ndarray, number: np.ndarray, c: np.ndarray, held: np.ndarray, starts: int, most: int, parts: int) -> Iterator[tuple[int, bytes]]:
-    """The packed pairs of a block, by part. number and c: of the block's words, the corpus number and count."""
+    """The packed pairs of a block, by part; and under -1 those of many texts, with their texts.
+
+    number and c: of the block's words, the corpus number and count.
+    """
     n = len(number)
     # Number n is the start of a text, which is a context only.
     before = np.empty_like(tokens)
@@ -226,21 +230,27 @@ def _pairs_of(tokens: np.ndarray, lengths: np.ndarray, number: np.ndarray, c: np
     del key, doc, at, new_pair
     first_entry = np.cumsum(entries) - entries
     trained = smallest(np.add.reduceat(np.where(held[entry_doc], 0, times), first_entry))
+
+    def texts_of(i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e = np.repeat(first_entry[i] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return entry_doc[e], times[e]
+
+    many = np.flatnonzero(entries >= MANY)
+    yield -1, pack(number[first[many]], number[second[many]], entries[many], *texts_of(many, entries[many]))
     spread = (c // most + 1).astype(np.uint64)[first]
     part = (scattered(scattered(number[first]) + scattered(number[second]) % spread) % np.uint64(parts)).astype(np.int64)
     by_part = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[by_part], np.arange(parts + 1))
     for p in np.unique(part):
         i = by_part[ends[p] : ends[p + 1]]
-        k = entries[i]
-        e = np.repeat(first_entry[i] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        k = np.where(entries[i] >= MANY, 0, entries[i])
         codes = []
         for own in (first[i], second[i]):
             corpus, code = np.unique(number[own], return_inverse=True)
             count = np.zeros(len(corpus), np.int64)
             count[code] = c[own]
             codes += [steps(corpus), smallest(count), smallest(code)]
-        yield int(p), pack(*codes, trained[i], smallest(k), entry_doc[e], times[e])
+        yield int(p), pack(*codes, trained[i], smallest(k), *texts_of(i, k))
 
 
 class Part:
@@ -250,29 +260,35 @@ class Part:
         self.pieces, first, second, c_first, c_second, trained = [], [], [], [], [], []
         for x in data:
             a, ca, a_code, w, cw, w_code, t, k, doc, times = unpack(x)
-            self.pieces.append((k, doc, times))
-            first.append(np.cumsum(a, dtype=np.uint64)[a_code])
-            second.append(np.cumsum(w, dtype=np.uint64)[w_code])
-            c_first.append(ca.astype(np.int64)[a_code])
-            c_second.append(cw.astype(np.int64)[w_code])
+            first.append(np.cumsum(a, dtype=np.int64)[a_code])
+            second.append(np.cumsum(w, dtype=np.int64)[w_code])
+            c_first.append(ca[a_code])
+            c_second.append(cw[w_code])
             trained.append(t)
-        first, second, self.word_count = map(np.concatenate, (first, second, c_second))
-        words, second = np.unique(second, return_inverse=True)
-        self.contexts, self.context = np.unique(first, return_inverse=True)
+            back = np.flatnonzero(k == 0)
+            self.pieces.append((k, doc, times, back, first[-1][back], second[-1][back]))
+        words, second = np.unique(np.concatenate(second), return_inverse=True)
+        key = second
+        self.contexts, context = np.unique(np.concatenate(first), return_inverse=True)
+        del first, second
         self.total = np.zeros(len(self.contexts), np.int64)
-        self.total[self.context] = np.concatenate(c_first)
-        key = self.context * len(words) + second
-        del first, second, words, c_first, c_second
-        _, self.at, self.kind = np.unique(key, return_index=True, return_inverse=True)
-        self.count = np.bincount(self.kind, np.concatenate(trained), len(self.at)).astype(np.int64)
+        self.total[context] = np.concatenate(c_first)
+        key += context * len(words)
+        del words, c_first
+        _, at, kind = np.unique(key, return_index=True, return_inverse=True)
+        del key
+        self.kind = kind.astype(np.int32)
+        self.count = np.bincount(kind, np.concatenate(trained), len(at)).astype(np.int64)
+        # Of each pair: its context, and the training count of its word.
+        self.context, self.word_count = context[at], np.concatenate(c_second)[at].astype(np.int64)
 
     def sums(self, unigrams: Unigrams) -> np.ndarray:
         """Of each context: seen words by count 1..DISCOUNTED, the sum of higher counts, the sum of P of seen words."""
         seen = self.count > 0
-        where, c = self.context[self.at][seen], self.count[seen]
+        where, c = self.context[seen], self.count[seen]
         out = np.zeros((len(self.contexts), DISCOUNTED + 2))
         np.add.at(out, (where, np.minimum(c, DISCOUNTED + 1) - 1), np.where(c > DISCOUNTED, c, 1))
-        np.add.at(out, (where, DISCOUNTED + 1), unigrams(self.word_count[self.at][seen]))
+        np.add.at(out, (where, DISCOUNTED + 1), unigrams(self.word_count[seen]))
         return out
 
     def scores(self, unigrams: Unigrams, d: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -283,25 +299,21 @@ class Part:
         none_left = left < 1e-9 * total
         scale, left = np.where(none_left, total + 1, total), np.where(none_left, 1.0, left)
         alpha = np.where(self.total > 0, left / scale / (1 - sums[:, DISCOUNTED + 1]), 1.0)
-        c, context = self.count, self.context[self.at]
+        c, context = self.count, self.context
         seen = d[np.minimum(c, DISCOUNTED)] * c
         seen = np.where(c > DISCOUNTED, c, seen) / scale[context]
-        logs = np.log10(np.where(c > 0, seen, alpha[context] * unigrams(self.word_count[self.at])))
+        logs = np.log10(np.where(c > 0, seen, alpha[context] * unigrams(self.word_count)))
         return logs[self.kind]
 
 
-PART = "part long, block array<long>, data array<binary>, context long, sums array<double>, stats array<long>"
-
-
-def gathered(made: DataFrame, counts: DataFrame, parts: int, unigrams: Unigrams, kinds: int, starts: int) -> DataFrame:
-    """Rows of three sorts: a part with the pairs of all blocks and its counts of counts; a wide context of a part with its
-    sums there; and, under a part below zero, a block with the packed n_known and base_score of its texts."""
-    total = unigrams.total
+def pairs(made: DataFrame, counts: DataFrame, parts: int, total: int, kinds: int, starts: int) -> DataFrame:
+    """The packed pairs of each block, by part; and, under odd parts below zero, what is known of each block's texts (id
+    and whether there is one, tokens, whether held out, n_known, base_score), under even ones the pairs of many texts."""
     most = max(1, total // (4 * parts))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, lengths, held, tokens, back in b.itertuples(index=False):
+            for block, ids, lengths, held, tokens, back in b.itertuples(index=False):
                 (lengths,), (held,), (tokens,) = map(unpack, (lengths, held, tokens))
                 got = [unpack(x) for x in back]
                 own = [np.cumsum(g[0], dtype=np.int64) for g in got]
@@ -315,34 +327,47 @@ def gathered(made: DataFrame, counts: DataFrame, parts: int, unigrams: Unigrams,
                 logs = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
                 base = np.add.reduceat(logs[tokens], at)
                 known = np.add.reduceat((c > 0)[tokens].astype(np.int32), at)
-                yield pd.DataFrame([(-1 - block % parts, block, pack(known, base))], columns=["part", "block", "data"])
+                some = ~pd.isna(ids)
+                whole = np.where(some, ids, 0).astype(np.int64)
+                rows = []
                 for p, data in _pairs_of(tokens, lengths, number, c, held, starts, most, parts):
-                    yield pd.DataFrame([(p, block, data)], columns=["part", "block", "data"])
+                    if p < 0:
+                        about = pack(whole, some, smallest(lengths), held, smallest(known), base)
+                        low = -1 - 2 * (block % parts)
+                        rows += [(low, block, about), (low - 1, block, data)]
+                    else:
+                        rows.append((p, block, data))
+                yield pd.DataFrame(rows, columns=["part", "block", "data"])
+
+    back = counts.where("block is not null").groupBy("block").agg(F.collect_list("counts").alias("back"))
+    whole = made.select("block", "ids", "lengths", "held", "tokens").join(back, "block")
+    return whole.mapInPandas(deal, PAIRS)
+
+
+PAIRS = "part long, block long, data binary"
+CONTEXTS = "part long, context long, sums array<double>, stats array<long>"
+
+
+def contexts(dealt: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
+    """The counts of counts of each part's pairs; and the sums of those contexts that stand in several parts, in each."""
+    most = max(1, unigrams.total // (4 * parts))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        number, blocks_, data = int(pdf["part"].iloc[0]), pdf["block"].tolist(), pdf["data"].tolist()
-        if number < 0:
-            rows = [(number, [b], [x], None, None, None) for b, x in zip(blocks_, data)]
-        else:
-            part = Part(data)
-            rows = [(number, blocks_, data, None, None, counted(part.count))]
-            wide = np.flatnonzero(part.total >= most)
-            if len(wide):
-                sums = part.sums(unigrams)
-                rows += [(number, None, None, int(part.contexts[i]), sums[i].tolist(), None) for i in wide]
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")])
+        part = Part(pdf["data"].tolist())
+        rows = [(int(pdf["part"].iloc[0]), None, None, counted(part.count))]
+        wide = np.flatnonzero(part.total >= most)
+        if len(wide):
+            sums = part.sums(unigrams)
+            rows += [(rows[0][0], int(part.contexts[i]), sums[i].tolist(), None) for i in wide]
+        out = pd.DataFrame(rows, columns=["part", "context", "sums", "stats"])
         out["context"] = out["context"].astype("Int64")
         return out
 
-    back = counts.where("block is not null").groupBy("block").agg(F.collect_list("counts").alias("back"))
-    whole = made.select("block", "lengths", "held", "tokens").join(back, "block")
-    dealt = whole.mapInPandas(deal, "part long, block long, data binary")
-    return written(dealt.groupBy("part").applyInPandas(count, PART), "parts")
+    return written(dealt.where("part >= 0").groupBy("part").applyInPandas(count, CONTEXTS), "contexts")
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     made, words = blocks(docs)
     tokens = made.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(4, -(-tokens // PART_TOKENS))
@@ -355,52 +380,64 @@ def scored(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"n": [int((~unpack(x)[0]).sum()) for x in b["held"]]})
 
     starts = made.select("held").mapInPandas(trained, "n long").agg(F.sum("n")).first()[0] or 0
-    released(spark)
-    model = gathered(made, counts, parts, unigrams, kinds, starts)
-    dropped(counts)
-    released(spark)
+    dropped(words, "kind=words")
+    # Both passes make the pairs anew from the two tables, which is cheaper than to keep them.
+    dealt = pairs(made, counts, parts, total, kinds, starts)
+    model = contexts(dealt, parts, unigrams)
     *pair_counts, _, _, _ = _stats(model.where("stats is not null"))
     d = discounts(np.array([0, *pair_counts]))
     wide = model.where("context is not null").select("part", "context", "sums")
     joined = wide.groupBy("context").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(DISCOUNTED + 2))).alias("all"))
-    wide = wide.select("part", "context").join(joined, "context").groupBy("part")
-    wide = written(wide.agg(F.collect_list(F.struct("context", "all")).alias("wide")), "wide")
+    wide = wide.select("part", "context").join(joined, "context")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for blocks_, data, wide_of in b.itertuples(index=False):
-                part = Part(list(data))
-                sums = part.sums(unigrams)
-                for x in wide_of if wide_of is not None else ():
-                    sums[np.searchsorted(part.contexts, np.uint64(x["context"]))] = x["all"]
-                logs, at, rows = part.scores(unigrams, d, sums), 0, []
-                for block, (k, doc, times) in zip(blocks_, part.pieces):
-                    value = np.repeat(logs[at : at + len(k)], k) * times
-                    ids, inverse = np.unique(doc, return_inverse=True)
-                    rows.append((block, pack(steps(ids), np.bincount(inverse, value, len(ids)))))
-                    at += len(k)
-                yield pd.DataFrame(rows, columns=["block", "sums"])
-
-    pairs = model.where("stats is not null").select("part", "block", "data").join(wide, "part", "left")
-    partial = pairs.select("block", "data", "wide").mapInPandas(score, "block long, sums binary")
-    sums = partial.groupBy("block").agg(F.collect_list("sums").alias("sums"))
-    about = model.where("part < 0").select(F.get("block", F.lit(0)).alias("block"), F.get("data", F.lit(0)).alias("data"))
-    whole = made.select("block", "ids", "lengths", "held").join(about, "block").join(sums, "block")
+            data = [pack(np.array([c], np.uint64), np.asarray(x)) for c, x in zip(b["context"], b["all"])]
+            yield pd.DataFrame({"part": b["part"], "block": -1, "data": data})
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] < 0:
+            return pd.DataFrame({"block": pdf["block"], "kind": (pdf["part"] % 2 == 0).astype(int), "data": pdf["data"]})
+        own = pdf["block"] >= 0
+        part = Part(pdf["data"][own].tolist())
+        sums = part.sums(unigrams)
+        for x in pdf["data"][~own]:
+            context, whole = unpack(x)
+            sums[np.searchsorted(part.contexts, context[0])] = whole
+        logs, at, rows = part.scores(unigrams, d, sums), 0, []
+        for block, (k, doc, times, back, first, second) in zip(pdf["block"][own], part.pieces):
+            value = logs[at : at + len(k)]
+            ids, inverse = np.unique(doc, return_inverse=True)
+            by_text = np.bincount(inverse, np.repeat(value, k) * times, len(ids))
+            rows.append((block, 2, pack(steps(ids), by_text, smallest(first), smallest(second), value[back])))
+            at += len(k)
+        return pd.DataFrame(rows, columns=["block", "kind", "data"])
+
+    # A part's wide contexts come as rows of their own among its blocks.
+    gathered = dealt.union(wide.mapInPandas(as_row, PAIRS)).groupBy("part")
+    gathered = gathered.applyInPandas(score, "block long, kind int, data binary")
+    whole = gathered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "data"))).alias("rows"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, lengths, held, data, got in zip(b["ids"], b["lengths"], b["held"], b["data"], b["sums"]):
-                (known, base), (lengths,), (held,) = unpack(data), unpack(lengths), unpack(held)
+            for about, many, *sums in ([unpack(x["data"]) for x in rows] for rows in b["rows"]):
+                ids, some, lengths, held, known, base = about
                 log = np.zeros(len(lengths))
-                for x in got:
-                    i, v = unpack(x)
+                for i, v, *_ in sums:
                     log[np.cumsum(i, dtype=np.int64)] += v
+                # The pairs of many texts and their scores have the same keys, so that they meet in the same order.
+                first, second, value = (np.concatenate([g[j] for g in sums]) for j in (2, 3, 4))
+                value = value[np.lexsort((second, first))]
+                order = np.lexsort((many[1], many[0]))
+                scores = np.empty(len(order))
+                scores[order] = value
+                np.add.at(log, many[3], np.repeat(scores, many[2]) * many[4])
                 out = pd.DataFrame({"held_out": held, "n_tokens": lengths.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": total, "base_score": base, "score": log})
-                out.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"))
+                out.insert(0, "doc_id", pd.arrays.IntegerArray(ids.copy(), ~some))
                 yield out
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.select("ids", "lengths", "held", "data", "sums").mapInPandas(finish, schema)
+    return whole.select("rows").mapInPandas(finish, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
