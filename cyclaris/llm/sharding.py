@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import new_path, table, written
 
 SHARDS, OLD_SHARDS, OVERHEAD = 40, 32, 16
-#: Bytes of text to a part of the range partitioning.
-PART_BYTES = 32 << 20
+#: Bytes of text to a part of the range partitioning, and parts at most: the driver gets and broadcasts a row for each.
+PART_BYTES, PARTS = 32 << 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -99,6 +99,8 @@ def transfers(counts: dict[int, int], marginal: dict[int, int], shards: int) ->
     total = sum(counts.values())
     low, spare = divmod(total, shards)
     net, moves = Network(), {}
+    if not total:
+        return []
     for i, n in counts.items():
         net.add("source", ("old", i), n, 0)
     dear = 1 + max(marginal.values(), default=0)
@@ -142,7 +144,7 @@ def ranked(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """rows (with _old, size, _salt) as a table in the shared folder, with _nth, the rank in the old shard by size."""
     spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts = min(PARTS, max(1, -(-total // part_bytes)))
     keys = ["_old", "size", "_salt"]
     dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_salt")
     dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
