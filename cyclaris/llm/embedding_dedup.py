@@ -4,7 +4,7 @@ Equal vectors are one class, so copies cost nothing further. Class vectors go to
 several each, so that shards overlap; a shard that is too large is cut again by centroids of its own. In each shard a flat
 graph is built: of every vector's nearest others and some far ones, robust pruning keeps those that no kept one stands
 for. Adjacency lists of the same vector from several shards are united. Every vector then is a query: a greedy search from
-the shard's medoid finds its surroundings, and the range expansion goes on from every vector found within the (slightly
+the shard's medoid and from the vector's own place finds its surroundings, and the range expansion goes on from every vector found within the (slightly
 widened) radius until none is left. What is found is verified in double precision. A pair that shares several shards is
 counted in the first. Only counts and a tree of links leave a shard, never its pairs.
 
@@ -32,8 +32,9 @@ from .simhash import starred
 RADIUS, SLACK = 0.9, 0.05
 #: Vectors to a shard on average and at most before it is cut again; shards to a vector; vectors that centroids are fitted on.
 SHARD, SHARD_MOST, OVERLAP, SAMPLE, LEVELS = 1000, 4000, 3, 20_000, 3
-#: Neighbours before and after pruning, far candidates, factor of pruning, width of the greedy search, queries at once.
-POOL, DEGREE, FAR, ALPHA, BEAM, QUERIES = 40, 20, 12, 1.2, 24, 256
+#: Neighbours before and after pruning, backward links at most, far candidates, factor of pruning, width of the greedy
+#: search, queries at once.
+POOL, DEGREE, BACK, FAR, ALPHA, BEAM, QUERIES = 40, 20, 200, 12, 1.2, 24, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -91,16 +92,18 @@ def graph(x: np.ndarray, seed: int = 5) -> np.ndarray:
         tops.append(np.argpartition(-sims, near - 1, axis=1)[:, :near])
     far = np.random.default_rng(seed).integers(0, n, (n, FAR))
     out = pruned(x, np.concatenate((np.concatenate(tops), far), axis=1))
-    # Links run both ways; who gets too many prunes again.
+    # Links run both ways, as among vectors of nearly equal distances many are in nobody's pruned list. Where one is in too
+    # many, those come first that are in few themselves.
     a, b = np.nonzero(out >= 0)
-    froms, tos = out[a, b], a
-    order = np.argsort(froms, kind="stable")
-    froms, tos = froms[order], tos[order]
+    near_of = out[a, b]
+    known = np.bincount(near_of, minlength=n)
+    order = np.lexsort((known[a], near_of))
+    froms, tos = near_of[order], a[order]
     nth = np.arange(len(froms)) - np.searchsorted(froms, froms)
-    back = np.full((n, POOL), -1, np.int64)
-    some = nth < POOL
-    back[froms[some], nth[some]] = tos[some]
-    return pruned(x, np.concatenate((out, back), axis=1))
+    kept = nth < BACK
+    back = np.full((n, min(BACK, int(known.max(initial=0)))), -1, np.int64)
+    back[froms[kept], nth[kept]] = tos[kept]
+    return np.concatenate((out, back), axis=1)
 
 
 def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +130,9 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, radius: fl
             a, b = np.nonzero(around >= 0)
             visit(row[i : i + (1 << 14)][a], around[a, b])
 
+    # From the medoid; and as every query has a place of its own in the graph, from there.
     visit(every, np.full(q, medoid))
+    visit(every, queries)
     width = min(BEAM, n)
     active = every
     while len(active):
