@@ -21,12 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 CAPACITY, END_ID = 1024, 2
+#: Rows of (task, length, number) up to which they are broadcast, a few MB; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class Encoder:
@@ -173,30 +175,17 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """Every piece with its sequence_id and offset."""
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    counts = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
-    # One row for each task and length; each length is summed on its own.
-    before = written(
-        counts.groupBy("length")
-        .agg(F.sort_array(F.collect_list(F.struct("task", "n"))).alias("by_task"), F.sum("n").alias("total"))
-        .select(
-            "length", "total",
-            F.expr("transform(by_task, x -> x.n)").alias("n"), F.expr("transform(by_task, x -> x.task)").alias("tasks"),
-        ),
-        "lengths",
-    )
-    histogram = {r[0]: r[1] for r in before.select("length", "total").collect()}  # at most `capacity` rows
+    counts = written(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     rules, _ = plan(histogram, capacity)
     order = np.lexsort((rules["first"], rules["size"]))
     rules = {k: v[order] for k, v in rules.items()}
     lows = spark.sparkContext.broadcast((rules, rules["size"] * (1 << 48) + rules["first"]))
-
-    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for length, ns, tasks in zip(b["length"], b["n"], b["tasks"]):
-                sums = np.cumsum(ns)
-                yield pd.DataFrame({"length": length, "task": tasks, "ahead": sums - ns})
-
-    ahead = before.select("length", "n", "tasks").mapInPandas(running, "length long, task int, ahead long")
+    # One row for each task and length, so a length's window has as many rows as there are tasks.
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    if counts.count() <= BROADCAST_ROWS:
+        ahead = F.broadcast(ahead)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rule, keys = lows.value
