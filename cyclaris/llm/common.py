@@ -28,8 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Deletes all that this session wrote to the shared folder; results that still read it must have been saved."""
+    while _made:
+        removed(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

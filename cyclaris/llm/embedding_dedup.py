@@ -159,7 +159,7 @@ def shard_links(x: np.ndarray, adjacency: np.ndarray, shards: np.ndarray, own: i
     """For the vectors of a shard: the weight that each links to, and links that join them as all their links would."""
     unit = _unit(x)
     single = unit.astype(np.float32)
-    counts, froms, tos = np.zeros(len(x), np.int64), [], []
+    counts, found = np.zeros(len(x), np.int64), []
     for i in range(0, len(x), QUERIES):
         queries = np.arange(i, min(i + QUERIES, len(x)))
         a, b = search(single, adjacency, queries, radius - SLACK)
@@ -168,11 +168,10 @@ def shard_links(x: np.ndarray, adjacency: np.ndarray, shards: np.ndarray, own: i
             lo, hi = low[j : j + (1 << 16)], high[j : j + (1 << 16)]
             real = np.einsum("pd,pd->p", unit[lo], unit[hi]) >= radius
             lo, hi = lo[real], hi[real]
-            if len(lo):
-                froms.append(lo * len(x) + hi)
-        if sum(map(len, froms)) > 1 << 22:
-            froms = [np.unique(np.concatenate(froms))]
-    pairs = np.unique(np.concatenate(froms)) if froms else np.zeros(0, np.int64)
+            found.append(lo * len(x) + hi)
+        if sum(map(len, found)) > 1 << 22:
+            found = [np.unique(np.concatenate(found))]
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     # A pair may have been found from either side, and in another shard that both are in.
     for j in range(0, len(pairs), 1 << 18):
         lo, hi = pairs[j : j + (1 << 18)] // len(x), pairs[j : j + (1 << 18)] % len(x)
@@ -180,8 +179,7 @@ def shard_links(x: np.ndarray, adjacency: np.ndarray, shards: np.ndarray, own: i
         mine = ~same.any(axis=(1, 2))
         np.add.at(counts, lo[mine], weight[hi[mine]])
         np.add.at(counts, hi[mine], weight[lo[mine]])
-    tos = starred(pairs // len(x), pairs % len(x))
-    return counts, tos
+    return counts, starred(pairs // len(x), pairs % len(x))
 
 
 def _dealt(classes: DataFrame) -> DataFrame:
@@ -240,7 +238,6 @@ def _dealt(classes: DataFrame) -> DataFrame:
 def linked(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Of classes (node, vector, weight): (node, n) with the vectors that each links to, and links (a, b)."""
     members = written(_dealt(classes), "members")
-    vector_type = "array<float>"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
@@ -273,7 +270,6 @@ def linked(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataF
         return pd.DataFrame({"node": node, "n": counts, "root": to})
 
     found = members.join(union, "node").groupBy("shard").applyInPandas(find, "node long, n long, root long")
-    del vector_type
     found = written(found, "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     return counts, found.where("root >= 0").select(F.col("root").alias("a"), F.col("node").alias("b"))

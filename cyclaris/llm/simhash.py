@@ -188,7 +188,8 @@ def _masked(bits: list[int]) -> int:
 def links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between the fingerprints of prints (fp, distinct): those of a forest of all pairs in the radius."""
     sets = choices(list(range(64)), block_count(prints.count()), radius)
-    key = F.array(*(F.struct(F.lit(str(i)).alias("path"), F.col("fp").bitwiseAND(F.lit(_masked(s))).alias("value")) for i, s in enumerate(sets)))
+    masks = [F.col("fp").bitwiseAND(F.lit(_masked(s))) for s in sets]
+    key = F.array(*(F.struct(F.lit(str(i)).alias("path"), m.alias("value")) for i, m in enumerate(masks)))
     rows = prints.select("fp", F.inline(key).alias("path", "value"), F.lit(0).alias("depth"))
     bits_of = {str(i): s for i, s in enumerate(sets)}
     # Keys of too many rows are cut by blocks of the bits that they don't fix, as two within the radius agree on these.
