@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 VERSION, SCHEMA_VERSION = "0.1.0", "1.0.0"
 
-#: Metric, its predicate's text, and the predicate over x (a number) or b (whether the value is boolean).
+#: Metric and the text of its predicate over the value x.
 PREDICATES = {
-    "gc_fraction": ("0 <= x <= 1", "x >= 0 and x <= 1"),
-    "orbit_ratio": ("0.25 <= x <= 1", "x >= 0.25 and x <= 1"),
-    "dmin_over_L": ("0 <= x <= 1", "x >= 0 and x <= 1"),
-    "dmin_normalized": ("0 <= x <= 1", "x >= 0 and x <= 1"),
-    "length_bp": ("x > 0", "x > 0"),
-    "taxonomy_id": ("x >= 0", "x >= 0"),
-    "dihedral_order": ("x > 0 and even", "x > 0 and x = floor(x) and pmod(x, 2) = 0"),
-    "verified_double_cover": ("boolean", "b"),
-    "relations_satisfied": ("boolean", "b"),
-    "confidence": ("0 <= x <= 1", "x >= 0 and x <= 1"),
+    "gc_fraction": "0 <= x <= 1",
+    "orbit_ratio": "0.25 <= x <= 1",
+    "dmin_over_L": "0 <= x <= 1",
+    "dmin_normalized": "0 <= x <= 1",
+    "length_bp": "x > 0",
+    "taxonomy_id": "x >= 0",
+    "dihedral_order": "x > 0 and even",
+    "verified_double_cover": "boolean",
+    "relations_satisfied": "boolean",
+    "confidence": "0 <= x <= 1",
 }
 #: Metrics that are known exactly.
 DETERMINISTIC = (
@@ -45,52 +45,54 @@ def git_sha() -> str:
         return "unknown"
 
 
-def validity(metric: Column, number: Column, is_boolean: Column, orbit_ratio_min: Column | None = None) -> Column:
-    """(holds, predicate); a value that a predicate can't be applied to holds, without a predicate."""
-    df_free = {"x": number, "b": is_boolean}
-    holds, text = F.lit(True), F.lit(None).cast("string")
-    for name, (shown, _) in PREDICATES.items():
-        x, b = df_free["x"], df_free["b"]
-        checks = {
-            "x > 0": x > 0,
-            "x >= 0": x >= 0,
-            "0 <= x <= 1": (x >= 0) & (x <= 1),
-            "0.25 <= x <= 1": (x >= (F.lit(0.25) if orbit_ratio_min is None else orbit_ratio_min)) & (x <= 1),
-            "x > 0 and even": (x > 0) & (F.pmod(x, F.lit(2.0)) == 0),
-            "boolean": b,
-        }
-        can = F.lit(True) if shown == "boolean" else x.isNotNull()
-        holds = F.when((metric == name) & can, checks[shown]).otherwise(holds)
-        text = F.when((metric == name) & can, F.lit(shown)).otherwise(text)
-    return F.struct(holds.alias("holds"), text.alias("predicate"))
-
-
-def unpivoted(df: DataFrame, kind: str, metrics: dict[str, str], sort: int, bounds: Callable[[str], tuple] | None = None) -> DataFrame:
+def validity(metric: Column, x: Column, is_boolean: Column, orbit_ratio_min: Column | None = None) -> Column:
+    """(holds, predicate) of a metric's value; x: the value as a number, null if it is none.
+
+    A value that a predicate can't be applied to holds, without a predicate.
+    """
+    least = F.lit(0.25) if orbit_ratio_min is None else orbit_ratio_min
+    checks = {
+        "x > 0": x > 0,
+        "x >= 0": x >= 0,
+        "0 <= x <= 1": x.between(0, 1),
+        "0.25 <= x <= 1": x.between(least, 1),
+        "x > 0 and even": (x > 0) & (F.pmod(x, F.lit(2.0)) == 0),
+        "boolean": is_boolean,
+    }
+    holds, predicate = F.lit(True), F.lit(None).cast("string")
+    for name, text in PREDICATES.items():
+        applies = (metric == name) & (F.lit(True) if text == "boolean" else x.isNotNull())
+        holds = F.when(applies, checks[text]).otherwise(holds)
+        predicate = F.when(applies, F.lit(text)).otherwise(predicate)
+    return F.struct(holds.alias("holds"), predicate.alias("predicate"))
+
+
+def _cell(number: int, name: str, column: Column, kind: str, epsilon: float | None, confidence: float | None) -> Column:
+    """One metric of a row; kind is the column's type."""
+    numeric = kind not in ("string", "date", "timestamp")
+    return F.struct(
+        F.lit(number).alias("metric_no"),
+        F.lit(name).alias("metric_name"),
+        column.cast("variant").alias("value"),
+        column.cast("string").alias("shown"),
+        (column if numeric else F.lit(None)).cast("double").alias("number"),
+        F.lit(kind == "boolean").alias("is_boolean"),
+        F.lit(epsilon).cast("double").alias("epsilon"),
+        F.lit(confidence).cast("double").alias("confidence"),
+    )
+
+
+def unpivoted(
+    df: DataFrame, kind: str, metrics: dict[str, str], sort: int, bounds: Callable[[str], tuple] = lambda _: (None, None)
+) -> DataFrame:
     """A row for each metric (column: name) of df that has a value; context columns that df lacks are null."""
-    each = []
     types = dict(df.dtypes)
-    for i, (column, name) in enumerate(metrics.items()):
-        if column not in types:
-            continue
-        v = F.col(f"`{column}`")
-        numeric = types[column] not in ("string", "date", "timestamp")
-        epsilon, confidence = bounds(name) if bounds else (None, None)
-        each.append(
-            F.struct(
-                F.lit(i).alias("metric_no"), F.lit(name).alias("metric_name"), v.cast("variant").alias("value"),
-                v.cast("string").alias("shown"), (v.cast("double") if numeric else F.lit(None).cast("double")).alias("number"),
-                F.lit(types[column] == "boolean").alias("is_boolean"),
-                F.lit(epsilon).cast("double").alias("epsilon"), F.lit(confidence).cast("double").alias("confidence"),
-            )
-        )
+    cells = [_cell(i, m, F.col(f"`{c}`"), types[c], *bounds(m)) for i, (c, m) in enumerate(metrics.items()) if c in types]
+    cells = cells or [_cell(0, "", F.lit(None).cast("string"), "string", None, None)]
     context = [(F.col(c) if c in types else F.lit(None)).cast(t).alias(c) for c, t in _CONTEXT.items()]
-    row = F.concat_ws("/", *(F.col(c).cast("string") for c in df.columns if c not in metrics))
-    if not each:
-        each = [F.struct(F.lit(0).alias("metric_no"), F.lit("").alias("metric_name"), F.lit(None).cast("variant").alias("value"),
-                         F.lit(None).cast("string").alias("shown"), F.lit(None).cast("double").alias("number"), F.lit(False).alias("is_boolean"),
-                         F.lit(None).cast("double").alias("epsilon"), F.lit(None).cast("double").alias("confidence"))]
-    rows = df.select(F.lit(sort).alias("table_no"), row.alias("row"), F.lit(kind).alias("record_type"), *context, F.inline(F.array(*each)))
-    return rows.where("shown is not null")
+    row = F.concat_ws("/", *(F.col(f"`{c}`").cast("string") for c in df.columns if c not in metrics))
+    keys = (F.lit(sort).alias("table_no"), row.alias("row"), F.lit(kind).alias("record_type"))
+    return df.select(*keys, *context, F.inline(F.array(*cells))).where("shown is not null")
 
 
 def export_replicons(df: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def export_approx_summary(df: DataFrame) -> DataFrame:
 
 def export_windows(df: DataFrame) -> DataFrame:
     names = ("orbit_ratio", "orbit_size", "is_palindrome", "is_rc_fixed", "dmin")
-    made = unpivoted(df, "window_metric", {n: n for n in names} | {"dmin_normalized": "dmin_over_L"}, 5, lambda _: (0.0, 1.0))
-    return made
+    metrics = {n: n for n in names} | {"dmin_normalized": "dmin_over_L"}
+    return unpivoted(df, "window_metric", metrics, 5, lambda _: (0.0, 1.0))
 
 
 #: Table name: exporter. A table of one's own is added here.
@@ -140,6 +142,7 @@ EXPORTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "quaternion_results": export_experiments,
     "approx_symmetry_stats": export_approx,
     "approx_symmetry_summary": export_approx_summary,
+    "atlas_windows_exact": export_windows,
 }
 
 

@@ -95,11 +95,9 @@ def replicons(found: DataFrame, assemblies: DataFrame | None = None, sums: DataF
 
 def ingest(spark: SparkSession, path: str, assemblies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Replicons of the files under path, and the files that gave none (unreadable or empty), which are passed over."""
-    old = spark.conf.get("spark.sql.files.ignoreCorruptFiles")
     sums = checksums(spark, path)
     found = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True)
     rows = records(found.select(F.col("_metadata.file_name").alias("file_name"), "value"))
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", old)
     quarantine = sums.join(rows.select("assembly_accession").distinct(), "assembly_accession", "left_anti")
     return replicons(rows, assemblies, sums), quarantine.select("file_name")
 
