@@ -8,8 +8,8 @@ The cascade: every rule is timed on a sample and its rejections there are counte
 rejections per second, and a text leaves at the first rule that it fails. The order changes the work, never the verdict.
 
 Defined cases: a null or blank text has no words and is rejected by the base rule; repeated rows are judged each on its
-own; null ids are kept; an empty table gives an empty result; further columns stay unless they bear a measure's name,
-in which case the measure replaces them.
+own; null ids are kept; an empty table gives an empty result; `judged` keeps further columns unless they bear a result's
+name, which then replaces them; `filtered` gives the rows back as they are.
 """
 
 from __future__ import annotations
@@ -74,8 +74,9 @@ _STEPS = (
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the base measures, base_failed, and the text as _text."""
-    kept = [c for c in docs.columns if c not in (*BASE, "base_failed", "kept", "_text")]
-    df, temp = docs.select(*(F.col(f"`{c}`") for c in kept)), {"_w", "_lines", "_bits", "_h", "_c", "_v", "_r"}
+    temp = {"_w", "_lines", "_bits", "_h", "_c", "_v", "_r"}
+    kept = [c for c in docs.columns if c not in {*BASE, "base_failed", "rejected_by", "kept", "_text", *temp}]
+    df = docs.select(*(F.col(f"`{c}`") for c in kept))
     for step in _STEPS:
         df = df.withColumns({k: F.expr(v) for k, v in step.items()})
     # A filter on the measures must not be pushed below them, as their expressions would then be nested in one another;
@@ -115,8 +116,9 @@ def judged(docs: DataFrame, rules: dict[str, str] = RULES, order: list[str] | No
 
 
 def filtered(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """The rows of docs that pass, with their own columns."""
-    return judged(docs, rules).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that pass, as they are, whatever their columns are called."""
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return judged(rows, rules).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ share has to be in one task. Transfers are runs of ranks; a row looks up the run
 
 Defined cases: a null text has no bytes (size 16, CRC-32 zero); repeated rows are placed each on its own; null ids go to
 old shards by their text; an empty table gives an empty result; columns besides doc_id and text go along to the files
-that `rewritten` writes, under their own names.
+that `rewritten` writes, under their own names, but for those that bear the name of a result, which replaces them.
 """
 
 from __future__ import annotations

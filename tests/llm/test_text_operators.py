@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cyclaris.llm import bpe, common, katz, packing, quality, secrets, sharding, simhash
 from cyclaris.llm.components import components
@@ -66,6 +67,9 @@ def test_quality_verdict_and_order(spark):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
     assert {r["doc_id"] for r in quality.filtered(df).collect()} == {1, 2, 3, None, 12}
     assert quality.filtered(df).columns == df.columns
+    clash = df.withColumn("n_words", F.lit(-1)).withColumn("_w", F.lit("mine")).withColumn("kept", F.lit(False))
+    assert {(r["n_words"], r["_w"], r["kept"]) for r in quality.filtered(clash).collect()} == {(-1, "mine", False)}
+    assert quality.judged(clash).count() == len(texts())
     assert set(quality.ordered_rules(quality.measured(df))) == set(quality.RULES)
 
 
@@ -335,8 +339,6 @@ def test_transfers_move_the_fewest_bytes():
 
 
 def test_rewritten_files_keep_other_columns(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     path = f"file://{tmp_path}/out"
     moves = sharding.rewritten(documents(spark), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)), path, 5)
     back = spark.read.parquet(path)
