@@ -146,6 +146,7 @@ EXPORTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: The names of these fields are fixed by the record format.
 def base_provenance(pipeline_max: int = 200, pipeline_seed: int = 42, sha: str | None = None, timestamp: str | None = None) -> dict[str, Column]:
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return {
