@@ -8,6 +8,12 @@ the shard's medoid and from the vector's own place finds its surroundings, and t
 widened) radius until none is left. What is found is verified in double precision. A pair that shares several shards is
 counted in the first. Only counts and a tree of links leave a shard, never its pairs.
 
+Pairs that share no shard are compared in blocks: a vector has a cell, that of its nearest centroid of the first level,
+and is held against the vectors of every cell that its range can reach. How far behind a cell's border that is follows the
+data (`margin`). Vectors of tight cells, where most link to each other, go to no shard: a graph search looks at a node once
+for each of its many links to nodes in range, so all links of these are found in blocks. Blocks of cells and of queries are
+bounded, large cells are salted, and the arithmetic is one of matrices.
+
 Centroids are fitted on a bounded sample (`SAMPLE` vectors a level); every vector is indexed and searched. `recall` holds
 the links of some queries against brute force.
 
@@ -35,6 +41,10 @@ SHARD, SHARD_MOST, OVERLAP, SAMPLE, LEVELS = 1000, 4000, 3, 20_000, 3
 #: Neighbours before and after pruning, backward links at most, far candidates, factor of pruning, width of the greedy
 #: search, queries at once.
 POOL, DEGREE, BACK, FAR, ALPHA, BEAM, QUERIES = 40, 20, 200, 12, 1.2, 24, 256
+#: Vectors of a block, queries that one task holds against it, deviations that a margin allows for, vectors it is measured on.
+BLOCK, BLOCK_QUERIES, DEVIATIONS, MEASURED = 8192, 65_536, 3, 4000
+#: A cell is tight if this share of its sampled pairs link.
+TIGHT = 0.2
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -182,12 +192,255 @@ def shard_links(x: np.ndarray, adjacency: np.ndarray, shards: np.ndarray, own: i
     return counts, starred(pairs // len(x), pairs % len(x))
 
 
-def _dealt(classes: DataFrame) -> DataFrame:
-    """node, vector, weight, shards (numbers of the shards that the class is in)."""
+def chained(c: np.ndarray) -> np.ndarray:
+    """Centroids in an order in which near ones mostly follow each other."""
+    left, order = np.ones(len(c), bool), [0]
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, c @ c[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return c[order]
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+
+
+def margin(x: np.ndarray, c: np.ndarray, radius: float) -> float:
+    """How far behind the border of another cell a vector may be that has links there.
+
+    For y in cell B within the radius of x in cell A, x . (A - B) is at most |A - B| times the sine of the angle. So much
+    is seldom needed: the margin is some deviations of a random direction among those that the data has, and what links in x
+    need at least.
+    """
+    most = float(np.sqrt(max(0.0, 1 - radius * radius)))
+    x = x[:MEASURED]
+    own = nearest(x, c)
+    rest = (x - c[own]).astype(np.float64)
+    values = np.linalg.eigvalsh(rest.T @ rest)
+    found = DEVIATIONS * most * float(np.sqrt((values * values).sum()) / values.sum()) if values[-1] > 0 else most
+    to = x @ c.T
+    for i in range(0, len(x), 512):
+        a, b = np.nonzero(x[i : i + 512] @ x.T >= radius)
+        a += i
+        a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+        for j in range(0, len(a), 1 << 16):
+            p, q = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+            apart = np.sqrt(((c[own[p]] - c[own[q]]) ** 2).sum(axis=1))
+            need = (to[p, own[p]] - to[p, own[q]]) / np.maximum(apart, 1e-9)
+            found = max(found, 1.1 * float(need.max()))
+    return min(most, found)
+
+
+def tight(x: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
+    """Which cells are tight, by what is in x of each."""
+    own, out = nearest(x, c), np.zeros(len(c), bool)
+    for k in range(len(c)):
+        some = x[own == k][:256]
+        if len(some) >= 8:
+            out[k] = ((some @ some.T >= radius).sum() - len(some)) >= TIGHT * len(some) * (len(some) - 1)
+    return out
+
+
+def reached(x: np.ndarray, own: np.ndarray, c: np.ndarray, cells: np.ndarray, far: float) -> np.ndarray:
+    """Which of the cells each vector of cell `own` has to be held against: a pair is seen from its first cell."""
+    to, here = x @ c[cells].T, np.einsum("nd,nd->n", x, c[own])
+    square = (c * c).sum(axis=1)
+    apart = np.sqrt(np.maximum(0, square[own][:, None] + square[cells][None] - 2 * c[own] @ c[cells].T))
+    return (cells[None] >= own[:, None]) & ((here[:, None] - to <= far * apart + 1e-6) | (cells[None] == own[:, None]))
+
+
+def hit_links(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of hits: links (i, j) that join rows (numbers from 0) and columns (numbers behind them) as the hits do."""
+    n, rest = len(hit), hit.copy()
+    froms, tos = [], []
+    while rest.sum() > 64 * sum(hit.shape):
+        first = int(rest.sum(axis=1).argmax())
+        columns, size = rest[first], 0
+        while columns.sum() > size:
+            size = columns.sum()
+            rows = rest[:, columns].any(axis=1)
+            columns = rest[rows].any(axis=0)
+        tos += [np.flatnonzero(rows), n + np.flatnonzero(columns)]
+        froms += [np.full(len(t), first) for t in tos[-2:]]
+        rest[rows] = False
+    a, b = np.nonzero(rest)
+    return np.concatenate((*froms, a)).astype(np.int64), np.concatenate((*tos, n + b)).astype(np.int64)
+
+
+class Block:
+    """The vectors of a block of cells, against which queries are held."""
+
+    def __init__(self, rows: pd.DataFrame, first: int, c: np.ndarray, far: float, radius: float, unshared: bool) -> None:
+        rows = rows.sort_values("cell", kind="stable")
+        self.first, self.c, self.far, self.radius, self.unshared = first, c, far, radius, unshared
+        self.node, self.weight = rows["node"].to_numpy(), rows["weight"].to_numpy(np.float64)
+        self.unit = _unit(np.stack(rows["vector"].to_numpy()))
+        self.single = self.unit.astype(np.float32)
+        self.cells, at = np.unique(rows["cell"].to_numpy() - first, return_index=True)
+        self.spans = list(zip(at, [*at[1:], len(rows)]))
+        self.shards = np.unique(np.concatenate(rows["shards"].to_numpy())).astype(np.int64)
+        self.marks = self._marks(rows["shards"])
+        self.n = np.zeros(len(rows))
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _marks(self, shards: pd.Series) -> np.ndarray:
+        """A row for each vector with a one for each shard of the block that it is in."""
+        out = np.zeros((len(shards), len(self.shards)), np.float32)
+        if not len(self.shards):
+            return out
+        flat, row = np.concatenate(shards.to_numpy()).astype(np.int64), np.repeat(np.arange(len(shards)), shards.map(len))
+        at = np.minimum(np.searchsorted(self.shards, flat), len(self.shards) - 1)
+        known = self.shards[at] == flat
+        out[row[known], at[known]] = 1
+        return out
+
+    def against(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links of the queries to the block's vectors that share no shard with them: node, n."""
+        node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy(np.float64)
+        own = rows["cell"].to_numpy() - self.first
+        unit = _unit(np.stack(rows["vector"].to_numpy()))
+        single, marks, n = unit.astype(np.float32), self._marks(rows["shards"]), np.zeros(len(rows))
+        near = reached(single, own, self.c, self.cells, self.far)
+        for k, (lo, hi) in enumerate(self.spans):
+            asked = np.flatnonzero(near[:, k])
+            for at in range(0, len(asked), 1024):
+                for low in range(lo, hi, 4096):
+                    q, top = asked[at : at + 1024], min(hi, low + 4096)
+                    sims = single[q] @ self.single[low:top].T
+                    hit = sims >= self.radius
+                    a, b = np.nonzero(np.abs(sims - self.radius) < 1e-5)
+                    for i in range(0, len(a), 1 << 14):
+                        p, r = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+                        hit[p, r] = np.einsum("pd,pd->p", unit[q[p]], self.unit[low + r]) >= self.radius
+                    inside = own[q] == self.cells[k]
+                    if inside.any():
+                        hit &= node[q][:, None] != self.node[low:top][None]
+                    if not hit.any():
+                        continue
+                    a, b = hit_links(hit)
+                    both = np.concatenate((node[q], self.node[low:top]))
+                    self._keep(both[a], both[b])
+                    if self.unshared:
+                        hit &= marks[q] @ self.marks[low:top].T == 0
+                    count = hit.astype(np.float64)
+                    n[q] += count @ self.weight[low:top]
+                    # Within a cell each of the two is a query.
+                    self.n[low:top] += np.where(inside, 0, weight[q]) @ count
+        return pd.DataFrame({"node": node, "n": n.astype(np.int64), "root": np.full(len(node), -1)})[n > 0]
+
+    def _keep(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.links.append((a, b))
+        if sum(len(x) for x, _ in self.links) > 1 << 20:
+            self.links = [starred(*map(np.concatenate, zip(*self.links)))]
+
+    def rest(self) -> pd.DataFrame:
+        """What the queries brought the block's vectors, and links that join all: node, n, root."""
+        a, b = starred(*map(np.concatenate, zip(*self.links))) if self.links else (self.node[:0], self.node[:0])
+        n = np.concatenate((self.n.astype(np.int64), np.zeros(len(b), np.int64)))
+        root = np.concatenate((np.full(len(self.node), -1), a))
+        return pd.DataFrame({"node": np.concatenate((self.node, b)), "n": n, "root": root})[(n > 0) | (root >= 0)]
+
+
+def crossing(rows: DataFrame, tops: dict, radius: float, unshared: bool = True, block: int | None = None) -> DataFrame:
+    """Of rows (node, vector, weight, shards): node, n, root for the links of vectors that share no shard, or for all.
+
+    tops: for each dimension the number of its first cell, the centroids of the cells, and the margin.
+    """
+    spark, block = rows.sparkSession, block or BLOCK
+    known = spark.sparkContext.broadcast(tops)
+    rows = rows.where(F.size("vector").isin(list(tops)))
+
+    def split(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, int, np.ndarray, float]]:
+        for dim, part in b.groupby(b["vector"].map(len), sort=False):
+            for at in range(0, len(part), 2048):
+                some = part.iloc[at : at + 2048]
+                yield some, _unit(np.stack(some["vector"].to_numpy())).astype(np.float32), *known.value[dim]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, x, first, c, _ in split(b):
+                yield part.assign(cell=first + nearest(x, c))
+
+    shape = "node long, vector array<float>, weight long, shards array<long>, cell long"
+    placed = written(rows.select("node", "vector", "weight", "shards").mapInPandas(place, shape), "placed")
+    sizes = {r[0]: r[1] for r in placed.groupBy("cell").agg(F.count("*")).collect()}
+    first_block, salts, number = {}, {}, 0
+    for first, c, _ in tops.values():
+        filled = 0
+        for cell in range(first, first + len(c)):
+            n = sizes.get(cell, 0)
+            if filled and filled + n > block:
+                number, filled = number + 1, 0
+            first_block[cell], salts[cell] = number, max(1, -(-n // block))
+            filled += n
+            if salts[cell] > 1:
+                number, filled = number + salts[cell], 0
+        number += filled > 0
+    blocks = spark.sparkContext.broadcast((first_block, salts))
+
+    def asked(part: pd.DataFrame, x: np.ndarray, first: int, c: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (by number) and the blocks that they are queries of."""
+        begins, parts = (np.array([d[i] for i in range(first, first + len(c))]) for d in blocks.value)
+        i, j = np.nonzero(reached(x, part["cell"].to_numpy() - first, c, np.arange(len(c)), far))
+        i, j, nth = np.repeat(i, parts[j]), np.repeat(j, parts[j]), np.concatenate([np.arange(k) for k in parts[j]])
+        key = np.unique(i * (number + 1) + begins[j] + nth)
+        return key // (number + 1), key % (number + 1)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, *about in split(b):
+                block_, n = np.unique(asked(part, *about)[1], return_counts=True)
+                yield pd.DataFrame({"block": block_, "n": n})
+
+    pieces = {}
+    if sum(sizes.values()) > BLOCK_QUERIES:
+        each = placed.mapInPandas(tally, "block long, n long").groupBy("block").agg(F.sum("n")).collect()
+        pieces = {b: -(-n // BLOCK_QUERIES) for b, n in each}
+    pieces = spark.sparkContext.broadcast(pieces)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, *about in split(b):
+                node, cell = part["node"].to_numpy(), part["cell"].to_numpy()
+                i, to = asked(part, *about)
+                home = np.array([blocks.value[0][k] + m % blocks.value[1][k] for k, m in zip(cell, node)])
+                copies = np.array([pieces.value.get(h, 1) for h in home])
+                piece = np.concatenate((np.concatenate([np.arange(k) for k in copies]), [node[r] % pieces.value.get(t, 1) for r, t in zip(i, to)]))
+                at = np.concatenate((np.repeat(np.arange(len(part)), copies), i))
+                out = part.iloc[at].reset_index(drop=True)
+                is_query = np.arange(len(at)) >= copies.sum()
+                yield out.assign(block=np.concatenate((np.repeat(home, copies), to)), piece=piece.astype(np.int64), query=is_query)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, now = None, [], None
+        for b in batches:
+            for key, part in b.groupby(["block", "piece"]):
+                if key != last:
+                    if now:
+                        yield now.rest()
+                    last, held, now = key, [], None
+                held.append(part[~part["query"]])
+                if len(part := part[part["query"]]):
+                    if now is None:
+                        now = Block(pd.concat(held), *known.value[len(part["vector"].iloc[0])], radius, unshared)
+                    yield now.against(part)
+        if now:
+            yield now.rest()
+
+    order = ["block", "piece", "query"]
+    dealt = placed.mapInPandas(deal, f"{shape}, block long, piece long, query boolean")
+    dealt = dealt.repartition("block", "piece").sortWithinPartitions(*order)
+    return written(dealt.mapInPandas(compare, "node long, n long, root long"), "crossing")
+
+
+def _dealt(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, dict]:
+    """node, vector, weight, shard (a row for each shard that the class is in, none for those of tight cells); and what
+    crossing() takes of the cells of dimensions whose vectors aren't all in all shards."""
     spark = classes.sparkSession
     rows = classes.select("node", "vector", "weight", F.size("vector").alias("dim"))
     sizes = {r[0]: r[1] for r in rows.groupBy("dim").agg(F.count("*")).collect()}
-    done, number = None, 0
+    done, number, tops, dense, cut = None, 0, {}, {}, False
     work = rows.withColumn("path", F.concat(F.lit("d"), F.col("dim").cast("string")))
     open_ = {f"d{d}": n for d, n in sizes.items()}
     for level in range(LEVELS):
@@ -198,17 +451,26 @@ def _dealt(classes: DataFrame) -> DataFrame:
             sample = work.where(F.col("path") == path).select("vector").sample(share, 3).limit(SAMPLE).toPandas()["vector"]
             if len(sample):
                 k = min(k, max(1, len(sample) // 8))
-                fitted[path] = (number, centroids(_unit(np.stack(sample.to_numpy())), k).astype(np.float32))
+                x = _unit(np.stack(sample.to_numpy())).astype(np.float32)
+                fitted[path] = (number, chained(centroids(x.astype(np.float64), k).astype(np.float32)))
+                if not level:
+                    dense[path] = tight(x, fitted[path][1], radius) if k > 1 else np.zeros(1, bool)
+                    tops[x.shape[1]] = (*fitted[path], margin(x, fitted[path][1], radius))
                 number += k
-        shared = spark.sparkContext.broadcast(fitted)
+        shared = spark.sparkContext.broadcast((fitted, {} if level else dense))
 
         def assign(batches: Iterator[pd.DataFrame], shared=shared, level=level) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for path, part in b.groupby("path", sort=False):
-                    first, c = shared.value.get(path, (-1, None))
+                    first, c = shared.value[0].get(path, (-1, None))
                     if c is None:
                         continue
                     x = _unit(np.stack(part["vector"].to_numpy())).astype(np.float32)
+                    if path in shared.value[1]:
+                        loose = ~shared.value[1][path][nearest(x, c)]
+                        part, x = part[loose], x[loose]
+                        if not len(part):
+                            continue
                     k = min(OVERLAP, len(c))
                     sims = x @ c.T
                     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
@@ -230,14 +492,16 @@ def _dealt(classes: DataFrame) -> DataFrame:
         done = keep if done is None else done.unionByName(keep)
         if not counts:
             break
+        cut = True
         work = made.where(F.col("shard").isin(list(counts))).withColumn("path", F.col("shard").cast("string"))
         open_ = {str(s): n for s, n in counts.items()}
-    return done.dropDuplicates(["node", "shard"])
+    return done.dropDuplicates(["node", "shard"]), {d: t for d, t in tops.items() if cut or len(t[1]) > OVERLAP or dense[f"d{d}"].any()}
 
 
 def linked(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Of classes (node, vector, weight): (node, n) with the vectors that each links to, and links (a, b)."""
-    members = written(_dealt(classes), "members")
+    members, tops = _dealt(classes, radius)
+    members = written(members, "members")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
@@ -271,6 +535,10 @@ def linked(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataF
 
     found = members.join(union, "node").groupBy("shard").applyInPandas(find, "node long, n long, root long")
     found = written(found, "found")
+    if tops:
+        none = F.array().cast("array<long>")
+        placed = classes.join(union.select("node", "shards"), "node", "left").withColumn("shards", F.coalesce("shards", none))
+        found = found.unionByName(crossing(placed, tops, radius))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     return counts, found.where("root >= 0").select(F.col("root").alias("a"), F.col("node").alias("b"))
 

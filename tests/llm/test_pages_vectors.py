@@ -189,3 +189,43 @@ def test_pruned_graph_reaches_every_vector():
     true = x @ x.T >= 0.6
     np.fill_diagonal(true, False)
     assert len(set(zip(a.tolist(), b.tolist()))) >= 0.9 * true.sum()
+
+
+def test_links_of_a_tight_group_over_many_shards(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = planted(rng, 1600, [(700, 0.22), (120, 0.33)])
+    monkeypatch.setattr(embedding_dedup, "SHARD", 50)
+    monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 200)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {r["vec_id"]: r for r in embedding_dedup.grouped(rows).collect()}
+    u = embedding_dedup._unit(np.array(x, np.float64))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    true = near.sum(axis=1)
+    n = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert true.sum() > 100_000 and (n <= true).all() and n.sum() >= 0.97 * true.sum()
+    root = union_find(len(x), zip(*np.nonzero(near)))
+    assert len({got[i]["component_id"] for i in range(len(x))}) == len(set(root))
+
+
+def test_unshared_links_over_blocks_and_salts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.array(planted(rng, 300, [(200, 0.2), (90, 0.33)]))
+    unit = embedding_dedup._unit(x)
+    c = embedding_dedup.chained(embedding_dedup.centroids(unit, 9).astype(np.float32))
+    weight, shards = rng.integers(1, 4, len(x)), [sorted({int(s) for s in rng.integers(0, 9, k)}) for k in rng.integers(0, 3, len(x))]
+    rows = spark.createDataFrame(
+        [(i, v.tolist(), int(w), s) for i, (v, w, s) in enumerate(zip(x, weight, shards))], "node long, vector array<float>, weight long, shards array<long>"
+    )
+    monkeypatch.setattr(embedding_dedup, "BLOCK_QUERIES", 70)
+    near = unit.astype(np.float32).astype(np.float64)
+    near = near @ near.T >= 0.9
+    np.fill_diagonal(near, False)
+    apart = np.array([[not set(a) & set(b) for b in shards] for a in shards])
+    for unshared in (True, False):
+        found = embedding_dedup.crossing(rows, {32: (40, c, np.sqrt(1 - 0.9**2))}, 0.9, unshared, block=60).collect()
+        n = np.zeros(len(x), int)
+        for r in found:
+            n[r["node"]] += r["n"]
+        assert (n == ((near & apart) if unshared else near) @ weight).all()
+        assert len(set(union_find(len(x), [(r["root"], r["node"]) for r in found if r["root"] >= 0]))) == len(set(union_find(len(x), zip(*np.nonzero(near)))))
