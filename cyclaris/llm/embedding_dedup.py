@@ -14,8 +14,9 @@ data (`margin`). Vectors of tight cells, where most link to each other, go to no
 for each of its many links to nodes in range, so all links of these are found in blocks. Blocks of cells and of queries are
 bounded, large cells are salted, and the arithmetic is one of matrices.
 
-Centroids are fitted on a bounded sample (`SAMPLE` vectors a level); every vector is indexed and searched. `recall` holds
-the links of some queries against brute force.
+Centroids are fitted on a bounded sample (`SAMPLE` vectors a level); every vector is indexed and searched. Each run audits
+itself: the links of vectors whose id is divisible by `AUDITED` are held against brute force, and where the recall is under
+`RECALL` all links are found anew in blocks, with the widest margin. `recall` holds a result against brute force.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing (they are kept, and
 are components of their own); vectors of different dimensions don't link; repeated rows are members of one class; a null
@@ -43,6 +44,8 @@ SHARD, SHARD_MOST, OVERLAP, SAMPLE, LEVELS = 1000, 4000, 3, 20_000, 3
 POOL, DEGREE, BACK, FAR, ALPHA, BEAM, QUERIES = 40, 20, 200, 12, 1.2, 24, 256
 #: Vectors of a block, queries that one task holds against it, deviations that a margin allows for, vectors it is measured on.
 BLOCK, BLOCK_QUERIES, DEVIATIONS, MEASURED = 8192, 65_536, 3, 4000
+#: Ids that are audited are divisible by this; the recall below which the search is widened; audited vectors at once.
+AUDITED, RECALL, AUDITED_ROWS = 50, 0.9, 10_000
 #: A cell is tight if this share of its sampled pairs link.
 TIGHT = 0.2
 
@@ -436,7 +439,7 @@ def crossing(rows: DataFrame, tops: dict, radius: float, unshared: bool = True,
 
 def _dealt(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, dict]:
     """node, vector, weight, shard (a row for each shard that the class is in, none for those of tight cells); and what
-    crossing() takes of the cells of dimensions whose vectors aren't all in all shards."""
+    crossing() takes of the cells of each dimension, with whether some of its vectors share no shard."""
     spark = classes.sparkSession
     rows = classes.select("node", "vector", "weight", F.size("vector").alias("dim"))
     sizes = {r[0]: r[1] for r in rows.groupBy("dim").agg(F.count("*")).collect()}
@@ -495,11 +498,42 @@ def _dealt(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, dict]
         cut = True
         work = made.where(F.col("shard").isin(list(counts))).withColumn("path", F.col("shard").cast("string"))
         open_ = {str(s): n for s, n in counts.items()}
-    return done.dropDuplicates(["node", "shard"]), {d: t for d, t in tops.items() if cut or len(t[1]) > OVERLAP or dense[f"d{d}"].any()}
+    parted = {d: cut or len(t[1]) > OVERLAP or bool(dense[f"d{d}"].any()) for d, t in tops.items()}
+    return done.dropDuplicates(["node", "shard"]), {d: (t, parted[d]) for d, t in tops.items()}
+
+
+def audit(classes: DataFrame, counts: DataFrame, radius: float) -> float:
+    """Share of the links of the classes (node, vector, weight, asked) that are asked for which counts (node, n) has."""
+    ask = written(classes.where("asked").join(counts, "node", "left").select("node", "vector", F.coalesce("n", F.lit(0)).alias("n")), "asked")
+    has, rounds = ask.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rounds, true = -(-rounds // AUDITED_ROWS), 0
+    for i in range(rounds):
+        pdf = ask.where(F.pmod(F.xxhash64("node"), F.lit(rounds)) == i).select("node", "vector").toPandas()
+        if not len(pdf):
+            continue
+        groups = {d: (g["node"].to_numpy(), _unit(np.stack(g["vector"].to_numpy()))) for d, g in pdf.groupby(pdf["vector"].map(len))}
+        mine = classes.sparkSession.sparkContext.broadcast(groups)
+
+        def count(batches: Iterator[pd.DataFrame], mine=mine) -> Iterator[pd.DataFrame]:
+            total = 0
+            for b in batches:
+                for dim, part in b.groupby(b["vector"].map(len)):
+                    nodes, q = mine.value.get(dim, (None, None))
+                    for at in range(0, len(part) if q is not None else 0, 512):
+                        some = part.iloc[at : at + 512]
+                        hits = q @ _unit(np.stack(some["vector"].to_numpy())).T >= radius
+                        hits &= nodes[:, None] != some["node"].to_numpy()[None]
+                        total += int(hits.sum(axis=0) @ some["weight"].to_numpy())
+            yield pd.DataFrame({"n": [total]})
+
+        true += classes.select("node", "vector", "weight").mapInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        mine.destroy()
+    return has / true if true else 1.0
 
 
 def linked(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Of classes (node, vector, weight): (node, n) with the vectors that each links to, and links (a, b)."""
+    """Of classes (node, vector, weight, asked): (node, n) with the vectors that each links to, and links (a, b)."""
+    asked, classes = classes, classes.drop("asked")
     members, tops = _dealt(classes, radius)
     members = written(members, "members")
 
@@ -535,11 +569,15 @@ def linked(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataF
 
     found = members.join(union, "node").groupBy("shard").applyInPandas(find, "node long, n long, root long")
     found = written(found, "found")
-    if tops:
-        none = F.array().cast("array<long>")
-        placed = classes.join(union.select("node", "shards"), "node", "left").withColumn("shards", F.coalesce("shards", none))
-        found = found.unionByName(crossing(placed, tops, radius))
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    none = F.array().cast("array<long>")
+    placed = classes.join(union.select("node", "shards"), "node", "left").withColumn("shards", F.coalesce("shards", none))
+    if parted := {d: t for d, (t, some) in tops.items() if some}:
+        found = found.unionByName(crossing(placed, parted, radius))
+    counts = written(found.groupBy("node").agg(F.sum("n").alias("n")), "counts")
+    if audit(asked, counts, radius) < RECALL:
+        most = float(np.sqrt(max(0.0, 1 - radius * radius)))
+        found = crossing(placed, {d: (first, c, most) for d, ((first, c, _), _) in tops.items()}, radius, False)
+        counts = written(found.groupBy("node").agg(F.sum("n").alias("n")), "counts")
     return counts, found.where("root >= 0").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
@@ -549,9 +587,10 @@ def grouped(vectors: DataFrame, radius: float = RADIUS) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("vector"))
     fine = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fine = F.coalesce(fine & F.exists("vector", lambda v: v != 0), F.lit(False))
-    classes = rows.where(fine).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    asked = F.coalesce(F.max(F.col("vec_id") % AUDITED == 0), F.lit(False))
+    classes = rows.where(fine).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), asked.alias("asked"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    counts, links = linked(classes.select("node", "vector", "weight"), radius)
+    counts, links = linked(classes.select("node", "vector", "weight", "asked"), radius)
     joined = classes.join(counts, "node", "left").join(components(links, "a", "b"), "node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     named = joined.groupBy("component").agg(F.min("first").alias("component_id"))

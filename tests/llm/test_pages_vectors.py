@@ -229,3 +229,21 @@ def test_unshared_links_over_blocks_and_salts(spark, monkeypatch):
             n[r["node"]] += r["n"]
         assert (n == ((near & apart) if unshared else near) @ weight).all()
         assert len(set(union_find(len(x), [(r["root"], r["node"]) for r in found if r["root"] >= 0]))) == len(set(union_find(len(x), zip(*np.nonzero(near)))))
+
+
+def test_a_run_of_low_recall_is_widened(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = planted(rng, 1600, [(700, 0.22)])
+    x += [x[-1]] * 3
+    monkeypatch.setattr(embedding_dedup, "SHARD", 50)
+    monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 200)
+    monkeypatch.setattr(embedding_dedup, "RECALL", 0.999)
+    monkeypatch.setattr(embedding_dedup, "margin", lambda *_: -1.0)
+    monkeypatch.setattr(embedding_dedup, "tight", lambda x, c, radius: np.zeros(len(c), bool))
+    monkeypatch.setattr(embedding_dedup, "AUDITED_ROWS", 20)
+    # The group comes first in ids, so that ids divisible by 50 are among it.
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x[::-1])], "vec_id long, embedding array<float>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.grouped(rows).collect()}
+    u = embedding_dedup._unit(np.array(x[::-1], np.float32))
+    near = u @ u.T >= 0.9
+    assert [got[i] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
