@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags; each block knows its text, the sh
 share of its words that are stop words (of the list that fits the page best), and the elements around it. The first pass
 calls a block good, bad, short or near-good from these; the second gives undecided blocks the label of their nearest
 decided neighbours. Elements that never hold article text (navigation, footers, forms, adverts, comments and the like, by
-tag, role or class) decide their blocks before any rule.
+tag, role or class) decide their blocks before any rule. An <article> or <main> around a block is one more signal for it:
+fewer stop words are asked for, and on a page without any good block those inside that aren't bad are. Where none of the
+lists fits a page, as in other languages, length and links decide alone.
 
 Defined cases: a null or empty html gives an empty text; markup that isn't closed ends where its parent does; a page with
 no block that passes gives an empty text; repeated rows are read each on its own; null ids and urls are kept; an empty
@@ -61,6 +63,8 @@ _WORD = re.compile(r"\w+")
 
 SHORT, LONG = 40, 80
 LOW_STOP, HIGH_STOP, LINKS = 0.10, 0.20, 0.5
+#: Share of a page's words under which no list fits it.
+FITTING = 0.05
 
 
 @dataclass
@@ -151,7 +155,7 @@ def blocks(html: str) -> list[Block]:
                 if k is not None and open_[k][0] == "p":
                     end(k)
         header_beside = tag == "header" and not main
-        beside = tag in ASIDE or header_beside or (tag not in ("html", "body", "article", "main") and (_names_aside(attributes) or bool(_HIDDEN.search(attributes))))
+        beside = tag in ASIDE or header_beside or (tag not in ("html", "body", "main") and (_names_aside(attributes) or bool(_HIDDEN.search(attributes))))
         is_main = tag in MAIN
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             open_.append((tag, beside, is_main))
@@ -162,35 +166,37 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def _stop_words(found: list[Block]) -> frozenset[str]:
+def _stop_words(found: list[Block]) -> frozenset[str] | None:
     words = [w for b in found if not b.aside for w in _WORD.findall(b.text.lower())]
-    return max(_STOP, key=lambda s: sum(w in s for w in words))
+    best, stop = max(((sum(w in s for w in words), s) for s in _STOP), key=lambda x: x[0])
+    return stop if best >= FITTING * len(words) else None
 
 
 def first_pass(found: list[Block]) -> None:
     """good, bad, short or near for each block by itself."""
     stop = _stop_words(found)
-    inside = any(b.main and not b.aside for b in found)
     for b in found:
         length = len(b.text)
         words = _WORD.findall(b.text.lower())
-        density = sum(w in stop for w in words) / max(1, len(words))
+        density = sum(w in stop for w in words) / max(1, len(words)) if stop is not None else HIGH_STOP
         links = b.linked / length
-        if b.aside or (inside and not b.main):
+        if b.aside:
             b.label = "bad"
-        elif inside:
-            # Within the article's own element only links and rows of them are in doubt.
-            b.label = "bad" if links > LINKS and length < LONG and not b.heading else "good"
         elif links > LINKS:
             b.label = "bad"
         elif b.heading or length < SHORT:
             b.label = "short" if links == 0 or b.heading else "bad"
-        elif density >= HIGH_STOP:
+        # An <article> or <main> around the block is worth a step of stop words.
+        elif density >= (LOW_STOP if b.main else HIGH_STOP):
             b.label = "good" if length > LONG else "near"
-        elif density >= LOW_STOP:
+        elif density >= LOW_STOP or b.main:
             b.label = "near"
         else:
             b.label = "bad"
+    if not any(b.label == "good" for b in found):
+        for b in found:
+            if b.main and not b.heading and b.label in ("near", "short"):
+                b.label = "good"
 
 
 def second_pass(found: list[Block]) -> None:

@@ -113,6 +113,25 @@ def test_rules_decide_where_no_element_tells():
     assert html_text.main_text(page(body)) == f"Head\n\n{LONG}.\n\nShort.\n\n{LONG} again.\n\nThe end."
 
 
+def test_article_of_a_related_post_is_not_the_page():
+    for card in ("<article class=teaser>", "<article>"):
+        body = f"<div id=content><h1>Head</h1><p>{LONG}.</p><p>{LONG} again.</p></div>{card}<a href=/x>Another post to read</a></article>"
+        assert html_text.main_text(page(body)) == f"Head\n\n{LONG}.\n\n{LONG} again."
+
+
+def test_rules_decide_inside_an_article():
+    rows = "Kx12 77 Zeta9 | Qw34 88 Yota7 | Pl56 99 Xena5 | Mn78 11 Wolf3 | Bv90 22 Vega1 | Hj21 33 Ulm2"
+    linked = f"<p><a href=/y>{LONG}</a></p>"
+    assert html_text.main_text(page(f"<article><h1>Head</h1><p>{LONG}.</p>{linked}</article>")) == f"Head\n\n{LONG}."
+    assert html_text.main_text(page(f"<p>{LONG}.</p><main><p>{rows}</p></main>")) == f"{LONG}.\n\n{rows}"
+    assert html_text.main_text(page("<article><h1>Head</h1><p>Just a line.</p></article>")) == "Head\n\nJust a line."
+
+
+def test_languages_without_a_list():
+    text = "Kissa istui matolla koko pitkän iltapäivän, eikä kukaan talossa tullut huomanneeksi, miten hiljaista siellä jo oli"
+    assert html_text.main_text(page(f"<h2>Kissa</h2><p>{text}.</p><div><a href=/k>{text}</a></div>")) == f"Kissa\n\n{text}."
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "</p></p>", "<script>", "<!-- ", "<p><b><i>x", "plain", "&#xD800; &bogus;", "<article></article>"])
 def test_broken_pages(html):
     assert isinstance(html_text.main_text(html), str)
