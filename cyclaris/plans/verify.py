@@ -158,8 +158,8 @@ def checks(lines: DataFrame, replicon_ids: DataFrame | None = None, strict: bool
     return rows.select("record_idx", F.inline(each)).select("rule", "passed", "message", "record_idx")
 
 
-def kernel_failures(lines: DataFrame) -> DataFrame:
-    """The failures of the stricter-typed profile of seven rules: rule, message, record_idx (from 0)."""
+def _kernel_checks(lines: DataFrame) -> DataFrame:
+    """record_idx, record and made (the checks of the stricter-typed profile of seven rules) of each line that isn't blank."""
     rows = lines.where(F.trim("value") != "").withColumn("record", F.try_parse_json("value"))
     x, eps, conf = _number(_get("value")), _number(_get("epsilon")), _number(_get("confidence"))
     metric = _text("metric_name")
@@ -188,10 +188,27 @@ def kernel_failures(lines: DataFrame) -> DataFrame:
     )
     gone = F.array(check("ProvenancePresent", F.lit(False), "Missing provenance object"))
     each = F.when(F.col("record").isNull() | _get("provenance").isNull(), gone).otherwise(all_checks)
-    made = rows.select((F.col("record_idx") - 1).alias("record_idx"), F.inline(each))
+    return rows.select("record_idx", "record", each.alias("made"))
+
+
+def kernel_failures(lines: DataFrame) -> DataFrame:
+    """The failures of the stricter-typed profile of seven rules: rule, message, record_idx (from 0)."""
+    made = _kernel_checks(lines).select((F.col("record_idx") - 1).alias("record_idx"), F.inline("made"))
     return made.where("not passed").select("rule", "message", "record_idx")
 
 
+def kernel_summary(lines: DataFrame) -> DataFrame:
+    """That profile's counters, one row: total_records (blank lines too), total_checks, passed, failed.
+
+    A record counts seven checks, whatever of it could be checked; a line that doesn't parse is one failed check.
+    """
+    failed = F.size(F.filter("made", lambda c: ~c["passed"]))
+    n = F.when(F.col("record").isNull(), 1).otherwise(7)
+    sums = {"total_checks": n, "passed": n - failed, "failed": failed}
+    made = _kernel_checks(lines).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()))
+    return lines.agg(F.count("*").alias("total_records")).join(made)
+
+
 def summary(found: DataFrame, lines: DataFrame) -> DataFrame:
     """total_records, total_checks, passed, failed, pass_rate: one row."""
     total = lines.where(F.trim("value") != "").agg(F.count("*").alias("total_records"))

@@ -660,6 +660,21 @@ def verify_kernel(spark: SparkSession, d: str) -> DataFrame:
     return verify.kernel_failures(_lines(spark, d)).select("rule", "record_idx")
 
 
+@query("verify_kernel_summary", _FAULTS + """, failures as (
+      select i from f where broken or (not blank and no_prov)
+      union all select i from pr where p = 0
+      union all select i from pr where p = 1
+      union all select i from pr where e = 0
+      union all select i from pr where c <= 1
+      union all select i from pr where v = 1
+      union all select i from pr where not quoted and (metric in ('gc_fraction', 'dmin_over_L') and x not between 0 and 1
+        or metric = 'orbit_ratio' and x not between 0.25 and 1 or metric = 'length_bp' and x <= 0)),
+    n as (select count(*) as total_records, sum(case when broken then 1 when blank then 0 else 7 end)::bigint as total_checks from f)
+    select total_records, total_checks, total_checks - (select count(*) from failures) as passed, (select count(*) from failures) as failed from n""")
+def verify_kernel_summary(spark: SparkSession, d: str) -> DataFrame:
+    return verify.kernel_summary(_lines(spark, d))
+
+
 @query("knowledge_verified", _REPLICONS + """select rule, count(*) as n from (
       select unnest(['provenance_atlas_git_sha', 'provenance_timestamp_utc', 'provenance_pipeline_seed', 'provenance_pipeline_max',
         'provenance_assembly_accession', 'provenance_replicon_id', 'epsilon_nonneg', 'confidence_range', 'validity_holds', 'no_miracles',

@@ -166,3 +166,13 @@ def test_stream_of_replicons(spark, tmp_path):
     q = read_stream(spark, str(src)).writeStream.format("memory").queryName("replicons").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("replicons").count() == 3
+
+
+def test_kernel_counters(spark):
+    good = '{"metric_name": "gc_fraction", "value": 0.5, "epsilon": 0.0, "confidence": 1.0, "provenance": {"atlas_git_sha": "a", "timestamp_utc": "t"}}'
+    lines = [good, "", good.replace("0.5", "1.5").replace('"a"', '""'), "{", '{"value": 1}', "  ", good]
+    df = spark.createDataFrame([(i + 1, v) for i, v in enumerate(lines)], "record_idx long, value string")
+    # Four records of seven checks with 0, 2, 1 and 0 failures, and a line that doesn't parse.
+    assert tuple(verify.kernel_summary(df).first()) == (7, 29, 25, 4)
+    assert verify.kernel_failures(df).count() == 4
+    assert tuple(verify.kernel_summary(df.where("record_idx < 0")).first()) == (0, 0, 0, 0)
