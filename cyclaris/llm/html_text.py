@@ -1,23 +1,29 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags; each block knows its text, the share of its letters inside links, the
-share of its words that are stop words (of the list that fits the page best), and the elements around it. The first pass
-calls a block good, bad, short or near-good from these; the second gives undecided blocks the label of their nearest
-decided neighbours. Elements that never hold article text (navigation, footers, forms, adverts, comments and the like, by
-tag, role or class) decide their blocks before any rule. An <article> or <main> around a block is one more signal for it:
-fewer stop words are asked for, and on a page without any good block those inside that aren't bad are. Where none of the
-lists fits a page, as in other languages, length and links decide alone.
-
-Defined cases: a null or empty html gives an empty text; markup that isn't closed ends where its parent does; a page with
-no block that passes gives an empty text; repeated rows are read each on its own; null ids and urls are kept; an empty
-table gives an empty result; further columns are ignored.
+A page is read once, from left to right, and cut into blocks at block-level tags; each block knows its text, the share of
+its letters inside links, the share of its words that are stop words (of the list that fits it best), and the elements
+around it. The first pass calls a block good, bad or undecided from these; the second gives undecided blocks the label of
+their nearest decided neighbours. Elements that never hold article text (navigation, footers, forms, adverts, comments and
+the like, by tag, role or class) decide their blocks before any rule. An <article> or <main> around a block is one more
+signal for it: fewer stop words are asked for, and on a page without any good block those inside that aren't bad are.
+Where none of the lists fits a page, as in other languages, length and links decide alone.
+
+The reader takes time in proportion to the page, whatever is in it: tags are matched without going back, an element is
+left in as many steps as it had open elements inside, and a mark that has no end takes the rest of the page with it.
+
+Defined cases: a null or empty html gives an empty text; markup that isn't closed ends where its parent does; a comment,
+script or tag without an end takes the rest of the page; a page with no block that passes gives an empty text; very long
+pages are read whole; repeated rows are read each on its own; null ids and urls are kept; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -36,16 +42,30 @@ STOP_WORDS = {
 _STOP = [frozenset(w.split()) for w in STOP_WORDS.values()]
 
 #: Elements by their part in a page.
-SILENT = frozenset("script style noscript template svg math head iframe object canvas audio video select textarea button datalist".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+MUTE = frozenset("noscript template svg math object canvas audio video select button datalist".split())
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th "
-    "thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr "
+    "ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
-_HEADING = re.compile("h[1-6]$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose open ends outside an end tag inside doesn't reach, and the end tags that reach through them.
+SCOPES = frozenset("table td th caption".split())
+TABLE_PARTS = frozenset("table caption tbody thead tfoot tr td th".split())
+#: An element that begins ends these, if they are what is open innermost.
+ENDED = {
+    **{h: HEADINGS for h in HEADINGS},
+    **dict.fromkeys(("dd", "dt"), frozenset(("dd", "dt"))),
+    **dict.fromkeys(("td", "th"), frozenset(("td", "th"))),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), frozenset("td th tr tbody thead tfoot".split())),
+    **{t: frozenset((t,)) for t in ("li", "option")},
+    "tr": frozenset(("td", "th", "tr")),
+    "body": frozenset(("head",)),
+}
 #: Words in class, id or role that name parts beside the article; whole words, as names are cut at - and _.
 ASIDE_NAMES = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo promotion comment comments commentlist reply "
@@ -54,145 +74,240 @@ ASIDE_NAMES = frozenset(
     "related recommended widget toolbar pagination pager masthead topbar header skip complementary contentinfo "
     "discussion responses teaser outbrain taboola".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_NAME_CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>)""", re.S)
+_OPEN = re.compile("<(?=[a-zA-Z/!?])")
+#: A tag: its name and attributes, whose values may hold any signs in quotes. Nothing that was matched is given up again.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'][^\s]*+))?+""")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_NAME_CUT = re.compile(r"[^a-z0-9]+")
 _WHITE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
+#: References to characters by more digits than any character's number has, which unescape() can't read.
+_ZEROS, _HUGE = re.compile("(&#[xX]?)0{6,}+"), re.compile("&#(?:[0-9]{9,}+|[xX][0-9a-fA-F]{9,}+);?")
 
 SHORT, LONG = 40, 80
-LOW_STOP, HIGH_STOP, LINKS = 0.10, 0.20, 0.5
+LOW_STOP, HIGH_STOP, LINKS, FEW_LINKS = 0.10, 0.20, 0.5, 0.2
 #: Share of a page's words under which no list fits it.
 FITTING = 0.05
 
 
 @dataclass
 class Block:
-    pieces: list[str] = field(default_factory=list)
+    text: str
     linked: int = 0
     aside: bool = False
-    main: bool = False
+    main: int = 0  # the number of the outermost <article> or <main> around it, or zero
     heading: bool = False
-    text: str = ""
     label: str = ""
 
 
-def _names_aside(attributes: str) -> bool:
+def _beside(attributes: str) -> bool:
+    """Whether an element's attributes name a part beside the article, or hide it."""
     for m in _ATTRIBUTE.finditer(attributes):
-        for name in m[1].strip("\"'").split():
-            if ASIDE_NAMES.intersection(_NAME_CUT.split(name.lower())) and not name.lower().startswith(("has-", "no-", "with-")):
-                return True
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key in ("class", "id", "role"):
+            for name in value.lower().split():
+                if not name.startswith(("has-", "no-", "with-")) and ASIDE_NAMES.intersection(_NAME_CUT.split(name)):
+                    return True
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return True
     return False
 
 
+_beside_known = lru_cache(4096)(_beside)
+
+
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", text))
+    return unescape(text)
+
+
+class _Reader:
+    """What is open while a page is read: block elements, and inline ones that bear on their text."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.pieces: list[str] = []
+        self.linked, self.link = 0, False  # letters of the block inside links; whether a link is open
+        self.asides = self.mains = self.mutes = self.headings = self.inline = 0
+        self.main_number = 0
+        self.about = (False, 0, False)
+        # tag, beside, main, mute, heading, whether a link was open, the place of the block that it is or stands in
+        self.open: list[tuple[str, bool, bool, bool, bool, bool, int]] = []
+        self.scopes, self.total = [Counter()], Counter()
+
+    def text(self, text: str) -> None:
+        if self.mutes:
+            return
+        plain = _decoded(text)
+        self.pieces.append(plain)
+        if self.link:
+            self.linked += len(plain.strip())
+
+    def flush(self) -> None:
+        """Ends the block of text; what follows is another."""
+        if self.pieces:
+            text = _WHITE.sub(" ", "".join(self.pieces)).strip()
+            if text:
+                aside, main, heading = self.about
+                self.out.append(Block(text, self.linked, aside, main, heading))
+            self.pieces, self.linked = [], 0
+        self.about = (self.asides > 0, self.main_number if self.mains else 0, self.headings > 0)
+
+    def enter(self, tag: str, beside: bool, mute: bool) -> None:
+        main, heading, block = tag in MAIN, tag in HEADINGS, tag in BLOCK
+        if main and not self.mains:
+            self.main_number += 1
+        base = len(self.open) if block or not self.open else self.open[-1][6]
+        self.open.append((tag, beside, main, mute, heading, self.link, base))
+        self.asides, self.mains, self.mutes, self.headings = self.asides + beside, self.mains + main, self.mutes + mute, self.headings + heading
+        self.inline += not block
+        self.scopes[-1][tag] += 1
+        self.total[tag] += 1
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+
+    def leave(self) -> str:
+        tag, beside, main, mute, heading, link, _ = self.open.pop()
+        if tag in SCOPES:
+            self.scopes.pop()
+        self.scopes[-1][tag] -= 1
+        self.total[tag] -= 1
+        self.asides, self.mains, self.mutes, self.headings = self.asides - beside, self.mains - main, self.mutes - mute, self.headings - heading
+        self.inline -= tag not in BLOCK
+        self.link = self.link and link
+        return tag
+
+    def leave_block(self, tags: frozenset[str]) -> bool:
+        """Leaves the innermost block element if it is one of these, with the inline ones in it."""
+        if not self.open or self.open[self.open[-1][6]][0] not in tags:
+            return False
+        while self.leave() not in BLOCK:
+            pass
+        return True
+
+    def begin(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            self.text("\n")
+        elif tag == "hr":
+            self.leave_block(_P)
+            self.flush()
+        if tag in VOID:
+            return
+        closed = attributes.endswith("/")
+        block, mute = tag in BLOCK, tag in MUTE
+        if block:
+            self.leave_block(_P)
+            if ended := ENDED.get(tag):
+                while self.leave_block(ended):
+                    pass
+        elif tag == "a":
+            self.link = not closed
+        beside = False
+        if tag not in _WHOLE:
+            beside = tag in ASIDE or tag == "header" and not self.mains
+            if attributes and not beside:
+                beside = (_beside_known if len(attributes) < 200 else _beside)(attributes)
+        if block or (mute or beside or self.inline) and not closed:
+            self.enter(tag, beside, mute)
+        if block:
+            self.flush()
+
+    def end(self, tag: str) -> None:
+        if tag in ("br", "p") and not self.scopes[-1][tag]:
+            self.flush()
+            return
+        if tag == "a":
+            self.link = False
+        if tag == "p":
+            self.leave_block(_P)
+        elif (self.total if tag in TABLE_PARTS else self.scopes[-1])[tag]:
+            through = False
+            while (left := self.leave()) != tag:
+                through |= left in BLOCK
+            if through and tag not in BLOCK:
+                self.flush()
+        if tag in BLOCK:
+            self.flush()
+
+
+_P, _WHOLE = frozenset(("p",)), frozenset(("html", "body", "main"))
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
-    out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, begins a part beside the article, begins the main part
-    aside = main = links = 0
-    headings = 0
-    now = Block()
-
-    def close() -> None:
-        nonlocal now
-        text = _WHITE.sub(" ", "".join(now.pieces)).strip()
-        if text:
-            now.text = text
-            out.append(now)
-        now = Block(aside=aside > 0, main=main > 0, heading=headings > 0)
-
-    def end(k: int) -> None:
-        nonlocal aside, main, links, headings
-        for tag, a, m in open_[k:]:
-            aside, main, links, headings = aside - a, main - m, links - (tag == "a"), headings - bool(_HEADING.match(tag))
-        del open_[k:]
-
-    at, n = 0, len(html)
+    reader, at, n = _Reader(), 0, len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text:
-            plain = unescape(text)
-            now.pieces.append(plain)
-            if links:
-                now.linked += len(plain.strip())
+        m = _OPEN.search(html, at)
+        stop = m.start() if m else n
+        if stop > at:
+            reader.text(html[at:stop])
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
-            if tag in BLOCK:
-                if k is not None:
-                    # An end tag reaches over what was left open inside, but a paragraph's not out of its container.
-                    if tag != "p" or not any(t in BLOCK and t != "p" for t, _, _ in open_[k + 1 :]):
-                        end(k)
-                close()
-            elif k is not None and not any(t in BLOCK for t, _, _ in open_[k + 1 :]):
-                end(k)
-            continue
-        attributes = m[3] or ""
-        if tag in SILENT and not attributes.rstrip().endswith("/"):
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else n
-            if tag in BLOCK:
-                close()
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                if tag == "hr":
-                    close()
-                else:
-                    now.pieces.append("\n")
-            continue
-        if tag in BLOCK:
-            if tag == "p" or _HEADING.match(tag):
-                # A paragraph ends the one that is open, with the inline elements in it.
-                k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] in BLOCK), None)
-                if k is not None and open_[k][0] == "p":
-                    end(k)
-        header_beside = tag == "header" and not main
-        beside = tag in ASIDE or header_beside or (tag not in ("html", "body", "main") and (_names_aside(attributes) or bool(_HIDDEN.search(attributes))))
-        is_main = tag in MAIN
-        if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            open_.append((tag, beside, is_main))
-            aside, main, links, headings = aside + beside, main + is_main, links + (tag == "a"), headings + bool(_HEADING.match(tag))
-        if tag in BLOCK:
-            close()
-    close()
-    return out
+        found = _TAG.match(html, stop)
+        if found:
+            at, tag, attributes = found.end(), found[2].lower(), found[3].strip()
+            if found[1]:
+                reader.end(tag)
+            elif tag in RAW and not attributes.endswith("/"):
+                last = _RAW_END[tag].search(html, at)
+                at = last.start() if last else n
+            else:
+                reader.begin(tag, attributes)
+        elif html.startswith("<!--", stop):
+            last = _COMMENT_END.search(html, stop + 2)
+            at = last.end() if last else n
+        elif html[stop + 1] in "!?/" and not html[stop + 2 : stop + 3].isalpha() or html[stop + 1] in "!?":
+            at = html.find(">", stop) + 1 or n
+        else:  # a tag without an end
+            break
+    reader.flush()
+    return reader.out
 
 
-def _stop_words(found: list[Block]) -> frozenset[str] | None:
+def _fitting(found: list[Block]) -> bool:
+    """Whether one of the lists fits a page."""
     words = [w for b in found if not b.aside for w in _WORD.findall(b.text.lower())]
-    best, stop = max(((sum(w in s for w in words), s) for s in _STOP), key=lambda x: x[0])
-    return stop if best >= FITTING * len(words) else None
+    return max(sum(w in s for w in words) for s in _STOP) >= FITTING * len(words)
+
+
+def _density(text: str) -> float:
+    """The share of stop words, of the list of which there are most."""
+    words = _WORD.findall(text.lower())
+    return max(sum(w in s for w in words) for s in _STOP) / max(1, len(words))
+
+
+def _label(b: Block, fits: bool) -> str:
+    """good, bad, or undecided: short, plain (no links, few stop words), near, linked."""
+    length, links = len(b.text), b.linked / len(b.text)
+    if b.aside:
+        return "bad"
+    if links > LINKS:
+        return "linked" if b.main and not b.heading else "bad"
+    if b.heading or length < SHORT:
+        return "short" if b.heading or b.main or links <= FEW_LINKS else "bad"
+    density = _density(b.text) if fits else HIGH_STOP
+    # An <article> or <main> around the block is worth a step of stop words.
+    if density >= (LOW_STOP if b.main else HIGH_STOP):
+        return "good" if length > LONG else "near"
+    if density >= LOW_STOP or b.main:
+        return "near"
+    return "bad" if links else "plain"
 
 
 def first_pass(found: list[Block]) -> None:
-    """good, bad, short or near for each block by itself."""
-    stop = _stop_words(found)
+    """Labels each block by itself; where that leaves no good block, without the lists, and then by <article> and <main>."""
+    fits = _fitting(found)
     for b in found:
-        length = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        density = sum(w in stop for w in words) / max(1, len(words)) if stop is not None else HIGH_STOP
-        links = b.linked / length
-        if b.aside:
-            b.label = "bad"
-        elif links > LINKS:
-            b.label = "bad"
-        elif b.heading or length < SHORT:
-            b.label = "short" if links == 0 or b.heading else "bad"
-        # An <article> or <main> around the block is worth a step of stop words.
-        elif density >= (LOW_STOP if b.main else HIGH_STOP):
-            b.label = "good" if length > LONG else "near"
-        elif density >= LOW_STOP or b.main:
-            b.label = "near"
-        else:
-            b.label = "bad"
+        b.label = _label(b, fits)
+    if fits and not any(b.label == "good" for b in found):
+        for b in found:
+            b.label = _label(b, False)
     if not any(b.label == "good" for b in found):
         for b in found:
             if b.main and not b.heading and b.label in ("near", "short"):
@@ -202,28 +317,30 @@ def first_pass(found: list[Block]) -> None:
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the labels of their nearest decided neighbours; parts beside the article are no neighbours."""
     within = [b for b in found if not b.aside]
+    labels = [b.label for b in within]
     n = len(within)
 
-    def nearest(order: range) -> list[tuple[str, int]]:
-        last, out = ("", n), [("", n)] * n
+    def nearest(order: range) -> list[int | None]:
+        last, out = None, [None] * n
         for i in order:
-            out[i] = (last[0], abs(i - last[1]) if last[0] else n)
-            if within[i].label in ("good", "bad"):
-                last = (within[i].label, i)
+            out[i] = last
+            if labels[i] in ("good", "bad"):
+                last = i
         return out
 
-    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
-    for b, (left, far_left), (right, far_right) in zip(within, before, after):
+    for i, (b, left, right) in enumerate(zip(within, nearest(range(n)), nearest(range(n - 1, -1, -1)))):
+        sides = [x for x in (left, right) if x is not None]
         if b.label == "near":
-            b.label = "good" if "good" in (left, right) else "bad"
-        elif b.label == "short":
+            b.label = "good" if any(labels[x] == "good" for x in sides) else "bad"
+        elif b.label == "linked":
+            # Links stay where the same article goes on behind them.
+            b.label = "good" if [(labels[x], within[x].main) for x in sides] == [("good", b.main)] * 2 else "bad"
+        elif b.label in ("short", "plain"):
             # A heading belongs to what follows it; of two neighbours equally far the good one counts.
             if b.heading:
-                b.label = right or "bad"
-            elif far_left == far_right:
-                b.label = "good" if "good" in (left, right) else "bad"
-            else:
-                b.label = (left if far_left < far_right else right) or "bad"
+                sides = [x for x in (right,) if x is not None]
+            close = min((abs(x - i) for x in sides), default=0)
+            b.label = "good" if any(labels[x] == "good" for x in sides if abs(x - i) == close) else "bad"
 
 
 def main_text(html: str) -> str:
