@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings for the writes of tables: shuffle files go once a write is done (else they stay until the driver collects its
 #: garbage), and batches for Python are bounded in bytes.
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (local runs) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one, in local
+    runs only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='cyclaris-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -60,6 +64,22 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this is looked up in a broadcast table; so many of them at most, those with most rows.
+HOT_ROWS, HOT_KEYS = 4096, 10_000
+
+
+def looked_up(rows: DataFrame, about: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined (inner) with what is known about their key; about has each key once, and in n how many rows have it.
+
+    Frequent keys, at most HOT_KEYS of them, are broadcast, so that no shuffle puts the rows of one into one task; the rows
+    of the others are joined by a shuffle. Both tables are read several times: they should be written ones.
+    """
+    hot = F.broadcast(about.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS))
+    by_broadcast = rows.join(hot, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(about, key)
+    return by_broadcast.unionByName(rest)
+
+
 def dropped(df: DataFrame, folder: str = "") -> None:
     """Deletes a table that written() gave, or one folder of it, that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -7,7 +7,7 @@ are a table in the shared folder, so that lost executors cost one step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -31,8 +31,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     links = written(links, "links")
     state = None
     while True:
-        after = written(_star(_star(links, True), False), "links")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        seen = Observation()
+        stepped = _star(_star(links, True), False)
+        after = written(stepped.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")), "links")
+        now = seen.get
         dropped(links)
         links = after
         if now == state:

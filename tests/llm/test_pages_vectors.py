@@ -6,11 +6,13 @@ import hashlib
 import io
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 
 from cyclaris.llm import embedding_dedup, html_text, warc
 
+from ..helpers import rows_of
 from .cases import saved, union_find
 
 PAGES = "page_id long, url string, html string, refers_to long, record_type string, path string"
@@ -227,27 +229,90 @@ def test_links_of_a_tight_group_over_many_shards(spark, monkeypatch):
     assert len({got[i]["component_id"] for i in range(len(x))}) == len(set(root))
 
 
-def test_unshared_links_over_blocks_and_salts(spark, monkeypatch):
+def test_links_of_dense_cells_over_blocks_and_salts(spark, monkeypatch):
     rng = np.random.default_rng(8)
-    x = np.array(planted(rng, 300, [(200, 0.2), (90, 0.33)]))
+    x = np.array(planted(rng, 300, [(200, 0.2), (90, 0.33)]), np.float64)
     unit = embedding_dedup._unit(x)
     c = embedding_dedup.chained(embedding_dedup.centroids(unit, 9).astype(np.float32))
-    weight, shards = rng.integers(1, 4, len(x)), [sorted({int(s) for s in rng.integers(0, 9, k)}) for k in rng.integers(0, 3, len(x))]
-    rows = spark.createDataFrame(
-        [(i, v.tolist(), int(w), s) for i, (v, w, s) in enumerate(zip(x, weight, shards))], "node long, vector array<float>, weight long, shards array<long>"
-    )
+    weight = rng.integers(1, 4, len(x))
+    rows = spark.createDataFrame([(i, v.tolist(), int(w)) for i, (v, w) in enumerate(zip(x, weight))], "node long, vector array<double>, weight long")
     monkeypatch.setattr(embedding_dedup, "BLOCK_QUERIES", 70)
-    near = unit.astype(np.float32).astype(np.float64)
-    near = near @ near.T >= 0.9
+    near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
-    apart = np.array([[not set(a) & set(b) for b in shards] for a in shards])
-    for unshared in (True, False):
-        found = embedding_dedup.crossing(rows, {32: (40, c, np.sqrt(1 - 0.9**2))}, 0.9, unshared, block=60).collect()
+    own = embedding_dedup.nearest(unit.astype(np.float32), c)
+    for dense in (np.arange(9) % 3 == 0, np.ones(9, bool), np.zeros(9, bool)):
+        asked = near & (dense[own][:, None] | dense[own][None])
+        found = embedding_dedup.crossing(rows, {32: (40, c, np.sqrt(1 - 0.9**2), dense)}, 0.9, block=60).collect()
         n = np.zeros(len(x), int)
         for r in found:
             n[r["node"]] += r["n"]
-        assert (n == ((near & apart) if unshared else near) @ weight).all()
-        assert len(set(union_find(len(x), [(r["root"], r["node"]) for r in found if r["root"] >= 0]))) == len(set(union_find(len(x), zip(*np.nonzero(near)))))
+        assert (n == asked @ weight).all()
+        assert len(set(union_find(len(x), [(r["root"], r["node"]) for r in found if r["root"] >= 0]))) == len(set(union_find(len(x), zip(*np.nonzero(asked)))))
+
+
+def check_against_brute_force(spark, x, share=0.97, parts=3):
+    rows = spark.createDataFrame([(i, np.asarray(v).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(parts)
+    got = {r["vec_id"]: r for r in embedding_dedup.grouped(rows).collect()}
+    u = embedding_dedup._unit(np.array(x, np.float64))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    n = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (n <= near.sum(axis=1)).all() and n.sum() >= share * near.sum()
+    return got, near
+
+
+@pytest.mark.parametrize("force", ["deep", "streamed", "random"])
+def test_shards_are_cut_until_they_fit_and_searched_across(spark, monkeypatch, force):
+    rng = np.random.default_rng(17)
+    x = planted(rng, 900, [(300, 0.2), (150, 0.33), (2, 0.05), (7, 0.1)])
+    monkeypatch.setattr(embedding_dedup, "SHARD", 30 if force == "deep" else 60)
+    monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 70 if force == "deep" else 150)
+    monkeypatch.setattr(embedding_dedup, "FRONTIER", 37)
+    # No cell is tight, so that all links come from the graph.
+    monkeypatch.setattr(embedding_dedup, "tight", lambda x, c, radius: np.zeros(len(c), bool))
+    monkeypatch.setattr(embedding_dedup, "RECALL", 0.0)
+    if force == "streamed":
+        monkeypatch.setattr(embedding_dedup, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(embedding_dedup, "ASSIGNED_ROWS", 100)
+    if force == "random":
+        monkeypatch.setattr(embedding_dedup, "UNCUT", 0.1)
+    got, near = check_against_brute_force(spark, x)
+    assert near.sum() > 10_000
+
+
+def test_a_large_dense_group(spark):
+    rng = np.random.default_rng(23)
+    c = rng.normal(size=16)
+    x = np.concatenate((c + 0.15 * rng.normal(size=(6000, 16)), rng.normal(size=(3000, 16))))
+    check_against_brute_force(spark, x, 0.99, 6)
+
+
+def test_planted_table_equals_sql(spark, tmp_path):
+    rng, x = np.random.default_rng(29), []
+    for size in (2, 3, 10, 60, 200):
+        for spread in (0.05, 0.2, 0.3, 0.35):
+            c = rng.normal(size=24)
+            x += [c + spread * rng.normal(size=24) for _ in range(size)]
+    x += list(rng.normal(size=(500, 24)))
+    x += [x[0]] * 5 + [2 * x[9], -x[9], 1e-100 * x[30], x[40] * (1 + 1e-12)]
+    # Two at 0.9 to within a rounding, one just over and one just under it, in double precision only.
+    e = np.eye(24)
+    x += [e[0], 0.9 * e[0] + np.sqrt(0.19 - 1e-9) * e[1], 0.9 * e[0] + np.sqrt(0.19 + 1e-9) * e[2]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    path = saved(df, tmp_path, "embeddings")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{path}/embeddings.parquet/*.parquet'")
+    want = rows_of(con.sql(embedding_dedup.ORACLE))
+    assert rows_of(embedding_dedup.query(spark, path)) == want
+    links = dict((r[3], r[2]) for r in want[1:])
+    n = len(x)
+    assert links[n - 3] == 1 and links[n - 2] >= 1 and links[n - 1] == 0
+
+
+def test_vectors_told_apart_in_double_precision_only(spark):
+    x = [[1.0, 0.0], [0.9, float(np.sqrt(0.19) - 1e-9)], [1.0, 1e-12], [1e300, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.grouped(rows).collect()} == {0: 3, 1: 3, 2: 3, 3: 3}
 
 
 def test_a_run_of_low_recall_is_widened(spark, monkeypatch):
