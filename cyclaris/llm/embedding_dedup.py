@@ -58,7 +58,7 @@ POOL, DEGREE, BACK, FAR, ALPHA, BEAM, QUERIES = 40, 20, 200, 12, 1.2, 24, 256
 #: Vectors of the frontier that one task holds against a shard's queries.
 FRONTIER = 4096
 #: Vectors of a block, queries that one task holds against it, deviations that a margin allows for, vectors it is measured on.
-BLOCK, BLOCK_QUERIES, DEVIATIONS, MEASURED = 8192, 65_536, 3, 4000
+BLOCK, BLOCK_QUERIES, DEVIATIONS, MEASURED = 2048, 8192, 3, 4000
 #: Ids that are audited are divisible by this; the recall below which the search is widened; audited vectors at once.
 AUDITED, RECALL, AUDITED_ROWS = 50, 0.9, 10_000
 #: A cell is tight if this share of its sampled pairs link.
