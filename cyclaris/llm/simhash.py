@@ -3,13 +3,13 @@
 Fingerprints are deduplicated first, so copies cost nothing further. Two fingerprints within `RADIUS` bits agree on at
 least one of RADIUS + 1 blocks of bits, so rows are dealt out by (block, its value). The number of blocks grows with the
 number of fingerprints: of b blocks, every choice of b - RADIUS that can agree is a key. A key with too many rows is cut
-again by the blocks of its remaining bits, which loses no pair either. Within a bucket, fingerprints stand as bit planes:
+again by the blocks of its remaining bits, which loses no pair either, until it fits. Within a bucket, fingerprints stand as bit planes:
 64 of them to a word. A query's distances to all of them come from carry-save counters over the planes; a stretch of
 planes is left as soon as all its distances exceed the radius. The bucket is searched breadth first, each fingerprint
 against those not yet reached, so a dense group costs few passes and gives a tree of links, not all its pairs.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero, which links like any other; a
-text of fewer words than a shingle is one shingle; repeated rows are members of the same component; a null id is carried,
+text of fewer words than a shingle is one shingle; a very long text is hashed whole, its bits counted in pieces; repeated rows are members of the same component; a null id is carried,
 and never is a component's id unless all its members' are null; an empty table gives an empty result.
 """
 
@@ -20,16 +20,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import table, written
+from .common import looked_up, table, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Rows of a bucket beyond which it is cut again, and how often; the search copes with any size.
-BUCKET_ROWS, CUTS = 20_000, 2
+#: Rows of a bucket beyond which it is cut again; the search copes with any size.
+BUCKET_ROWS = 20_000
 #: Planes that are counted before the distances are looked at, and words that are left together.
 PLANES_AT_ONCE, WORDS_AT_ONCE, QUERIES = 16, 64, 64
 
@@ -190,30 +190,30 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROW
     sets = choices(list(range(64)), block_count(prints.count()), radius)
     masks = [F.col("fp").bitwiseAND(F.lit(_masked(s))) for s in sets]
     key = F.array(*(F.struct(F.lit(str(i)).alias("path"), m.alias("value")) for i, m in enumerate(masks)))
-    rows = prints.select("fp", F.inline(key).alias("path", "value"), F.lit(0).alias("depth"))
+    rows = prints.select("fp", F.inline(key).alias("path", "value"))
     bits_of = {str(i): s for i, s in enumerate(sets)}
-    # Keys of too many rows are cut by blocks of the bits that they don't fix, as two within the radius agree on these.
-    for depth in range(CUTS):
-        counts = rows.where(F.col("depth") == depth).groupBy("path", "value").agg(F.count("*").alias("n"))
-        hot = written(counts.where(F.col("n") > bucket_rows).drop("n"), "hot")
+    # Keys of too many rows are cut by blocks of the bits that they don't fix, as two within the radius agree on these. A key
+    # that leaves no more bits than the radius has 2 ** radius fingerprints at most.
+    depth, done = 0, None
+    while True:
+        hot = written(rows.groupBy("path", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows), "hot")
         paths = [r[0] for r in hot.select("path").distinct().collect()]  # at most as many as there are sets of bits
-        if not paths:
-            break
         cuts = {}
         for p in paths:
-            finer = choices([b for b in range(64) if b not in bits_of[p]], radius + 1, radius)
-            cuts[p] = [(f"{p}.{i}", _masked(sorted({*bits_of[p], *s}))) for i, s in enumerate(finer)]
-            bits_of |= {f"{p}.{i}": sorted({*bits_of[p], *s}) for i, s in enumerate(finer)}
+            if len(free := [b for b in range(64) if b not in bits_of[p]]) > radius:
+                finer = choices(free, radius + 1, radius)
+                cuts[p] = [(f"{p}.{i}", _masked(sorted({*bits_of[p], *s}))) for i, s in enumerate(finer)]
+                bits_of |= {f"{p}.{i}": sorted({*bits_of[p], *s}) for i, s in enumerate(finer)}
+        if not cuts:
+            done = rows if done is None else done.unionByName(rows)
+            break
+        hot = hot.where(F.col("path").isin(list(cuts))).withColumn("key", F.concat_ws(":", "path", "value"))
+        keyed = rows.withColumn("key", F.concat_ws(":", "path", "value"))
+        kept = keyed.join(hot.select("key"), "key", "left_anti").drop("key")
+        done = kept if done is None else done.unionByName(kept)
         made = F.create_map(*(x for p, c in cuts.items() for x in (F.lit(p), F.array(*(F.struct(F.lit(a).alias("path"), F.lit(m).alias("mask")) for a, m in c)))))
-        marked = rows.join(hot.withColumn("_hot", F.lit(True)), ["path", "value"], "left")
-        finer = F.when(F.col("_hot"), made[F.col("path")]).otherwise(
-            F.array(F.struct(F.col("path").alias("path"), F.lit(None).cast("long").alias("mask")))
-        )
-        split = marked.select("fp", "depth", "value", F.inline(finer).alias("path", "mask"))
-        rows = split.select(
-            "fp", "path", F.when(F.col("mask").isNull(), F.col("value")).otherwise(F.col("fp").bitwiseAND(F.col("mask"))).alias("value"),
-            F.when(F.col("mask").isNull(), F.col("depth")).otherwise(F.lit(depth + 1)).alias("depth"),
-        )
+        split = looked_up(keyed.drop("path", "value"), hot, "key").select("fp", F.inline(made[F.col("path")]).alias("path", "mask"))
+        rows, depth = written(split.select("fp", "path", F.col("fp").bitwiseAND(F.col("mask")).alias("value")), f"cut-{depth}"), depth + 1
 
     def search(parts: list[np.ndarray]) -> pd.DataFrame:
         a, b = forest(np.concatenate(parts).view(np.uint64), radius)
@@ -235,24 +235,27 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROW
         if sum(map(len, rest)) > 1:
             yield search(rest)
 
-    dealt = rows.repartition("path", "value").sortWithinPartitions("path", "value").select("path", "value", "fp")
+    dealt = done.repartition("path", "value").sortWithinPartitions("path", "value").select("path", "value", "fp")
     return dealt.mapInPandas(search_all, "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each fingerprint in prints (doc_id, fp): its component's smallest fingerprint and smallest doc_id."""
-    each = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    """Of each fingerprint in prints (doc_id, fp): n, how many rows have it, its component's smallest fingerprint and
+    smallest doc_id."""
+    each = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     found = components(links(each.select("fp"), radius), "a", "b")
     named = each.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return written(named.join(least, "component").select("fp", "component", "component_id"), "named")
+    named = written(named.withColumn("component", F.coalesce("component", "fp")), "members")
+    # A component may hold a large part of all fingerprints: it is no key of a shuffle then.
+    least = written(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "least")
+    named = looked_up(named.drop("first"), least, "component", "members")
+    return written(named.select("fp", "n", "component", "component_id"), "named")
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component (a fingerprint), component_id (a doc_id)."""
     prints = written(fingerprints(docs), "prints")
-    return prints.join(classes(prints, radius), "fp")
+    return looked_up(prints, classes(prints, radius), "fp").drop("n")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -267,13 +270,13 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     lost = written(lost.union(repeated).distinct(), "lost")
     once = docs.where("doc_id is not null").join(lost, F.col("doc_id") == F.col("_id"), "left_anti")
     others = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
-    others = others.withColumn("_fp", fingerprint_of(F.col("text").cast("string")))
-    named = groups.select(F.col("fp").alias("_fp"), F.col("component").alias("_component"), "component_id").distinct()
-    others = others.join(named.withColumnRenamed("component_id", "_first"), "_fp").where("doc_id <=> _first")
-    # Equal ids in one component: any one of them, the same each time for equal texts.
-    picked = F.row_number().over(Window.partitionBy("_component").orderBy("text"))
-    others = others.withColumn("_nth", picked).where("_nth = 1")
-    return once.unionByName(others.select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    others = others.select(row, fingerprint_of(F.col("text").cast("string")).alias("fp"), F.col("doc_id").alias("id"), F.col("text").alias("by"))
+    named = groups.groupBy("fp").agg(F.count("*").alias("n"), F.first("component").alias("component"), F.first("component_id").alias("least"))
+    others = looked_up(others, written(named, "named"), "fp").where("id <=> least")
+    # Equal ids in one component: that with the least text. The minimum is taken before the shuffle, so no key is hot.
+    picked = others.groupBy("component").agg(F.min_by("row", F.coalesce("by", F.lit(""))).alias("row"))
+    return once.unionByName(picked.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
