@@ -87,6 +87,17 @@ def dropped(df: DataFrame, folder: str = "") -> None:
             removed(df.sparkSession, path)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text as one file of the shared folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

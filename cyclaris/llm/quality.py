@@ -4,26 +4,34 @@ Base measures are computed once per text, by expressions that stay linear (or n
 3-word windows are hashed with their position into one sorted array, neighbours with equal hashes are candidates, and
 the candidates' words decide, so a hash that two windows share by chance changes nothing. No row is ever shuffled.
 
-The cascade: every rule is timed on a sample and its rejections there are counted; the rules then run in the order of
-rejections per second, and a text leaves at the first rule that it fails. The order changes the work, never the verdict.
-
-Defined cases: a null or blank text has no words and is rejected by the base rule; repeated rows are judged each on its
-own; null ids are kept; an empty table gives an empty result; `judged` keeps further columns unless they bear a result's
+The cascade: on a sample each rule's rejections are counted, and its cost is estimated by many evaluations against a rule
+that does nothing; the rules then run in the order of rejections per cost, and a text leaves at the first rule that it
+fails. Costs count in powers of `COST_STEP` from `COST_LEAST` on and ties go by name, so that noise doesn't change the
+order. The order changes the work, never the verdict; `rejected_by` names the rule at which a text left, and is the same in
+every run with the same order. The sample is the first rows that the first input splits give, which reads as many splits as
+it needs: it orders rules and nothing else.
+
+Defined cases: a null or blank text has no words and is rejected by the base rule; a very long text is measured whole (only
+the sample leaves it out); repeated rows are judged each on its own; null ids are kept; an empty table gives an empty result; `judged` keeps further columns unless they bear a result's
 name, which then replaces them; `filtered` gives the rows back as they are.
 """
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, put, table, written
 
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: The sample on which rules are timed: this share of the rows, so many of them at most. It orders rules, nothing else.
-SAMPLE_SHARE, SAMPLE_ROWS = 0.2, 300
+#: The sample on which rules are timed: so many rows, of texts up to this length. Evaluations of a rule for each row, and
+#: times that they are timed, of which the shortest counts.
+SAMPLE_ROWS, SAMPLE_CHARS, EVALUATIONS, TIMES = 300, 50_000, 30, 2
+#: Seconds of one evaluation below which rules cost the same, and the factor between one cost and the next.
+COST_LEAST, COST_STEP = 5e-6, 4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rules beyond the base rule: the condition under which a text is rejected.
@@ -87,19 +95,43 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
+def sampled(base: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+    """What the rules need of a bounded sample of the texts that pass the base rule: rows come split by split until there
+    are enough."""
+    fine = base.where(~F.col("base_failed") & (F.length("_text") <= SAMPLE_CHARS))
+    fine = fine.select("_text", *(F.col(f"`{c}`") for c in fine.columns if c != "_text" and any(c in r for r in rules.values())))
+    rows = fine.select(F.to_json(F.struct("*"))).limit(SAMPLE_ROWS).collect()
+    spark, path = base.sparkSession, new_path(base.sparkSession, "sample")
+    put(spark, path, "\n".join([r[0] for r in rows]))
+    return written(spark.read.schema(fine.schema).json(path).coalesce(1), "sample")
+
+
+def _seconds(sample: DataFrame, rule: str) -> tuple[float, int]:
+    """How long so many evaluations of a rule take, and how many rows it rejects."""
+    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(EVALUATIONS))).alias("_i")).agg(F.count_if(F.expr(rule)))
+    took = []
+    for _ in range(TIMES):
+        began = time.perf_counter()
+        rejected = many.first()[0]
+        took.append(time.perf_counter() - began)
+    return min(took), rejected // EVALUATIONS
+
+
+def costs(sample: DataFrame, rules: dict[str, str] = RULES) -> dict[str, tuple[float, int]]:
+    """Of each rule: the cost of one evaluation in steps, and the rows of the sample that it rejects."""
+    rows = sample.count()
+    idle, out = _seconds(sample, "_i < 0")[0], {}
+    for name, rule in rules.items():
+        took, rejected = _seconds(sample, rule)
+        each = (took - idle) / max(1, rows * EVALUATIONS)
+        out[name] = COST_STEP ** max(0, round(math.log(max(each, COST_LEAST) / COST_LEAST, COST_STEP))), rejected
+    return out
+
+
 def ordered_rules(base: DataFrame, rules: dict[str, str] = RULES) -> list[str]:
-    """Names of the rules by rejections per second on a bounded sample, the most rewarding first."""
-    sample = base.where("not base_failed").sample(SAMPLE_SHARE, 7).limit(SAMPLE_ROWS).persist()
-    gain = {}
-    try:
-        sample.count()
-        for name, rule in rules.items():
-            began = time.perf_counter()
-            rejected = sample.agg(F.count_if(F.expr(rule))).first()[0]
-            gain[name] = rejected / (time.perf_counter() - began)
-    finally:
-        sample.unpersist()
-    return sorted(rules, key=lambda k: -gain[k])
+    """Names of the rules by rejections per cost on a bounded sample, the most rewarding first; ties by name."""
+    found = costs(sampled(base, rules), rules)
+    return sorted(rules, key=lambda k: (-found[k][1] / found[k][0], found[k][0], k))
 
 
 def first_failed(order: list[str], rules: dict[str, str] = RULES) -> Column:

@@ -73,6 +73,31 @@ def test_quality_verdict_and_order(spark):
     assert set(quality.ordered_rules(quality.measured(df))) == set(quality.RULES)
 
 
+def test_rules_run_by_rejections_per_cost(spark):
+    prose = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, f"{prose} {i} " + ("!!! " if i % 3 == 0 else "") + ("? " * 9 if i % 2 == 0 else "")) for i in range(120)]
+    costly = "length(regexp_replace(_text, '([a-z]+)([0-9]+)', '$2$1')) < 0 or _text rlike '!!!'"
+    rules = {"a_costly": costly, "b_marks": "regexp_count(_text, '[?]') > 5", "c_never": "n_words < 0", "d_rare": "n_symbols > 0"}
+    base = quality.measured(documents(spark, rows))
+    cost = quality.costs(quality.sampled(base, rules), rules)
+    assert {k: n for k, (_, n) in cost.items()} == {"a_costly": 40, "b_marks": 60, "c_never": 0, "d_rare": 0}
+    assert cost["a_costly"][0] > 4 * cost["c_never"][0]
+    # Most rejections for the cost first, costly ones behind; among rules without rejections the cheap ones, by name.
+    assert quality.ordered_rules(base, rules) == ["b_marks", "a_costly", "c_never", "d_rare"]
+    # Other data, another order: now a cheap rule rejects.
+    marked = quality.measured(documents(spark, [(i, t.replace("?", "#")) for i, t in rows]))
+    assert quality.ordered_rules(marked, rules)[0] == "d_rare" and quality.ordered_rules(marked, rules)[-1] == "b_marks"
+    rejected = [sorted(map(tuple, quality.judged(documents(spark, rows), rules).select("doc_id", "rejected_by").collect())) for _ in range(2)]
+    assert rejected[0] == rejected[1]
+
+
+def test_the_sample_reads_few_splits_and_leaves_long_texts_out(spark):
+    base = quality.measured(documents(spark, [(i, " ".join(f"w{j}" for j in range(60 if i % 20 else 12_000))) for i in range(1000)]).repartition(40))
+    sample = quality.sampled(base)
+    assert sample.count() == quality.SAMPLE_ROWS and sample.agg(F.max(F.length("_text"))).first()[0] < 1000
+    assert quality.sampled(quality.measured(documents(spark, []))).count() == 0
+
+
 def test_quality_runs_without_python_or_shuffle(spark):
     plan = quality.judged(documents(spark), order=list(quality.RULES))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
