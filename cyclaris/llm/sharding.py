@@ -1,37 +1,47 @@
 """Resharding by minimum-cost flow: from the sizes of old shards and new capacities to the transfers that move fewest bytes.
 
-The law is `rows`: the new shards' counts are at most one apart. What an old shard gives up are its smallest rows, as every
-row that moves counts the same towards the counts and its own bytes towards the cost. The flow network has one node for
-each old and new shard, never one for a row:
+The law is `rows`: the new shards' counts are at most one apart. An old shard is a file of the table, or the files in a
+folder shard=N; it has a number, and what it may keep stays in the new shard of that number. What it gives up are its
+smallest rows, as every row that moves counts the same towards the counts and its own bytes towards the cost. The flow
+network has one node for each old and new shard, never one for a row, and its edges cost the bytes of the rows on them:
 
-    source -> old shard -> new shard -> sink        an old shard keeps its rows at no cost in the new one of its number
-                           new shard -> spare -> sink   the one row more that some new shards hold
+    source -> old shard -> new shard of its number -> sink     what stays costs nothing
+              old shard -> pool, in blocks of rows             each block at its bytes
+              gone -> pool                                     old shards beyond the new ones give up all
+              pool -> new shards; new shard -> spare -> sink   the one row more that some new shards hold
 
-Which of the new shards hold one row more is left to the flow: keeping one row more saves the bytes of that very row.
-Successive shortest paths solve it on the driver, as its size depends on the numbers of shards alone.
+Which of the new shards hold one row more is left to the flow. Successive shortest paths solve it on the driver, as its size
+depends on the number of new shards alone. What it takes of the table are counts, bytes and, of each old shard that is too
+large, the bytes of the rows that leave it in any case and of the one that is in question.
 
-A row's rank among the rows of its old shard by (size, hash) comes from a range partitioning whose parts are numbered
-within themselves and shifted by the counts of the parts before. So neither a shard nor a size that a third of all rows
-share has to be in one task. Transfers are runs of ranks; a row looks up the run that holds its rank.
+No text is shuffled. A row's place in its old shard by (size, file, position) comes from a range partitioning of these three
+numbers, for the old shards that give up rows only; the driver gets the first row of each transfer. A task that reads a file
+knows from these where each row goes. Only files that lose rows are rewritten; the others stay as they are, parts of their
+new shard. A row's slot is its position in its file behind the rows of the files before it.
 
-Defined cases: a null text has no bytes (size 16, CRC-32 zero); repeated rows are placed each on its own; null ids go to
-old shards by their text; an empty table gives an empty result; columns besides doc_id and text go along to the files
-that `rewritten` writes, under their own names, but for those that bear the name of a result, which replaces them.
+Defined cases: a null text has no bytes (size 16, CRC-32 zero); repeated rows are placed each on its own; null ids are kept;
+very long texts are rows like others; an empty table gives an empty result; columns besides doc_id and text go along to
+the files that `rewritten` writes, under their own names, but for those that bear the name of a result, which replaces them;
+a table that doesn't come from files is written to files first.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import looked_up, new_path, table, written
 
-SHARDS, OLD_SHARDS, OVERHEAD = 40, 32, 16
-#: Bytes of text to a part of the range partitioning, and parts at most: the driver gets and broadcasts a row for each.
-PART_BYTES, PARTS = 32 << 20, 50_000
+SHARDS, OVERHEAD = 40, 16
+#: Old shards at most; of more files several are one. Files up to which their numbers are broadcast.
+OLD_SHARDS, BROADCAST_FILES = 10_000, 100_000
+#: Rows to a part of the range partitioning, and parts at most: the driver gets and broadcasts a row for each.
+PART_ROWS, PARTS = 1 << 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -48,17 +58,17 @@ class Network:
     """A flow network with costs, solved by successive shortest paths with potentials."""
 
     def __init__(self) -> None:
-        self.edges: list[list[int]] = []  # to, capacity left, cost; edge i ^ 1 is its reverse
+        self.edges: list[list] = []  # to, capacity left, cost; edge i ^ 1 is its reverse
         self.out: dict[object, list[int]] = {}
 
-    def add(self, a: object, b: object, capacity: int, cost: int) -> int:
+    def add(self, a: object, b: object, capacity: int, cost: int | Fraction) -> int:
         for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
             self.out.setdefault(x, []).append(len(self.edges))
             self.out.setdefault(y, [])
             self.edges.append([y, c, w])
         return len(self.edges) - 2
 
-    def send(self, source: object, sink: object) -> tuple[int, int]:
+    def send(self, source: object, sink: object) -> tuple[int, int | Fraction]:
         """The largest flow of the smallest cost: amount and cost. Costs are not below zero."""
         height, amount, total = dict.fromkeys(self.out, 0), 0, 0
         number = {x: i for i, x in enumerate(self.out)}
@@ -90,63 +100,74 @@ class Network:
             amount += by
 
 
-def transfers(counts: dict[int, int], marginal: dict[int, int], shards: int) -> list[Transfer]:
-    """What each old shard keeps and gives up so that the new shards' counts are at most one apart.
+def transfers(counts: dict[int, int], gives: dict[int, list[tuple[int, int]]], shards: int) -> tuple[list[Transfer], int]:
+    """What each old shard keeps and gives up so that the new shards' counts are at most one apart, and the bytes that move.
 
-    counts: rows of each old shard. marginal: of an old shard that has more rows than a full new one, the bytes of the
-    largest row that it must give up but could keep if its new shard were among those with one row more.
+    counts: rows of each old shard. gives: of each that gives up rows, blocks of rows and their bytes in the order in which
+    rows leave: of one without a new shard, all; of another, those beyond a full new shard, and the one more that it could
+    keep if its new shard were among those with one row more.
     """
     total = sum(counts.values())
     low, spare = divmod(total, shards)
-    net, moves = Network(), {}
     if not total:
-        return []
+        return [], 0
+    net, stays, leaves = Network(), {}, {}
+    gone = {i: n for i, n in counts.items() if i >= shards}
+    if gone:
+        net.add("source", "gone", sum(gone.values()), 0)
+        net.add("gone", "pool", sum(gone.values()), Fraction(sum(b for i in gone for _, b in gives[i]), sum(gone.values())))
     for i, n in counts.items():
-        net.add("source", ("old", i), n, 0)
-    dear = 1 + max(marginal.values(), default=0)
-    for i in counts:
-        for j in range(shards):
-            # Every row that moves costs the same here; where it is open which of two rows moves, the spare edge decides.
-            moves[i, j] = net.add(("old", i), ("new", j), total, 0 if i == j else dear)
+        if i < shards:
+            net.add("source", ("old", i), n, 0)
+            stays[i] = net.add(("old", i), ("new", i), n, 0)
+            leaves[i] = [net.add(("old", i), "pool", rows, Fraction(b, rows)) for rows, b in gives.get(i, []) if rows]
+    into = {j: net.add("pool", ("new", j), total, 0) for j in range(shards)}
     for j in range(shards):
         net.add(("new", j), "sink", low, 0)
-        # One row more saves a move of these bytes, where the old shard of the number has such a row.
-        saved = marginal.get(j, 0) if counts.get(j, 0) > low else 0
-        net.add(("new", j), "spare", 1, dear - saved)
+        net.add(("new", j), "spare", 1, 0)
     net.add("spare", "sink", spare, 0)
-    net.send("source", "sink")
-    out = []
+    amount, cost = net.send("source", "sink")
+    if amount != total or cost != int(cost):
+        raise RuntimeError("the flow doesn't place every row whole")
+    out, wanting = [], [[j, net.edges[into[j] ^ 1][1]] for j in range(shards)]
     for i in sorted(counts):
+        left = counts[i] if i in gone else sum(net.edges[e ^ 1][1] for e in leaves[i])
         at = 0
-        # The smallest rows leave, so what stays comes last.
-        for j in [*(j for j in range(shards) if j != i), *([i] if i < shards else [])]:
-            n = net.edges[moves[i, j] ^ 1][1]
-            if n:
-                out.append(Transfer(i, j, at, at + n))
-                at += n
-    return out
-
-
-def _measured(docs: DataFrame, old_shard: Column) -> DataFrame:
-    """docs with size and text_crc32; what the operator needs besides is under names of its own."""
-    text = F.col("text").cast("string")
-    made = {
-        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long"),
-        "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
-        "_old": old_shard.cast("int"),
-    }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*made, "shard", "slot", "_salt", "_at")]
-    rows = docs.select(*kept, *(v.alias(k) for k, v in made.items()))
-    return rows.withColumn("_salt", F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()))
-
-
-def ranked(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """rows (with _old, size, _salt) as a table in the shared folder, with _nth, the rank in the old shard by size."""
+        while at < left:
+            if not wanting[0][1]:
+                wanting.pop(0)
+                continue
+            n = min(left - at, wanting[0][1])
+            out.append(Transfer(i, wanting[0][0], at, at + n))
+            wanting[0][1] -= n
+            at += n
+        if at < counts[i]:
+            out.append(Transfer(i, i, at, counts[i]))
+    return out, int(cost)
+
+
+def _filed(docs: DataFrame) -> DataFrame:
+    """docs with file and position of each row, written to files first if it doesn't come from any."""
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MADE, "_file", "_row", "_no", "_old")]
+    try:
+        return docs.select(*kept, *where)
+    except AnalysisException:
+        return written(docs.select(*kept), "old").select(*kept, *where)
+
+
+#: Names of results, which columns of the table can't keep.
+MADE = ("size", "text_crc32", "shard", "slot")
+_TEXT = "cast(text as string)"
+_SIZE = f"cast(coalesce(octet_length({_TEXT}), 0) + {OVERHEAD} as bigint) as size"
+_CRC = f"crc32(cast(coalesce({_TEXT}, '') as binary)) as text_crc32"
+
+
+def ranked(rows: DataFrame, total: int) -> DataFrame:
+    """rows (_old, size, _no, _row; so many) as a table in the shared folder, with _nth, the rank in the old shard by size."""
     spark = rows.sparkSession
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = min(PARTS, max(1, -(-total // part_bytes)))
-    keys = ["_old", "size", "_salt"]
-    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_salt")
+    keys = ["_old", "size", "_no", "_row"]
+    dealt = rows.repartitionByRange(min(PARTS, max(1, -(-total // PART_ROWS))), *keys).sortWithinPartitions(*keys)
     dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
     dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
     # At most one for each part and one more for each old shard: few enough for the driver.
@@ -160,49 +181,96 @@ def ranked(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     return out.withColumn("_nth", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
-def resharded(docs: DataFrame, old_shard: Column, shards: int = SHARDS) -> tuple[DataFrame, list[Transfer]]:
-    """docs with size, text_crc32, shard and slot (gapless in each shard), and the transfers."""
-    rows = ranked(_measured(docs, old_shard))
-    counts = {r[0]: r[1] for r in rows.groupBy("_old").agg(F.count("*")).collect()}
+@dataclass
+class Plan:
+    """Where the rows of a table's files go."""
+
+    docs: DataFrame  # with _file and _row
+    files: DataFrame  # _file, _no, _old, n, bytes
+    runs: DataFrame  # _old, _first (the shard of its first rows), _cuts (size, _no, _row of a run's first row, new), _moves
+    moves: list[Transfer]
+    bytes: int
+
+    def rows(self, moving: bool) -> DataFrame:
+        """The rows of files that lose rows, or of the others, with _old and shard."""
+        runs = self.runs.where(F.col("_moves") == moving)
+        files = self.files.select("_file", "_no", "_old").join(F.broadcast(runs), "_old")
+        # As many as there are files: broadcast where they are few, else joined by a shuffle.
+        files = F.broadcast(files) if self.files.count() <= BROADCAST_FILES else files
+        rows = self.docs.selectExpr("*", _SIZE, _CRC).join(files, "_file")
+        behind = F.filter("_cuts", lambda c: F.struct(c["size"], c["_no"], c["_row"]) <= F.struct("size", "_no", "_row"))
+        shard = F.when(F.size(behind) > 0, F.element_at(behind, -1)["new"]).otherwise(F.col("_first"))
+        return rows.withColumn("shard", shard).drop("_no", "_first", "_cuts", "_moves")
+
+
+def planned(docs: DataFrame, shards: int = SHARDS) -> Plan:
+    """The transfers for the files that docs comes from."""
+    spark, docs = docs.sparkSession, _filed(docs)
+    sizes = written(docs.selectExpr("_file", "_row", _SIZE), "sizes")
+    files = sizes.groupBy("_file").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    # One row for each file, so one task numbers them.
+    number = (F.row_number().over(Window.orderBy("_file")) - 1).alias("_no")
+    own = F.regexp_extract("_file", "/shard=([0-9]{1,9})/", 1)
+    old = F.when(own != "", own.cast("int")).otherwise(F.pmod(F.col("_no"), F.lit(OLD_SHARDS))).alias("_old")
+    files = written(files.select("*", number).select("*", old), "files")
+    about = {r[0]: (r[1], r[2]) for r in files.groupBy("_old").agg(F.sum("n"), F.sum("bytes")).collect()}
+    counts = {i: n for i, (n, _) in about.items()}
     low = sum(counts.values()) // shards
-    # Of an old shard that is too large, the row that leaves last unless its new shard holds one row more.
-    last = [F.struct(F.lit(i).alias("o"), F.lit(n - low - 1).cast("long").alias("n")) for i, n in counts.items() if i < shards and n > low]
-    marginal = {}
-    if last:
-        at_edge = rows.where(F.struct(F.col("_old").alias("o"), F.col("_nth").alias("n")).isin(last))
-        marginal = {r[0]: r[1] for r in at_edge.select("_old", "size").collect()}
-    moves = transfers(counts, marginal, shards)
-    # At most one for each pair of an old and a new shard. A new shard's slots follow its transfers.
-    filled, by_old = {}, {}
-    for t in sorted(moves, key=lambda t: (t.new, t.old)):
-        by_old.setdefault(t.old, []).append((t.first, t.last, t.new, filled.get(t.new, 0) - t.first))
-        filled[t.new] = filled.get(t.new, 0) + t.last - t.first
-    runs = docs.sparkSession.createDataFrame(
-        sorted(by_old.items()), "_old int, _runs array<struct<first:long,last:long,new:int,shift:long>>"
-    )
-    run = F.filter("_runs", lambda r: (r["first"] <= F.col("_nth")) & (F.col("_nth") < r["last"]))[0]
-    placed = rows.join(F.broadcast(runs), "_old").withColumn("_run", run)
-    placed = placed.withColumns({"shard": F.col("_run.new"), "slot": F.col("_nth") + F.col("_run.shift")})
-    return placed.drop("_old", "_nth", "_runs", "_run"), moves
-
-
-def rewritten(docs: DataFrame, old_shard: Column, path: str, shards: int = SHARDS) -> list[Transfer]:
-    """Writes docs in their new shards under path, a folder for each; returns the transfers."""
-    placed, moves = resharded(docs, old_shard, shards)
-    # The parts of the ranking hold runs of ranks, so a task has rows of few shards and nothing is shuffled again.
-    placed.write.partitionBy("shard").parquet(path)
-    return moves
+    cut = {i: n - low - 1 for i, n in counts.items() if i < shards and n > low}
+    gives = {i: [about[i]] for i in counts if i >= shards}
+    ranks = None
+    if cut or gives:
+        asked = spark.createDataFrame([(i, cut.get(i)) for i in (*cut, *gives)], "_old int, _edge long")
+        numbers = looked_up(sizes, files, "_file").select("_old", "size", "_no", "_row")
+        numbers = numbers.join(F.broadcast(asked.select("_old")), "_old", "left_semi")
+        ranks = ranked(numbers, sum(counts[i] for i in (*cut, *gives)))
+        at_edge = ranks.join(F.broadcast(asked), "_old").where("_nth <= _edge")
+        leaving = F.sum(F.when(F.col("_nth") < F.col("_edge"), F.col("size")))
+        for i, sure, more in at_edge.groupBy("_old").agg(leaving, F.sum(F.when(F.col("_nth") == F.col("_edge"), F.col("size")))).collect():
+            gives[i] = [(cut[i], sure or 0), (1, more)]
+    moves, cost = transfers(counts, gives, shards)
+    first = {t.old: t.new for t in moves if not t.first}
+    runs = {i: [] for i in first}
+    later = [(t.old, t.first, t.new) for t in moves if t.first]
+    if later:
+        starts = ranks.join(F.broadcast(spark.createDataFrame(later, "_old int, _nth long, new int")), ["_old", "_nth"])
+        for r in starts.orderBy("_old", "_nth").collect():  # one for each transfer
+            runs[r["_old"]].append((r["size"], r["_no"], r["_row"], r["new"]))
+    lost = {t.old for t in moves if t.old != t.new}
+    schema = "_old int, _first int, _cuts array<struct<size:long,_no:int,_row:long,new:int>>, _moves boolean"
+    table_ = spark.createDataFrame([(i, first[i], runs[i], i in lost) for i in first], schema)
+    return Plan(docs, files, table_, moves, cost)
+
+
+def rewritten(docs: DataFrame, path: str, shards: int = SHARDS) -> Plan:
+    """Writes the rows of files that lose some in their new shards under path, a folder for each; returns the plan."""
+    plan = planned(docs, shards)
+    plan.rows(True).drop("_file", "_row", "_old").write.partitionBy("shard").parquet(path)
+    return plan
+
+
+def resharded(plan: Plan, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the new shards, from the files as they lie there: those written under path, and those that stayed; and
+    of each file how many rows of its shard come before it. A row's slot is that plus its _row."""
+    spark = plan.docs.sparkSession
+    stayed = plan.rows(False).drop("_old")
+    columns = [f"`{c}`" for c in stayed.columns if c not in ("_file", "_row")]
+    moved = spark.read.schema(stayed.select(columns).schema).parquet(path)
+    moved = moved.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = moved.unionByName(stayed)
+    files = written(rows.groupBy("shard", "_file").agg(F.count("*").alias("n")), "new-files")
+    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = written(files.select("_file", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_ahead")), "new-slots")
+    return rows, files
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    old = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), F.lit(OLD_SHARDS))
     path = new_path(spark, "shards")
-    rewritten(docs, old, path)
-    # From the files as they lie there.
-    schema = "doc_id long, text string, size long, slot long, shard int"
-    text = F.coalesce("text", F.lit(""))
-    return spark.read.schema(schema).parquet(path).select(
-        "doc_id", "size", F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+    rows, files = resharded(rewritten(table(spark, sf_dir, "documents"), path), path)
+    # Sizes and sums of the texts as they lie in the files; only these are joined to what is known of the files.
+    text = "cast(coalesce(text, '') as binary)"
+    made = rows.selectExpr("doc_id", f"cast(octet_length({text}) + {OVERHEAD} as bigint) as size", f"crc32({text}) as text_crc32", "shard", "_file", "_row")
+    return looked_up(made, files, "_file").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_ahead") + F.col("_row")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

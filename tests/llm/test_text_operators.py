@@ -346,13 +346,14 @@ def test_sharding_query(spark, docs_dir):
 
 def test_transfers_move_the_fewest_bytes():
     rng = random.Random(12)
-    for _ in range(60):
-        shards, old = rng.randint(1, 4), rng.randint(1, 4)
+    for _ in range(200):
+        shards, old = rng.randint(1, 5), rng.randint(1, 6)
         sizes = {i: sorted(rng.randint(1, 50) for _ in range(rng.randint(0, 9))) for i in range(old)}
         counts = {i: len(s) for i, s in sizes.items() if s}
         low, spare = divmod(sum(counts.values()), shards)
-        marginal = {i: sizes[i][n - low - 1] for i, n in counts.items() if i < shards and n > low}
-        moves = sharding.transfers(counts, marginal, shards)
+        gives = {i: [(n, sum(sizes[i]))] for i, n in counts.items() if i >= shards}
+        gives |= {i: [(n - low - 1, sum(sizes[i][: n - low - 1])), (1, sizes[i][n - low - 1])] for i, n in counts.items() if i < shards and n > low}
+        moves, cost = sharding.transfers(counts, gives, shards)
         new = [sum(t.last - t.first for t in moves if t.new == j) for j in range(shards)]
         assert sum(new) == sum(counts.values()) and max(new) - min(new) <= 1
         moved = sum(sum(sizes[t.old][t.first : t.last]) for t in moves if t.old != t.new)
@@ -360,15 +361,46 @@ def test_transfers_move_the_fewest_bytes():
         for extra in itertools.combinations(range(shards), spare):
             cap = [low + (j in extra) for j in range(shards)]
             best = min(best, sum(sum(sizes[i][: max(0, n - cap[i])]) if i < shards else sum(sizes[i]) for i, n in counts.items()))
-        assert moved == best
+        assert moved == best == cost
 
 
 def test_rewritten_files_keep_other_columns(spark, tmp_path):
     path = f"file://{tmp_path}/out"
-    moves = sharding.rewritten(documents(spark), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)), path, 5)
-    back = spark.read.parquet(path)
-    assert back.count() == len(texts()) == sum(t.last - t.first for t in moves)
-    assert {"source", "lang", "text", "kept"} <= set(back.columns)
+    plan = sharding.rewritten(documents(spark).repartition(4), path, 5)
+    rows, _ = sharding.resharded(plan, path)
+    assert rows.count() == len(texts()) == sum(t.last - t.first for t in plan.moves)
+    assert {"source", "lang", "text", "kept"} <= set(rows.columns)
+
+
+@pytest.mark.parametrize("old, shards", [(3, 8), (9, 4), (5, 5)])
+def test_only_files_that_lose_rows_are_rewritten(spark, tmp_path, monkeypatch, old, shards):
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
+    rng = random.Random(old)
+    rows = [(i % 50, "x" * rng.choice((0, 5, 5, 40, 300))) for i in range(211)]
+    where = saved(documents(spark, rows).repartition(old), tmp_path, "documents")
+    path = f"file://{tmp_path}/out"
+    plan = sharding.rewritten(spark.read.parquet(f"{where}/documents.parquet"), path, shards)
+    before = {(r["_file"], r["_row"]): r for r in plan.docs.select("_file", "_row", "doc_id", "text").collect()}
+    owner = {r["_file"]: r["_old"] for r in plan.files.collect()}
+    lost = {t.old for t in plan.moves if t.old != t.new}
+    new, ahead = sharding.resharded(plan, path)
+    ahead = {r["_file"]: r["_ahead"] for r in ahead.collect()}
+    new = new.select("doc_id", "text", "shard", "_file", "_row").collect()
+    # Rows of the other files are where they were; what moved, by all that is known of each row, costs what the flow says.
+    assert {(r["_file"], r["_row"]) for r in new if r["_file"] in owner} == {k for k in before if owner[k[0]] not in lost}
+    assert sorted((r["doc_id"], r["text"]) for r in new) == sorted((i, t) for i, t in rows)
+    moved = plan.rows(True).where("shard <> _old").agg(F.sum("size")).first()[0] or 0
+    assert moved == plan.bytes
+    slots = collections.defaultdict(list)
+    for r in new:
+        slots[r["shard"]].append(ahead[r["_file"]] + r["_row"])
+    counts = [len(slots[i]) for i in range(shards)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if not lost:
+        return
+    # The result can be dealt anew: its folders are the old shards then.
+    again = sharding.planned(spark.read.parquet(path), shards)
+    assert {t.old for t in again.moves} <= set(range(shards))
 
 
 # Scores
