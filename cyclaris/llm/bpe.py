@@ -4,9 +4,10 @@ Every prefix of a word has exactly one last token in its encoding: the token tha
 last token of what lies before it, and that is compatible with this neighbour, i.e. the two side by side encode to
 themselves. An automaton with suffix links over the vocabulary finds all tokens that end at each place of a word;
 pair-compatibility tests leave one; back-pointers give the ids. Words are pieces of the pre-tokenizer's pattern; the ids
-of recent words and of runs between white space are kept in a bounded table, since text repeats its words.
+of recent words and of runs between white space are kept in bounded tables, since text repeats its words. Texts are decoded
+from their ids alone.
 
-Defined cases: a null text counts as empty; an empty text has no ids and decodes to an empty text; special tokens that
+Defined cases: a null text counts as empty; a very long text is encoded whole; an empty text has no ids and decodes to an empty text; special tokens that
 stand in a text are encoded as such, as the tokenizers library does; repeated rows are encoded each on its own; null ids
 are kept; an empty table gives an empty result.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .packing import tokenizer_path
 
-#: Entries that a worker keeps in each of its tables before it starts anew; bounds memory, not results.
+#: Entries that a worker keeps in each of its tables, twice that while it starts anew; bounds memory, not results.
 KEPT = 250_000
 _SPACE = re.compile("[\t-\r ]+")
 #: Characters beyond these go through the library's normalizer and pre-tokenizer, whose version of Unicode then counts.
@@ -41,6 +42,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class Recent:
+    """What was made of recent keys: the newest entries and those before them, at most KEPT of each."""
+
+    def __init__(self, make) -> None:
+        self.make, self.new, self.old = make, {}, {}
+
+    def __call__(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(self.new) >= KEPT:
+                self.new, self.old = {}, self.new
+            self.new[key] = found
+        return found
+
+
 class Vocabulary:
     """The vocabulary and merges of a tokenizer file, over symbols of one character each.
 
@@ -56,6 +75,8 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
+        if spec.get("decoder") is not None or any(t[k] for t in spec["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError("this tokenizer file decodes or finds its special tokens in another way")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.shown = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         special = set(self.special)
@@ -73,7 +94,7 @@ class Vocabulary:
         for a, b, rank in self.parts.values():
             if any(self.parts.get(x, (0, 0, -1))[2] > rank for x in (a, b)):
                 raise ValueError("a merge comes before one that it needs")
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for symbols, i in ids.items():
             # A token that its own merges don't give as a whole can't be part of an encoding.
@@ -119,12 +140,9 @@ class Vocabulary:
                 b, end_b = in_b[0], in_b[2]
 
     def compatible(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        known = self.fits.get(pair)
-        if known is None:
-            if len(self.fits) > KEPT:
-                self.fits.clear()
-            known = self.fits[pair] = self._meet(left, right, 1 << 60)
+        if len(self.fits) > 4 * KEPT:
+            self.fits.clear()
+        known = self.fits[left << 32 | right] = self._meet(left, right, 1 << 60)
         return known
 
     def encode(self, symbols: str) -> list[int]:
@@ -133,12 +151,19 @@ class Vocabulary:
         if whole is not None:
             return [whole]
         n = len(symbols)
-        last, back, fits = [-1] * (n + 1), [0] * (n + 1), self.compatible
+        last, back, known = [-1] * (n + 1), [0] * (n + 1), self.fits.get
         for end, (length, token) in self.automaton.iter(symbols):
             end += 1
             if last[end] < 0:
                 start = end - length
-                if start == 0 or last[start] >= 0 and fits(last[start], token):
+                before = last[start]
+                if start == 0:
+                    fits = True
+                elif before < 0:
+                    continue
+                elif (fits := known(before << 32 | token)) is None:
+                    fits = self.compatible(before, token)
+                if fits:
                     last[end], back[end] = token, start
         out = []
         while n:
@@ -161,62 +186,60 @@ class WordEncoder:
         if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("this tokenizer file prepares its text in another way")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.bytes = byte_alphabet()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.runs: dict[str, tuple[bytes, str]] = {}
+        self.bytes = dict(enumerate(byte_alphabet()))
+        self.word, self.run = Recent(self._word), Recent(self._run)
         special = self.vocabulary.special
-        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.made = {t: (i.to_bytes(4, "little"), t) for t, i in special.items()}
-
-    def _word(self, symbols: str) -> tuple[bytes, str]:
-        found = self.words.get(symbols)
-        if found is None:
-            if len(self.words) > KEPT:
-                self.words.clear()
-            last = chr(ord(symbols[-1]) + Vocabulary.END) if self.vocabulary.suffix else symbols[-1]
-            ids = self.vocabulary.encode(symbols[:-1] + last)
-            shown = " ".join([self.vocabulary.shown[i] for i in ids])
-            found = self.words[symbols] = np.array(ids, "<u4").tobytes(), shown
-        return found
-
-    def _library(self, run: str) -> list[str]:
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.made = {t: i.to_bytes(4, "little") for t, i in special.items()}
+        # Special tokens hold no white space, so that none reaches over several runs.
+        if any(_SPACE.search(t) for t in special):
+            raise ValueError("a special token holds white space")
+        shown = self.vocabulary.shown
+        self.shown = [shown.get(i, "") for i in range(max(shown) + 1)]
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one piece of the pattern."""
+        # A byte that can be printed in ASCII stands for itself.
+        symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
+        last = chr(ord(symbols[-1]) + Vocabulary.END) if self.vocabulary.suffix else symbols[-1]
+        return np.array(self.vocabulary.encode(symbols[:-1] + last), "<u4").tobytes()
+
+    def _symbols_of(self, run: str) -> list[bytes]:
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))]
+        pieces = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))]
+        back = {c: b for b, c in self.bytes.items()}
+        return [self.word(bytes([back[c] for c in w]).decode()) for w in pieces]
 
-    def _plain(self, run: str) -> list[tuple[bytes, str]]:
+    def _plain(self, run: str) -> list[bytes]:
         if _BEYOND.search(run):
-            return [self._word(w) for w in self._library(run)]
-        words = self.pattern.findall(unicodedata.normalize("NFC", run).lower())
-        return [self._word("".join([self.bytes[b] for b in w.encode()])) for w in words]
-
-    def _run(self, run: str) -> tuple[bytes, str]:
-        pieces = self.cut.split(run) if self.cut is not None and "<" in run else [run]
-        out = []
-        for p in pieces:
-            if p:
-                out += [self.made[p]] if p in self.made else self._plain(p)
-        return b"".join([x for x, _ in out]), " ".join([x for _, x in out])
-
-    def __call__(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian bytes, and the text that they decode to."""
-        runs, known = _SPACE.split(text), self.runs
-        if len(known) > KEPT:
-            known.clear()
-        out = []
-        for r in runs:
-            found = known.get(r)
-            if found is None:
-                found = self._run(r)
-                if len(r) < 100:
-                    known[r] = found
-            out.append(found)
-        return b"".join([x for x, _ in out]), " ".join([x for _, x in out if x])
+            return self._symbols_of(run)
+        return list(map(self.word, self.pattern.findall(unicodedata.normalize("NFC", run).lower())))
+
+    def _run(self, run: str) -> bytes:
+        """The ids of what stands between white space."""
+        if self.cut is None or not self.cut.search(run):
+            return b"".join(self._plain(run))
+        pieces = [p for p in self.cut.split(run) if p]
+        return b"".join([x for p in pieces for x in ([self.made[p]] if p in self.made else self._plain(p))])
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian bytes."""
+        runs = _SPACE.split(text)
+        out = list(map(self.run.new.get, runs))
+        at = -1
+        try:
+            while True:
+                at = out.index(None, at + 1)
+                r = runs[at]
+                out[at] = self.run(r) if len(r) < 100 else self._run(r)
+        except ValueError:
+            return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join([self.vocabulary.shown[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -236,8 +259,8 @@ def encoded(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFram
         for b in batches:
             rows = []
             for text in b["text"]:
-                ids, back = code(text or "")
-                digests = (hashlib.sha256(x).hexdigest() for x in (ids, back.encode()))
+                ids = code(text or "")
+                digests = (hashlib.sha256(x).hexdigest() for x in (ids, code.decode(ids).encode()))
                 rows.append((len(ids) // 4, *digests, ids if keep_ids else None))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"], index=b.index)
             out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
