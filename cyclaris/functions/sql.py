@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..operators.approx import NEAREST, nearest_of
+from ..operators.lift import is_double_cover
 
 #: SQL body of each function; they are inlined, so the optimizer sees through them.
 _BODIES = {
@@ -60,7 +61,11 @@ def register(spark: SparkSession) -> list[str]:
         rows = [x or (None, None, None) for x in nearest_of(seqs.tolist(), True)]
         return pd.DataFrame(rows, columns=["family", "k", "distance"]).astype({"k": "Int64", "distance": "Int64"})
 
-    for f in (dmin, dmin_normalized, nearest_transform):
+    @F.pandas_udf("boolean")
+    def verify_double_cover(ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(n) else is_double_cover(int(n)) for n in ns], dtype="boolean")
+
+    for f in (dmin, dmin_normalized, nearest_transform, verify_double_cover):
         spark.udf.register(f.__name__, f)
     names = [h.split("(")[0] for h in _BODIES]
-    return [*names, "dmin", "dmin_normalized", "nearest_transform"]
+    return [*names, "dmin", "dmin_normalized", "nearest_transform", "verify_double_cover"]

@@ -5,7 +5,9 @@ and then to the smallest k. Three plans give the same results:
 
     arrow    circular correlation by FFT over batches of equal lengths, n log n each; the default
     sql      higher-order functions, n * n, without Python
-    explode  one row a transform and a grouped minimum, for relational use
+    explode  one row a transform and a grouped minimum, for relational use; n * n letters a sequence, by definition
+
+Letters are code points; any that has no complement is its own, in all three plans alike.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from ..functions.sequence import COMPLEMENT, IUPAC, _col, hamming, letters, rev_
 
 FAMILIES = ("SHIFT", "REVERSE_SHIFT", "RC_SHIFT")
 NEAREST = StructType([StructField("family", StringType()), StructField("k", LongType()), StructField("distance", LongType())])
-_COMPLEMENT = bytes.maketrans(IUPAC.encode(), COMPLEMENT.encode())
+#: The complement of each code point under 128; others are their own.
+_COMPLEMENT = np.arange(128, dtype=np.uint32)
+_COMPLEMENT[list(IUPAC.encode())] = list(COMPLEMENT.encode())
 #: Letters of a batch of one length that are correlated at once.
 _AT_ONCE = 1 << 20
 
 
 def _nearest(rows: np.ndarray, include_rc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """family, k, distance for sequences of one length, a row of bytes each."""
+    """family, k, distance for sequences of one length, a row of code points each."""
     m, n = rows.shape
     if n == 0:
         zero = np.zeros(m, np.int64)
@@ -34,7 +38,7 @@ def _nearest(rows: np.ndarray, include_rc: bool) -> tuple[np.ndarray, np.ndarray
     flipped = rows[:, ::-1]
     images = [rows, flipped]
     if include_rc:
-        images.append(np.frombuffer(flipped.tobytes().translate(_COMPLEMENT), np.uint8).reshape(m, n))
+        images.append(np.where(flipped < 128, _COMPLEMENT[np.minimum(flipped, 127)], flipped))
     matches = [np.zeros((m, n)) for _ in images]
     for letter in np.unique(np.concatenate([x.ravel() for x in images])):
         own = np.conj(np.fft.rfft(rows == letter, axis=1))
@@ -59,7 +63,7 @@ def nearest_of(seqs: list[str | None], include_rc: bool) -> list[tuple[str, int,
         step = max(1, _AT_ONCE // max(n, 1))
         for at in range(0, len(members), step):
             part = members[at : at + step]
-            rows = np.frombuffer("".join(seqs[i] for i in part).encode("ascii"), np.uint8).reshape(len(part), n)
+            rows = np.frombuffer("".join(seqs[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
             for i, f, k, d in zip(part, *_nearest(rows, include_rc)):
                 out[i] = (FAMILIES[f], int(k), int(d))
     return out

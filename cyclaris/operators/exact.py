@@ -6,31 +6,51 @@ stands in ww. So period and orbit take one search in a doubled string, without m
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.sequence import _col, rev_comp, reverse, shift
 
 
-def rotational_period(seq: Column | str) -> Column:
-    """Least k > 0 with S^k w = w; 1 for an empty sequence."""
+@F.pandas_udf(LongType())
+def _period(seqs: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else max(1, (s + s).find(s, 1)) for s in seqs], dtype="Int64")
+
+
+@F.pandas_udf(LongType())
+def _classes(seqs: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else 2 - (s[::-1] in s + s) for s in seqs], dtype="Int64")
+
+
+def rotational_period(seq: Column | str, strategy: str = "sql") -> Column:
+    """Least k > 0 with S^k w = w; 1 for an empty sequence.
+
+    The "sql" plan searches letter by letter, n * n steps at worst (long runs of one letter with an odd one), and stays in
+    the JVM; "arrow" searches in linear time whatever the letters, for long sequences full of repeats.
+    """
     seq = _col(seq)
+    if strategy == "arrow":
+        return _period(seq)
     found = F.position(seq, F.concat(seq, seq), F.lit(2)) - 1
     return F.when(F.length(seq) == 0, F.lit(1)).otherwise(found).cast("long")
 
 
-def orbit_size(seq: Column | str) -> Column:
+def orbit_size(seq: Column | str, strategy: str = "sql") -> Column:
     """Number of distinct transforms; 0 for an empty sequence."""
     seq = _col(seq)
+    if strategy == "arrow":
+        return F.when(F.length(seq) == 0, F.lit(0)).otherwise(_period(seq) * _classes(seq)).cast("long")
     classes = F.when(F.position(reverse(seq), F.concat(seq, seq)) > 0, 1).otherwise(2)
     return F.when(F.length(seq) == 0, F.lit(0)).otherwise(rotational_period(seq) * classes).cast("long")
 
 
-def orbit_ratio(seq: Column | str) -> Column:
+def orbit_ratio(seq: Column | str, strategy: str = "sql") -> Column:
     """orbit_size / 2n; 1 for an empty sequence."""
     seq = _col(seq)
     n = F.length(seq)
-    return F.when(n == 0, F.lit(1.0)).otherwise(orbit_size(seq) / F.nullif(2 * n, F.lit(0)))
+    return F.when(n == 0, F.lit(1.0)).otherwise(orbit_size(seq, strategy) / F.nullif(2 * n, F.lit(0)))
 
 
 def is_palindrome(seq: Column | str) -> Column:
@@ -49,17 +69,17 @@ def orbit(seq: Column | str) -> Column:
     return F.when(F.length(seq) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(both))
 
 
-def symmetry_stats(seq: Column | str) -> dict[str, Column]:
+def symmetry_stats(seq: Column | str, strategy: str = "sql") -> dict[str, Column]:
     """The six metrics by name."""
     return {
         "length": F.length(_col(seq)).cast("long"),
-        "orbit_size": orbit_size(seq),
-        "orbit_ratio": orbit_ratio(seq),
+        "orbit_size": orbit_size(seq, strategy),
+        "orbit_ratio": orbit_ratio(seq, strategy),
         "is_palindrome": is_palindrome(seq),
         "is_rc_fixed": is_rc_fixed(seq),
-        "rotational_period": rotational_period(seq),
+        "rotational_period": rotational_period(seq, strategy),
     }
 
 
-def with_symmetry_stats(df: DataFrame, seq: str = "seq") -> DataFrame:
-    return df.withColumns(symmetry_stats(seq))
+def with_symmetry_stats(df: DataFrame, seq: str = "seq", strategy: str = "sql") -> DataFrame:
+    return df.withColumns(symmetry_stats(seq, strategy))

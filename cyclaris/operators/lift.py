@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,16 @@ def double_cover(ns: DataFrame) -> DataFrame:
     return elements(ns).groupBy("n").agg(F.count("*").alias("n_elements"), F.bool_and(same).alias("verified"))
 
 
+def is_double_cover(n: int) -> bool:
+    """For one group, outside a table: whether q and -q project alike for every element."""
+    if n < 2:
+        raise ValueError("n >= 2 is asked for")
+    angle = np.pi * np.arange(2 * n) / n
+    # A rotation and a reflection hold the same two numbers, in the first or the last two places.
+    at = [np.rint(np.arctan2(sign * np.sin(angle), sign * np.cos(angle)) * n / np.pi) % n for sign in (1, -1)]
+    return bool((at[0] == at[1]).all())
+
+
 def relations(ns: DataFrame) -> DataFrame:
     """n and whether a^2n = 1, b^2 = a^n and b^-1 a b = a^-1 hold."""
     n, zero, one = F.col("n"), F.lit(0).cast("long"), F.lit(1).cast("long")

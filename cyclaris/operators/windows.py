@@ -17,22 +17,26 @@ WINDOW_SIZES = (100, 500, 1000, 5000, 10000)
 _PER_CHUNK = 128
 
 
-def _cut(df: DataFrame, text: str, start: str, size: int, step: int, least: int) -> DataFrame:
+def _cut(df: DataFrame, text: str, start: str, size: Column, step: Column, least: Column) -> DataFrame:
     """Rows of pieces of text: size letters (fewer at the end, not under least) at every step; start moves along."""
-    at = F.sequence(F.lit(0), F.length(text) - least, F.lit(step))
+    at = F.sequence(F.lit(0), F.length(text) - least, step)
     rows = df.where(F.length(text) >= least).select("*", F.explode(at).alias("_at"))
-    piece = F.col(text).substr(F.col("_at") + 1, F.lit(size))
+    piece = F.col(text).substr(F.col("_at") + 1, size)
     return rows.withColumns({text: piece, start: F.col(start) + F.col("_at")}).drop("_at")
 
 
-def windows(df: DataFrame, window: int, step: int | None = None, seq: str = "seq", keep_ambiguous: bool = False) -> DataFrame:
-    """df with a row for each window: window_length, window_start (from 0), and the window in place of the sequence."""
-    step = step or window
-    df = df.withColumn("window_start", F.lit(0).cast("long"))
-    chunk = step * (_PER_CHUNK - 1) + window
-    cut = _cut(df, seq, "window_start", chunk, step * _PER_CHUNK, window)
-    cut = _cut(cut, seq, "window_start", window, step, window)
-    cut = cut.withColumn("window_length", F.lit(window).cast("long"))
+def windows(df: DataFrame, window: int | tuple[int, ...], step: int | None = None, seq: str = "seq", keep_ambiguous: bool = False) -> DataFrame:
+    """df with a row for each window: window_length, window_start (from 0), and the window in place of the sequence.
+
+    Several lengths take one pass over df.
+    """
+    sizes = (window,) if isinstance(window, int) else window
+    each = F.array(*(F.struct(F.lit(w).alias("_w"), F.lit(step or w).alias("_s")) for w in sizes))
+    df = df.withColumn("window_start", F.lit(0).cast("long")).select("*", F.inline(each))
+    w, s = F.col("_w"), F.col("_s")
+    cut = _cut(df, seq, "window_start", s * (_PER_CHUNK - 1) + w, s * _PER_CHUNK, w)
+    cut = _cut(cut, seq, "window_start", w, s, w)
+    cut = cut.withColumn("window_length", w.cast("long")).drop("_w", "_s")
     return cut if keep_ambiguous else cut.where(F.col(seq).rlike("^[ACGT]+$"))
 
 
@@ -41,10 +45,7 @@ def window_stats(
     seq: str = "seq", strategy: str = "arrow", keep_ambiguous: bool = False,
 ) -> DataFrame:
     """The window table: exact and approximate metrics of every window of every size."""
-    cut = None
-    for size in sizes:
-        part = windows(df.select(key, F.col(seq).alias("seq")), size, step, "seq", keep_ambiguous)
-        cut = part if cut is None else cut.unionByName(part)
+    cut = windows(df.select(key, F.col(seq).alias("seq")), tuple(sizes), step, "seq", keep_ambiguous)
     metrics = symmetry_stats("seq")
     made = with_nearest(cut, "seq", strategy=strategy)
     names = ("orbit_ratio", "is_palindrome", "is_rc_fixed", "orbit_size")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
-from pathlib import Path
+import functools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lift, windows
-from ..sources import assemblies, fasta, tables
+from ..sources import assemblies, fasta, files, tables
 from . import knowledge, validate, verify
 
 
@@ -33,7 +34,7 @@ def build_tables(spark: SparkSession, data_dir: str, window_sizes: tuple[int, ..
         return
     tables.write_table(replicon_table(manifest), folder, "atlas_replicons")
     raw = f"{data_dir}/raw"
-    if fasta.exists(spark, raw):
+    if files.exists(spark, raw):
         known = manifest.select("replicon_id")
         found = fasta.replicons(fasta.read_fasta(spark, raw)).join(known, "replicon_id", "left_semi")
         made = windows.window_stats(found, window_sizes, step)
@@ -44,16 +45,31 @@ def build_tables(spark: SparkSession, data_dir: str, window_sizes: tuple[int, ..
         tables.write_table(windows.window_summary(made), folder, "approx_symmetry_summary")
 
 
-def fetch(spark: SparkSession, data_dir: str, summary_path: str | None = None, max_genomes: int = 200, seed: int = 42, level: str = "complete genome", get=fasta.download) -> DataFrame:
-    """Downloads what the summary names (if it is given), reads all raw files, appends the manifest; the files passed over."""
-    about = None
+#: Downloads that run side by side.
+DOWNLOADS = 8
+
+
+def fetch(spark: SparkSession, data_dir: str, summary_path: str | None = None, max_genomes: int = 200, seed: int = 42, level: str = "complete genome", get=None) -> DataFrame:
+    """Downloads what the summary (a path or an address) names, reads all raw files, appends the manifest; the files passed over.
+
+    get(url, folder) fetches one file; fasta.download unless another is given.
+    """
+    get, about = get or functools.partial(fasta.download, spark), None
     if summary_path:
+        if summary_path.startswith(("http://", "https://", "ftp://")):
+            summary_path = get(summary_path, f"{data_dir}/summary")
         about = assemblies.query_assemblies(spark, summary_path, max_genomes, seed, level)
-        for (url,) in about.select(assemblies.file_url(F.col("ftp_path"))).collect():  # at most max_genomes
+        urls = [r[0] for r in about.select(assemblies.file_url(F.col("ftp_path"))).collect()]  # at most max_genomes
+
+        def one(url: str) -> str | None:
             try:
                 get(url, f"{data_dir}/raw")
             except OSError as e:
-                print(f"passed over: {url}: {e}")
+                return f"passed over: {url}: {e}"
+
+        with ThreadPoolExecutor(DOWNLOADS) as pool:
+            for said in filter(None, pool.map(one, urls)):
+                print(said)
         about = about.withColumn("assembly_accession", fasta.assembly_of(F.element_at(F.split("ftp_path", "/"), -1)))
     made, passed_over = fasta.ingest(spark, f"{data_dir}/raw", about)
     old = fasta.read_manifest(spark, f"{data_dir}/manifest/manifest.jsonl").select("replicon_id")
@@ -93,14 +109,12 @@ def export(spark: SparkSession, data_dir: str, pipeline_max: int = 200, pipeline
 def verify_file(spark: SparkSession, data_dir: str, records_path: str | None = None, strict: bool = False) -> int:
     """Writes the report; 0 if all checks passed, 1 if not or if there are no records."""
     path = records_path or f"{data_dir}/epistemic/atlas_knowledge.jsonl"
-    if not fasta.exists(spark, path):
+    if not files.exists(spark, path):
         return 1
     lines = verify.read_lines(spark, path)
     table = tables.read_table(spark, f"{data_dir}/tables", "atlas_replicons")
     ids = None if table is None or table.isEmpty() else table.select("replicon_id")
     found = verify.checks(lines, ids, strict)
     text, passed = verify.report(found, lines, datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"))
-    out = Path(data_dir.removeprefix("file://")) / "epistemic"
-    out.mkdir(parents=True, exist_ok=True)
-    (out / "atlas_knowledge_report.md").write_text(text, encoding="utf-8")
+    files.put(spark, f"{data_dir}/epistemic/atlas_knowledge_report.md", [text.encode()])
     return 0 if passed else 1

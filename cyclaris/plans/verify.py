@@ -35,10 +35,18 @@ GATES = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """record_idx (line number from 1, blank lines counted) and value of one file's lines."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    return lines.select((F.col("at") + 1).cast("long").alias("record_idx"), "value")
+    """record_idx (line number from 1, blank lines counted) and value of the lines under path.
+
+    Several files count as one, in the order of their names. Lines are numbered within the pieces in which they are read, and
+    a piece's numbers begin behind the lines of the pieces before it, so that no file has to be in one task.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    piece = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = text.select("value", *piece, F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return lines.join(sizes, ["file", "start"]).select((F.col("ahead") + F.col("at") - F.col("first") + 1).alias("record_idx"), "value")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -80,24 +88,29 @@ def _some(*pairs: tuple[Column, Column]) -> Column:
     return F.filter(F.array(*(F.when(cond, c) for cond, c in pairs)), lambda x: x.isNotNull())
 
 
+def _outside(name: Column | str, field: str, allowed: str) -> Column:
+    """What was found in a field, and what may stand there."""
+    return F.concat(F.lit(name) if isinstance(name, str) else name, F.lit(" is "), _text(field), F.lit(f"; allowed: {allowed}"))
+
+
 def provenance_checks() -> Column:
     prov, always = _get("provenance"), F.lit(True)
     replicon = _text("record_type") == "replicon_metric"
-    rows = [(always, check(f"provenance_{f}", ~_is_blank(_get(f"provenance.{f}")), f"Missing or empty {f}")) for f in ("atlas_git_sha", "timestamp_utc")]
-    rows += [(always, check(f"provenance_{f}", _get(f"provenance.{f}").isNotNull(), f"Missing {f}")) for f in ("pipeline_seed", "pipeline_max")]
+    rows = [(always, check(f"provenance_{f}", ~_is_blank(_get(f"provenance.{f}")), f"provenance.{f} is absent or empty")) for f in ("atlas_git_sha", "timestamp_utc")]
+    rows += [(always, check(f"provenance_{f}", _get(f"provenance.{f}").isNotNull(), f"provenance.{f} is absent")) for f in ("pipeline_seed", "pipeline_max")]
     rows += [
-        (replicon, check(f"provenance_{f}", ~_is_blank(_get(f"provenance.{f}")), f"Missing {f} for replicon_metric"))
+        (replicon, check(f"provenance_{f}", ~_is_blank(_get(f"provenance.{f}")), f"provenance.{f} is absent or empty in a replicon's record"))
         for f in ("assembly_accession", "replicon_id")
     ]
-    missing = F.array(check("provenance_present", F.lit(False), "Missing provenance object"))
+    missing = F.array(check("provenance_present", F.lit(False), "no provenance"))
     return F.when(prov.isNull(), missing).otherwise(_some(*rows))
 
 
 def bound_checks() -> Column:
     eps, conf = _number(_get("epsilon")), _number(_get("confidence"))
     return F.array(
-        check("epsilon_nonneg", eps.isNull() | (eps >= 0), F.concat(F.lit("Epsilon "), _text("epsilon"), F.lit(" < 0"))),
-        check("confidence_range", conf.isNull() | conf.between(0, 1), F.concat(F.lit("Confidence "), _text("confidence"), F.lit(" not in [0,1]"))),
+        check("epsilon_nonneg", eps.isNull() | (eps >= 0), _outside("epsilon", "epsilon", "from 0")),
+        check("confidence_range", conf.isNull() | conf.between(0, 1), _outside("confidence", "confidence", "0 to 1")),
     )
 
 
@@ -105,27 +118,27 @@ def validity_checks() -> Column:
     validity, holds = _get("validity"), _get("validity.holds")
     false = F.try_variant_get(holds, "$", "boolean") == F.lit(False)
     shown = F.concat(
-        F.lit("Validity failed for "), F.coalesce(_text("metric_name"), F.lit("unknown")), F.lit("="),
-        F.coalesce(_text("value"), F.lit("?")), F.lit(" (predicate: "), F.coalesce(_text("validity.predicate"), F.lit("?")), F.lit(")"),
+        F.lit("validity.holds is false: "), F.coalesce(_text("metric_name"), F.lit("no metric")), F.lit(" is "),
+        F.coalesce(_text("value"), F.lit("absent")), F.lit(", asked for is "), F.coalesce(_text("validity.predicate"), F.lit("nothing")),
     )
     return F.array(
-        F.when(validity.isNull(), check("validity_present", F.lit(False), "Missing validity object"))
-        .when(holds.isNull(), check("validity_holds", F.lit(False), "Missing validity.holds"))
+        F.when(validity.isNull(), check("validity_present", F.lit(False), "no validity"))
+        .when(holds.isNull(), check("validity_holds", F.lit(False), "no validity.holds"))
         .otherwise(check("validity_holds", ~F.coalesce(false, F.lit(False)), shown))
     )
 
 
 def value_checks(orbit_ratio_min: float = 0.25) -> Column:
-    metric, value, x = _text("metric_name"), _text("value"), _number(_get("value"))
+    metric, x = _text("metric_name"), _number(_get("value"))
 
     def row(names: tuple[str, ...], rule: str, holds: Column, said: str) -> tuple[Column, Column]:
-        return metric.isin(*names) & x.isNotNull(), check(rule, holds, F.concat(metric, F.lit("="), value, F.lit(said)))
+        return metric.isin(*names) & x.isNotNull(), check(rule, holds, _outside(metric, "value", said))
 
     return _some(
-        row(("gc_fraction",), "gc_fraction_range", x.between(0, 1), " not in [0,1]"),
-        row(("orbit_ratio",), "orbit_ratio_range", x.between(orbit_ratio_min, 1), f" not in [{orbit_ratio_min:g},1]"),
-        row(("dmin_over_L", "dmin_normalized"), "dmin_range", x.between(0, 1), " not in [0,1]"),
-        row(("length_bp",), "length_positive", x > 0, " <= 0"),
+        row(("gc_fraction",), "gc_fraction_range", x.between(0, 1), "0 to 1"),
+        row(("orbit_ratio",), "orbit_ratio_range", x.between(orbit_ratio_min, 1), f"{orbit_ratio_min:g} to 1"),
+        row(("dmin_over_L", "dmin_normalized"), "dmin_range", x.between(0, 1), "0 to 1"),
+        row(("length_bp",), "length_positive", x > 0, "above 0"),
     )
 
 
@@ -136,13 +149,13 @@ def miracle_checks(strict: bool = False) -> Column:
     sources = F.array_max(F.try_variant_get("record", "$.derivation.source_epsilons", "array<double>"))
     free = _get("derivation").isNull() | _get("derivation.rule").isNotNull() | sources.isNull()
     own = F.coalesce(_number(_get("epsilon")), F.lit(0.0))
-    return F.array(check("no_miracles", free | (own >= sources), "Epsilon is under that of a source"))
+    return F.array(check("no_miracles", free | (own >= sources), "epsilon is below that of a source, and no rule is given"))
 
 
 def checks(lines: DataFrame, replicon_ids: DataFrame | None = None, strict: bool = False, orbit_ratio_min: float = 0.25) -> DataFrame:
     """rule, passed, message, record_idx of every check. Without replicon ids (column replicon_id) the join is left out."""
     rows = parsed(lines)
-    broken = F.array(check("json_parse", F.lit(False), "Failed to parse JSON"))
+    broken = F.array(check("json_parse", F.lit(False), "the line is no JSON object"))
     made = F.concat(
         provenance_checks(), bound_checks(), validity_checks(), value_checks(orbit_ratio_min), miracle_checks(strict)
     )
@@ -152,7 +165,7 @@ def checks(lines: DataFrame, replicon_ids: DataFrame | None = None, strict: bool
         asked = F.when(_text("record_type") == "replicon_metric", _text("provenance.replicon_id"))
         # The ids are as many as there are replicons; Spark broadcasts them where their size allows it.
         rows = rows.withColumn("_asked", asked).join(known, F.col("_asked") == F.col("_id"), "left")
-        said = F.concat(F.lit("replicon_id '"), F.col("_asked"), F.lit("' not found in atlas_replicons.csv"))
+        said = F.concat(F.lit("replicon_id "), F.col("_asked"), F.lit(" isn't in the replicon table"))
         joined = F.array(check("join_replicon", F.col("_asked").isNull() | F.col("_known").isNotNull(), said)).cast(CHECK)
         each = F.when(F.col("record").isNull(), each).otherwise(F.concat(each, joined))
     return rows.select("record_idx", F.inline(each)).select("rule", "passed", "message", "record_idx")
@@ -179,14 +192,14 @@ def _kernel_checks(lines: DataFrame) -> DataFrame:
     )
     holds = F.try_variant_get(_get("validity.holds"), "$", "boolean")
     all_checks = F.array(
-        check("ProvenanceGitSha", ok["atlas_git_sha"], "Missing atlas_git_sha"),
-        check("ProvenanceTimestamp", ok["timestamp_utc"], "Missing timestamp_utc"),
-        check("EpsilonNonNegative", eps.isNull() | (eps >= 0), F.concat(F.lit("Epsilon "), _text("epsilon"), F.lit(" < 0"))),
-        check("ConfidenceRange", conf.isNull() | conf.between(0, 1), F.concat(F.lit("Confidence "), _text("confidence"), F.lit(" not in [0,1]"))),
-        check("ValidityHolds", F.coalesce(holds, F.lit(True)), F.concat(F.lit("Validity failed for "), F.coalesce(metric, F.lit("?")), F.lit(" (predicate: "), F.coalesce(_text("validity.predicate"), F.lit("?")), F.lit(")"))),
-        check("MetricConstraint", F.coalesce(ranges, F.lit(True)), F.concat(metric, F.lit("="), _text("value"), F.lit(" out of range"))),
+        check("ProvenanceGitSha", ok["atlas_git_sha"], "provenance.atlas_git_sha is no text or empty"),
+        check("ProvenanceTimestamp", ok["timestamp_utc"], "provenance.timestamp_utc is no text or empty"),
+        check("EpsilonNonNegative", eps.isNull() | (eps >= 0), _outside("epsilon", "epsilon", "from 0")),
+        check("ConfidenceRange", conf.isNull() | conf.between(0, 1), _outside("confidence", "confidence", "0 to 1")),
+        check("ValidityHolds", F.coalesce(holds, F.lit(True)), F.concat(F.lit("validity.holds is false, asked for is "), F.coalesce(_text("validity.predicate"), F.lit("nothing")))),
+        check("MetricConstraint", F.coalesce(ranges, F.lit(True)), _outside(metric, "value", "the metric's range")),
     )
-    gone = F.array(check("ProvenancePresent", F.lit(False), "Missing provenance object"))
+    gone = F.array(check("ProvenancePresent", F.lit(False), "no provenance"))
     each = F.when(F.col("record").isNull() | _get("provenance").isNull(), gone).otherwise(all_checks)
     return rows.select("record_idx", "record", each.alias("made"))
 
@@ -248,21 +261,16 @@ def report(found: DataFrame, lines: DataFrame, generated: str = "") -> tuple[str
         tops = [tuple(r) for r in top_failures(found).select("rule", "record_idx", "message").orderBy("rule", "record_idx").collect()]
     finally:
         found.unpersist()
-    out = ["# Atlas Epistemic Knowledge Validation Report", "", f"Generated: {generated}", "", "## Summary", "", "| Metric | Value |", "|--------|-------|"]
-    values = ("Total Records", s[0]), ("Total Checks", s[1]), ("Passed", s[2]), ("Failed", s[3]), ("Pass Rate", f"{s[4]}%")
-    out += [f"| {k} | {v} |" for k, v in values] + [""]
-    if not s[3]:
-        out += ["## Result: PASSED", "", "All epistemic invariants satisfied."]
-    else:
-        out += ["## Result: FAILED", "", "### Failures by Rule", ""]
-        for rule, n in counts:
-            out += [f"#### {rule} ({n} failures)", ""]
-            out += [f"- Record {i}: {m}" for r, i, m in tops if r == rule]
-            out += [f"- ... and {n - 10} more"] * (n > 10) + [""]
-    out += ["## Validation Rules", ""]
+    names = ("records", "checks", "passed", "failed", "percent passed")
+    out = ["# Check of the knowledge records", "", f"Written {generated}", "", *(f"* {k}: {v}" for k, v in zip(names, s)), ""]
+    out += ["## All checks passed", ""] if not s[3] else ["## Some checks failed", ""]
+    for rule, n in counts:
+        out += [f"### {rule}: {n}", "", *(f"* line {i}: {m}" for r, i, m in tops if r == rule)]
+        out += [f"* {n - 10} further lines"] * (n > 10) + [""]
+    out += ["## What was checked", ""]
     number = 0
-    for gate, (title, rules) in enumerate(GATES.items(), 1):
-        out += [f"### Gate {gate}: {title}"]
+    for title, rules in GATES.items():
+        out += [f"{title}:", ""]
         for rule, text in rules.items():
             number += 1
             out.append(f"{number}. **{rule}**: {text}")

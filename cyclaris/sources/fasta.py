@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import time
 import urllib.request
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import gc_content
+from .files import exists, put
 
 REPLICON = (
     "assembly_accession string, replicon_id string, replicon_accession string, replicon_type string, length_bp bigint, "
@@ -54,7 +54,11 @@ def records(text: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """records of the files under path, gzipped or not; a file is one task."""
+    """records of the files under path, gzipped or not.
+
+    A file is one row and one task, as a gzipped file can't be split and a sequence has to be one row in the end; a file
+    must therefore be under 2 GB of text.
+    """
     text = spark.read.text(path, wholetext=True)
     return records(text.select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
@@ -120,25 +124,17 @@ def write_checksums(sums: DataFrame, path: str) -> None:
     sums.select(line).coalesce(1).write.mode("overwrite").text(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def download(url: str, folder: str, attempts: int = 3, wait: float = 1.0) -> str:
-    """Fetches one file on the driver unless it is there; waits longer after each failure."""
-    to = Path(folder) / url.rsplit("/", 1)[-1]
-    if to.exists():
-        return str(to)
-    to.parent.mkdir(parents=True, exist_ok=True)
+def download(spark: SparkSession, url: str, folder: str, attempts: int = 3, wait: float = 1.0, opened=urllib.request.urlopen) -> str:
+    """Fetches one file into a folder of any store unless it is there; waits longer after each failure."""
+    to = f"{folder.rstrip('/')}/{url.rsplit('/', 1)[-1]}"
     for i in range(1, attempts + 1):
+        if exists(spark, to):
+            break
         try:
-            part = to.with_suffix(to.suffix + ".part")
-            urllib.request.urlretrieve(url, part)
-            part.rename(to)
-            return str(to)
+            with opened(url) as got:
+                put(spark, to, iter(lambda: got.read(1 << 20), b""))
         except OSError:
             if i == attempts:
                 raise
             time.sleep(wait * 2**i)
-    return str(to)
+    return to

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fasta import exists
+from .files import exists
 
 REPLICON_TABLE = (
     "assembly_accession string, replicon_id string, replicon_type string, length_bp bigint, gc_fraction double, "

@@ -1,11 +1,16 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cyclaris.functions import sequence as s
+from cyclaris import queries
+from cyclaris.functions import sql
 from cyclaris.functions.sql import register
-from cyclaris.operators import approx, exact
+from cyclaris.operators import approx, exact, windows
+
+from .helpers import DATA
 
 COMP = str.maketrans("ACGTRYKMBDHV", "TGCAYRMKVHDB")
 #: sequence, orbit, palindrome, rc_fixed, period, nearest (family, k, distance), dmin without RC
@@ -138,3 +143,67 @@ def test_plan_stays_in_the_jvm(spark, golden):
     plan = exact.with_symmetry_stats(golden)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan.split("Physical Plan")[1]
     assert F is not None
+
+
+def test_letters_beyond_ascii_in_all_plans(spark):
+    seqs = ["ACGé", "é", "éé", "漢ACGT漢", "😀A😀A", "NéNé", "", "ÄCGTÄ"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(seqs)], "id int, seq string")
+    plans = [approx.with_nearest(df, strategy=p, key=["id"]) for p in ("arrow", "sql", "explode")]
+    a, b, c = (sorted(map(tuple, x.select("id", "nearest_family", "nearest_k", "dmin").collect())) for x in plans)
+    assert a == b == c
+
+
+def test_linear_period_equals_the_other_plan(spark):
+    rng = random.Random(2)
+    seqs = ["".join(rng.choice("AC") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["ACG" * 5, "", None, "é" * 3]
+    df = spark.createDataFrame([(w,) for w in seqs], "seq string")
+    names = ["orbit_size", "orbit_ratio", "rotational_period"]
+    a, b = (exact.with_symmetry_stats(df, strategy=p).select("seq", *names).collect() for p in ("sql", "arrow"))
+    assert a == b
+    long = spark.createDataFrame([("A" * 2_000_000 + "C",)], "seq string")
+    assert exact.with_symmetry_stats(long, strategy="arrow").select(*names[:1]).first()[0] == 2_000_001
+
+
+def plain_dmin(w, rc=True):
+    """Least distance to a transform, by comparing all."""
+    x = np.frombuffer(w.encode(), np.uint8)
+    n, images = len(x), [x, x[::-1]]
+    if rc:
+        images.append(np.frombuffer(w[::-1].translate(str.maketrans("ACGT", "TGCA")).encode(), np.uint8))
+    best = n
+    for f, image in enumerate(images):
+        doubled = np.concatenate((image, image))
+        for k in range(f == 0, n):
+            best = min(best, int((doubled[k : k + n] != x).sum()))
+    return best
+
+
+def test_dmin_of_texts_by_brute_force(spark):
+    got = {r["doc_id"]: r["dmin"] for r in queries.QUERIES["dmin_text"](spark, DATA).collect()}
+    texts = {r["doc_id"]: r["seq"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", queries._t().alias("seq")).collect()}
+    assert got.keys() == texts.keys()
+    for i, w in texts.items():
+        if w is not None and 0 < len(w) < 1500:
+            assert got[i] == plain_dmin(w)
+
+
+def test_window_table_by_brute_force(spark):
+    texts = {str(r["doc_id"]): r["seq"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", queries._t().alias("seq")).collect()}
+    rows = queries.QUERIES["window_table"](spark, DATA).collect()
+    want = {(i, n, k) for i, w in texts.items() for n in windows.WINDOW_SIZES for k in range(0, len(w or "") - n + 1, n)}
+    assert {(r["replicon_id"], r["window_length"], r["window_start"]) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        n, w = r["window_length"], texts[r["replicon_id"]][r["window_start"] : r["window_start"] + r["window_length"]]
+        assert 0 <= r["dmin"] <= n and r["dmin_normalized"] == r["dmin"] / n and r["is_palindrome"] == (w == w[::-1])
+        if n <= 500:
+            assert r["dmin"] == plain_dmin(w)
+            both = {w[k:] + w[:k] for k in range(n)} | {w[::-1][k:] + w[::-1][:k] for k in range(n)}
+            assert r["orbit_size"] == len(both) and r["orbit_ratio"] == len(both) / (2 * n)
+
+
+def test_double_cover_in_sql(spark):
+    sql.register(spark)
+    got = spark.sql("select verify_double_cover(n) as ok from values (2L), (3L), (16L), (1000L), (null) as t(n)").collect()
+    assert [r["ok"] for r in got] == [True] * 4 + [None]
+    with pytest.raises(Exception, match="n >= 2"):
+        spark.sql("select verify_double_cover(1L)").collect()

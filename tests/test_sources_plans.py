@@ -1,12 +1,14 @@
 import gzip
 import hashlib
 import json
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from cyclaris import cli
 from cyclaris.plans import knowledge, pipeline, validate, verify
-from cyclaris.sources import assemblies, fasta, tables
+from cyclaris.sources import assemblies, fasta, files, tables
 from cyclaris.streaming.replicons import read_stream
 
 FASTA = ">NC_000913.3 Escherichia chromosome\nACGTACGTNN\nacgt\n>NZ_CP01.1 some plasmid pX\r\nGGCC\r\n>JAB01 other contig\nACGTACGTACGTACGTAAAA\n"
@@ -86,7 +88,7 @@ def test_whole_pipeline(spark, data_dir):
     assert cli.main(["export", d], spark) == 0
     assert cli.main(["verify", d], spark) == 0
     report = (data_dir / "epistemic/atlas_knowledge_report.md").read_text()
-    assert "## Result: PASSED" in report and "16. **no_miracles**" in report
+    assert "## All checks passed" in report and "16. **no_miracles**" in report
     assert cli.main(["pipeline", "--data-dir", d, "--validate-only"], spark) == 0
     assert pipeline.verify_file(spark, d, f"{d}/nothing") == 1
 
@@ -128,7 +130,7 @@ def test_verifier_rules(spark, tmp_path):
     ]
     assert found.where("record_idx = 1").count() == 12
     text, passed = verify.report(found, verify.read_lines(spark, str(tmp_path / "k.jsonl")))
-    assert not passed and "#### json_parse (2 failures)" in text and "- Record 12: replicon_id 'r9' not found" in text
+    assert not passed and "### json_parse: 2" in text and "* line 12: replicon_id r9 isn't in the replicon table" in text
 
 
 def test_strict_miracles(spark, tmp_path):
@@ -176,3 +178,96 @@ def test_kernel_counters(spark):
     assert tuple(verify.kernel_summary(df).first()) == (7, 29, 25, 4)
     assert verify.kernel_failures(df).count() == 4
     assert tuple(verify.kernel_summary(df.where("record_idx < 0")).first()) == (0, 0, 0, 0)
+
+
+def test_lines_of_several_files_are_numbered_as_one(spark, tmp_path):
+    lines = [f"line {i}" if i % 3 else "" for i in range(1, 400)]
+    for part, (lo, hi) in enumerate(((0, 100), (100, 101), (101, 399))):
+        (tmp_path / f"part-{part}").write_text("".join(x + "\n" for x in lines[lo:hi]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = verify.read_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, got.collect())) == list(enumerate(lines, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_download_tries_again_and_leaves_nothing_half(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            if len(asked) < 3 or self.path.endswith("gone"):
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"x" * 3_000_000)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, folder = f"http://127.0.0.1:{server.server_port}", f"file://{tmp_path}/raw"
+    try:
+        to = fasta.download(spark, f"{url}/a.fna.gz", folder, wait=0.01)
+        assert len(asked) == 3 and (tmp_path / "raw/a.fna.gz").read_bytes() == b"x" * 3_000_000
+        assert fasta.download(spark, f"{url}/a.fna.gz", folder) == to and len(asked) == 3
+        with pytest.raises(OSError):
+            fasta.download(spark, f"{url}/gone", folder, wait=0.01)
+    finally:
+        server.shutdown()
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir() if not p.name.startswith(".")) == ["a.fna.gz"]
+    sums = fasta.checksums(spark, folder).first()
+    assert sums["checksum_sha256"] == hashlib.sha256(b"x" * 3_000_000).hexdigest()
+
+
+def test_fetch_from_an_address(spark, data_dir):
+    d, asked = f"{data_dir}/other", []
+
+    def get(url, folder):
+        asked.append(url)
+        if not url.endswith("summary.txt"):
+            raise OSError("no route")
+        files.put(spark, f"{folder}/summary.txt", [SUMMARY.encode()])
+        return f"{folder}/summary.txt"
+
+    files.put(spark, f"{d}/raw/GCF_9_genomic.fna", [b">NC_1.1 x\nACGT\n"])
+    pipeline.fetch(spark, d, "https://h/summary.txt", 2, get=get)
+    assert len(asked) == 3 and fasta.read_manifest(spark, f"{d}/manifest/manifest.jsonl").count() == 1
+
+
+def test_checks_catch_what_is_broken(spark, monkeypatch):
+    from cyclaris.plans import validate
+
+    df = spark.createDataFrame([("CCGTA",), ("GACC",)], "seq string")
+    assert validate.all_passed(validate.operator_checks(df))
+    monkeypatch.setattr(validate.s, "shift", lambda q, k: F.concat(F.lit("A"), F.substring(q, 2, 99)))
+    monkeypatch.setattr(validate.s, "rev_comp", lambda q: F.upper(q))
+    failed = {r["check_name"]: r["message"] for r in validate.operator_checks(df).where("not passed").collect()}
+    assert failed.keys() == {"shift_cyclic", "rc_commutative", "dihedral_relation"} and "1, 2" in failed["dihedral_relation"]
+    monkeypatch.setattr(validate.exact, "with_symmetry_stats", lambda d: d.withColumns({"orbit_size": F.lit(7), "orbit_ratio": F.lit(1.5), "rotational_period": F.lit(1)}))
+    failed = {r["check_name"] for r in validate.symmetry_checks(df).where("not passed").collect()}
+    assert failed == {"orbit_divides_2n", "orbit_ratio_bounds", "dmin_periodic_zero"}
+
+
+def test_entry_tells_a_missing_part_from_a_missing_package(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).parent.parent
+    code = "import sys; sys.path.insert(0, {0!r}); import builtins; real = builtins.__import__\n" \
+        "def fake(name, *a, **k):\n    if name.split('.')[0] == {1!r}: raise ModuleNotFoundError(name, name={2!r})\n    return real(name, *a, **k)\n" \
+        "builtins.__import__ = fake\nimport __spark_entry__ as e; print(len(e.queries()))"
+    gone = subprocess.run([sys.executable, "-c", code.format(str(repo), "corpus_pipeline", "corpus_pipeline")], capture_output=True, text=True)
+    assert gone.returncode == 0 and int(gone.stdout) > 50
+    if (repo / "corpus_pipeline.py").exists():
+        broken = subprocess.run([sys.executable, "-c", code.format(str(repo), "corpus_pipeline", "xxhash")], capture_output=True, text=True)
+        assert broken.returncode != 0 and "xxhash" in broken.stderr
