@@ -417,13 +417,28 @@ def test_only_files_that_lose_rows_are_rewritten(spark, tmp_path, monkeypatch, o
 # Scores
 
 
-def plain_scores(rows):
-    tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
-    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
-    c = collections.Counter(w for t, h in zip(tokens, held) if not h for w in t)
-    b = collections.Counter(p for t, h in zip(tokens, held) if not h for p in zip(["<s>", *t], t))
-    n, kinds = sum(c.values()), len(c)
-
+class PlainModel:
+    """Katz backoff by dictionaries and recursion over tuples of words."""
+
+    def __init__(self, texts_, order):
+        self.order, self.counts = order, {n: collections.Counter() for n in range(1, order + 1)}
+        for t in texts_:
+            padded = ["<s>"] * (order - 1) + t
+            for i in range(order - 1, len(padded)):
+                for n in range(1, order + 1):
+                    self.counts[n][tuple(padded[i - n + 1 : i + 1])] += 1
+        self.d = {n: self.discount(c) for n, c in self.counts.items()}
+        self.total, c = sum(self.counts[1].values()), self.counts[1]
+        self.scale, self.unknown = max(self.total, 1), 1 - sum(self.d[1].get(x, 1) * x for x in c.values()) / max(self.total, 1)
+        if self.unknown < 1e-12:
+            self.scale, self.unknown = self.total + 1, 1 / (self.total + 1)
+        self.unknown = self.unknown if self.total else 1.0
+        self.after, self.known = collections.defaultdict(list), {}
+        for n in range(2, order + 1):
+            for g, k in self.counts[n].items():
+                self.after[g[:-1]].append((g[-1], k))
+
+    @staticmethod
     def discount(counts):
         f = collections.Counter(counts.values())
         d = dict.fromkeys(range(1, 6), 1.0)
@@ -435,50 +450,66 @@ def plain_scores(rows):
                     d[r] = x if 0 < x < 1 else 1.0
         return d
 
-    d1, d2 = discount(c), discount(b)
-    scale, unknown = max(n, 1), 1 - sum(d1.get(x, 1) * x for x in c.values()) / max(n, 1)
-    if unknown < 1e-12:
-        scale, unknown = n + 1, 1 / (n + 1)
-    unknown = unknown if n else 1.0
-    one = lambda w: d1.get(c[w], 1) * c[w] / scale if c[w] else unknown
-    after = collections.defaultdict(list)
-    for (v, w), k in b.items():
-        after[v].append((w, k))
-    back = {}
-    for v, s in after.items():
-        total = sum(k for _, k in s)
-        left = total - sum(d2.get(k, 1) * k for _, k in s)
-        size = total
-        if left < 1e-9 * total:
-            left, size = 1, total + 1
-        back[v] = (left / size / (1 - sum(one(w) for w, _ in s)), size)
-
-    def two(v, w):
-        return d2.get(b[v, w], 1) * b[v, w] / back[v][1] if b[v, w] else (back[v][0] if v in back else 1) * one(w)
-
-    for v in list(after)[:20]:
-        assert abs(sum(two(v, w) for w in c) + back[v][0] * unknown - 1) < 1e-9
+    def backoff(self, h):
+        if h not in self.known:
+            s, d = self.after[h], self.d[len(h) + 1]
+            total = size = sum(k for _, k in s)
+            left = total - sum(d.get(k, 1) * k for _, k in s)
+            if left < 1e-9 * total:
+                left, size = 1, total + 1
+            self.known[h] = left / size / (1 - sum(self.p(h[1:], w) for w, _ in s)), size
+        return self.known[h]
+
+    def p(self, h, w):
+        c = self.counts[len(h) + 1][(*h, w)]
+        if not h:
+            return self.d[1].get(c, 1) * c / self.scale if c else self.unknown
+        if h not in self.after:
+            return self.p(h[1:], w)
+        alpha, size = self.backoff(h)
+        return self.d[len(h) + 1].get(c, 1) * c / size if c else alpha * self.p(h[1:], w)
+
+
+def plain_scores(rows, order):
+    tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
+    model = PlainModel([t for t, h in zip(tokens, held) if not h], order)
+    c, n = {g[0]: k for g, k in model.counts[1].items()}, model.total
+    for h in list(model.after)[:: max(1, len(model.after) // 20)]:
+        whole = sum(model.p(h, w) for w in c) + math.prod(model.backoff(h[i:])[0] for i in range(len(h))) * model.unknown
+        assert abs(whole - 1) < 1e-9
     out = []
     for (i, _), t, h in zip(rows, tokens, held):
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in t)
-        score = sum(math.log10(two(v, w)) for v, w in zip(["<s>", *t], t))
-        out.append((i, h, len(t), sum(c[w] > 0 for w in t), n, base, score))
+        base = sum(math.log10((c.get(w, 0) + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t)
+        padded = ["<s>"] * (order - 1) + t
+        score = sum(math.log10(model.p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(t))
+        out.append((i, h, len(t), sum(w in c for w in t), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("part_tokens", [200, 10**6])
-def test_scores(spark, docs_dir, tmp_path, monkeypatch, part_tokens):
+@pytest.mark.parametrize("order, part_tokens", [(3, 250), (3, 10**6), (2, 250), (4, 10**6), (1, 10**6)])
+def test_scores(spark, tmp_path, monkeypatch, order, part_tokens):
     monkeypatch.setattr(katz, "PART_TOKENS", part_tokens)
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(60)]
-    rows = [r for r in texts() if r[0] != 9] + [(1000 + i, " ".join(rng.choice(vocabulary[: rng.randint(3, 60)]) for _ in range(40))) for i in range(60)]
+    rows = texts() + [(1000 + i, " ".join(rng.choice(vocabulary[: rng.randint(3, 60)]) for _ in range(40))) for i in range(90)]
+    rows += [(2000 + i, f"the same few words again and {rng.choice(vocabulary)}") for i in range(40)]
     where = saved(documents(spark, rows).repartition(3), tmp_path, "documents")
-    got = sorted(map(tuple, katz.query(spark, where).collect()), key=repr)
-    want = sorted(plain_scores(rows), key=repr)
+    got = sorted(map(tuple, katz.scored(spark.read.parquet(f"{where}/documents.parquet"), order).collect()), key=repr)
+    want = sorted(plain_scores(rows, order), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6]) for g, w in zip(got, want))
 
 
+def test_a_stored_model_holds_all_counts(spark, tmp_path):
+    rows = texts()
+    where = f"file://{tmp_path}/model"
+    total = katz.scored(documents(spark, rows).repartition(2), order=3, store=where).first()["train_tokens"]
+    for order in (1, 2, 3):
+        parts = [katz.unpack(bytes(r["data"])) for r in spark.read.parquet(f"{where}/order={order}").collect()]
+        assert sum(int(p[-1 if order == 1 else -2].sum()) for p in parts) == total
+
+
 def test_scores_without_training_texts(spark, tmp_path):
     held = [i for i in range(200) if katz.held_out(i)][:3]
     got = katz.query(spark, saved(documents(spark, [(i, "a b") for i in held]), tmp_path, "documents")).collect()
