@@ -3,6 +3,10 @@
 Each step is a grouped minimum and a join, so a node with any number of links is pre-aggregated before it is shuffled
 and the join can split it. The number of steps grows with the logarithm of the longest chain. After every step the links
 are a table in the shared folder, so that lost executors cost one step.
+
+Defined cases: links from a node to itself and repeated links change nothing; a node without links to others has no row; no
+links give an empty result; nodes must not be null. A node with very many links is one key of the steps' joins, whose
+other side has one row for it: its minimum is taken before the shuffle, and Spark splits the join where it is skewed.
 """
 
 from __future__ import annotations

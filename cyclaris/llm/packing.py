@@ -6,7 +6,8 @@ remaining capacities gives the tightest open bin in logarithmic time. The result
 length; an executor turns a piece's rank among the pieces of its length into its bin and offset. No pieces are gathered
 anywhere, and a length that a third of all pieces share costs nothing extra.
 
-Defined cases: a null text counts as empty; an empty text is one piece of one token (the end id). Repeated rows are
+Defined cases: a null text counts as empty; an empty text is one piece of one token (the end id). A very long text is
+encoded whole and cut into pieces of the capacity. Repeated rows are
 packed each on its own; null ids are kept. An empty table gives an empty result. Columns besides doc_id and text are
 ignored.
 """
@@ -63,7 +64,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
-        except Exception:  # the engine's own error types: its stack or its budget of steps ran out
+        except ValueError:  # the engine's stack ran out, or the text can't be encoded, which the library then says
             return self._slowly(text)
 
 

@@ -12,7 +12,7 @@ Positions come from the pieces between matches (split) and the matches themselve
 of a text are exploded and joined to their scope's other parts by window functions over ranges of positions: an interval
 join that gives one row a part and never a pair. A text without parts gives one row; texts are never shuffled.
 
-Defined cases: a null text counts as empty; an empty text has no spans; overlapping matches of different kinds are all
+Defined cases: a null text counts as empty; an empty text has no spans; a very long text is scanned whole, in one row; overlapping matches of different kinds are all
 reported; repeated rows are scanned each on its own; null ids are kept; an empty table gives an empty result.
 """
 

@@ -12,7 +12,7 @@ own; a manifest lists those of the attempts that ended well, so a lost executor
 
 Defined cases: a null html is an empty payload; empty payloads are equal to each other; rows of equal page_id and payload
 are all responses if theirs is the largest page_id; a null page_id ranks below all others; a null url becomes a URN;
-further columns are ignored; an empty table gives no archives and an empty result.
+a very long payload is one record, read in pieces; further columns are ignored; an empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations

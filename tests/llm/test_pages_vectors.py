@@ -42,6 +42,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want, key=repr)
 
 
+def test_warc_of_planted_copies_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    bodies = [f"<p>page {i} é {'x' * int(rng.integers(0, 3000))}</p>" for i in range(40)] + ["", "<p>hot</p>"]
+    rows = [(int(i), f"http://h/{i}", bodies[min(41, int(rng.integers(0, 60)))]) for i in rng.permutation(600)]
+    path = saved(pages(spark, rows).repartition(5), tmp_path, "pages")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{path}/pages.parquet/*.parquet'")
+    want = rows_of(con.sql(warc.ORACLE))
+    got = warc.query(spark, path)
+    assert rows_of(got) == want and {r[3] for r in want[1:]} | {r[4] for r in want[1:]} >= {"response", "revisit"}
+
+
 def test_warc_payloads_and_small_archives(spark, tmp_path):
     folder = f"file://{tmp_path}/arc"
     manifest = warc.archived(pages(spark, ROWS), folder, archive_bytes=300)

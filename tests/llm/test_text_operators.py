@@ -82,11 +82,13 @@ def test_rules_run_by_rejections_per_cost(spark):
     cost = quality.costs(quality.sampled(base, rules), rules)
     assert {k: n for k, (_, n) in cost.items()} == {"a_costly": 40, "b_marks": 60, "c_never": 0, "d_rare": 0}
     assert cost["a_costly"][0] > 4 * cost["c_never"][0]
-    # Most rejections for the cost first, costly ones behind; among rules without rejections the cheap ones, by name.
-    assert quality.ordered_rules(base, rules) == ["b_marks", "a_costly", "c_never", "d_rare"]
+    # Most rejections for the cost first, a costly rule behind though it rejects nearly as many, rules without any last.
+    order = quality.ordered_rules(base, rules)
+    assert order[:2] == ["b_marks", "a_costly"] and set(order[2:]) == {"c_never", "d_rare"}
     # Other data, another order: now a cheap rule rejects.
     marked = quality.measured(documents(spark, [(i, t.replace("?", "#")) for i, t in rows]))
-    assert quality.ordered_rules(marked, rules)[0] == "d_rare" and quality.ordered_rules(marked, rules)[-1] == "b_marks"
+    order = quality.ordered_rules(marked, rules)
+    assert order[:2] == ["d_rare", "a_costly"] and set(order[2:]) == {"b_marks", "c_never"}
     rejected = [sorted(map(tuple, quality.judged(documents(spark, rows), rules).select("doc_id", "rejected_by").collect())) for _ in range(2)]
     assert rejected[0] == rejected[1]
 
