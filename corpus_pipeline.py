@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
 the next one. All but the last return the columns of documents.
+
+Defined cases: a null or empty text is rejected by the quality rules; a very long one is judged, scanned and packed whole; rows
+with null or equal doc_ids are told apart by their texts; repeated rows are copies, of which one stays; extra columns go
+along until packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
