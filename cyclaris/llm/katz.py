@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import dropped, table, written
 
 #: Words to an n-gram, in the query too (README: what three take); bytes of text to a block; tokens to a part; highest count that is discounted.
-ORDER, BLOCK_BYTES, PART_TOKENS, DISCOUNTED = 2, 4 << 20, 1_500_000, 5
+ORDER, BLOCK_BYTES, PART_TOKENS, DISCOUNTED = 2, 4 << 20, 1_000_000, 5
 #: Rounds in which the n-grams of an order beyond the second are dealt, a share of the parts in each, so that the files of a
 #: shuffle stay small.
 ROUNDS = 2
