@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_text, katz, packing, quality, secrets, sharding, simhash, warc
+from . import (
+    bpe, embedding_dedup, html_text, katz, line_dedup, packing, prefix_trie, quality, secrets, sharding, simhash, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -19,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.query,
     "op6_katz_scores": katz.query,
     "op7_best_fit_packing": packing.query,
+    "op11_whitening": whitening.query,
+    "op12_line_dedup": line_dedup.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
     "op10_embedding_dedup": embedding_dedup.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
