@@ -2,15 +2,16 @@
 
 Strong kinds (assign, access, hex) are reported wherever they stand. Weak kinds are names of accounts (id), long random
 strings (key) and addresses of services (endpoint): a weak one is reported only where complementary parts stand in the
-same scope, a block of text between blank lines, within `WINDOW` code points:
+same scope, a block of text between blank lines, however long it is and wherever in it they stand:
 
     id        a secret (assign, hex or key)
     key       an access identifier or an id
     endpoint  a secret, and an access identifier or an id
 
 Positions come from the pieces between matches (split) and the matches themselves, so no code leaves the JVM. The parts
-of a text are exploded and joined to their scope's other parts by window functions over ranges of positions: an interval
-join that gives one row a part and never a pair. A text without parts gives one row; texts are never shuffled.
+of a text are exploded, placed in the scope that covers them, and joined to what their scope holds: an interval join that
+gives one row a part and never a pair. A text without parts gives one row; texts are never shuffled. Letters "in either
+case" are those of ASCII, spelt out in the patterns, as engines differ in what else they fold (U+017F to s, U+212A to k).
 
 Defined cases: a null text counts as empty; an empty text has no spans; a very long text is scanned whole, in one row; overlapping matches of different kinds are all
 reported; repeated rows are scanned each on its own; null ids are kept; an empty table gives an empty result.
@@ -18,15 +19,21 @@ reported; repeated rows are scanned each on its own; null ids are kept; an empty
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-WINDOW = 400
 
-_SECRET = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-_NAME = r"""((?i:user|username|user_?id|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
+def _either(names: str) -> str:
+    """A pattern for names, its ASCII letters in either case."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", names)
+
+
+_SECRET = f"({_either('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_NAME = f"({_either('username|user_?id|user|login|account|client_?id|access_?key_?id')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
 #: kind: pattern, and what a match must fulfil besides (m: the match, g: the pattern's group 2).
 KINDS = {
     "assign": (_SECRET, lambda m: F.length(F.regexp_extract(m, _SECRET, 2)) >= 6),
@@ -35,9 +42,9 @@ KINDS = {
     "id": (_NAME, lambda m: F.length(F.regexp_extract(m, _NAME, 2)) >= 3),
     "key": (
         r"[A-Za-z0-9+/]{40,}",
-        lambda m: F.length(m).between(40, 88) & m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]"),
+        lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]"),
     ),
-    "endpoint": (r"""(?i:https?|jdbc|mysql|postgres|postgresql|redis|mongodb|amqp|s3)://[^\x00-\x20"'<>]+""", None),
+    "endpoint": (f"({_either('https?|jdbc|mysql|postgresql|postgres|redis|mongodb|amqp')}|[Ss]3)" + r"""://[^\x00-\x20"'<>]+""", None),
 }
 BASE, SECRETS, NAMES = ("assign", "access", "hex"), ("assign", "hex", "key"), ("access", "id")
 _BREAK = r"\n[\x20\x09\x0D]*\n"
@@ -83,8 +90,8 @@ def parts_of(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
     ordered = Window.partitionBy(*key).orderBy("start")
     df = df.withColumn("scope", F.count_if(F.col("rank") == len(_RANK)).over(ordered))
-    near = Window.partitionBy(*key, "scope").orderBy("start").rangeBetween(-WINDOW, WINDOW)
-    secret, name = F.max(is_one(SECRETS)).over(near), F.max(is_one(NAMES)).over(near)
+    whole = Window.partitionBy(*key, "scope")
+    secret, name = F.max(is_one(SECRETS)).over(whole), F.max(is_one(NAMES)).over(whole)
     secret_or_other = {"id": secret, "key": name, "endpoint": secret & name}
     shown = is_one(BASE)
     for kind, linked in secret_or_other.items():
@@ -109,37 +116,45 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
-    """docs with every span of its text replaced by its kind in brackets; n_chars, where there is one, follows the text."""
-    by_text = ["_a", "_b"]
-    keyed = docs.withColumns({"_a": F.xxhash64("text"), "_b": F.hash("text")})
-    # Equal texts have equal spans: one of each is enough, and a group of copies is no hot key here.
-    rows = keyed.select("doc_id", "_a", "_b", "text").withColumn("_row", F.monotonically_increasing_id())
-    row = [*by_text, "_row"]
-    parts = parts_of(rows.where(any_part(F.col("text"))), row).where("shown")
+    """docs with every span of its text replaced by its kind in brackets; n_chars, where there is one, follows the text.
+
+    Spans are found for each distinct text and joined by two hashes of it to the rows in which a kind can stand at all; other
+    rows, those without a text too, pass as they are and are in no join. Rows are carried as one column, so theirs can have any
+    names.
+    """
+    text = F.col("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.cast("string").alias("text"))
+    some = F.coalesce(any_part(F.col("text")), F.lit(False))
+    asked = rows.where(some).withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
+    by_text = ["a", "b"]
+    # Equal texts have equal spans, so one of each is scanned, and a group of copies is no hot key here.
+    texts = asked.groupBy(*by_text).agg(F.any_value("text").alias("text"))
+    parts = parts_of(texts, by_text).where("shown")
     # Spans of different kinds can overlap; what they cover together is replaced once, under the first one's kind.
-    earlier = Window.partitionBy(*row).orderBy("start", "rank")
+    earlier = Window.partitionBy(*by_text).orderBy("start", "rank")
     ahead = earlier.rowsBetween(Window.unboundedPreceding, -1)
     apart = F.col("start") >= F.coalesce(F.max("end").over(ahead), F.lit(0))
-    parts = parts.withColumn("_apart", apart.cast("int")).withColumn("_cover", F.sum("_apart").over(earlier))
-    covers = parts.groupBy(*row, "_cover").agg(
+    parts = parts.withColumn("apart", apart.cast("int")).withColumn("cover", F.sum("apart").over(earlier))
+    covers = parts.groupBy(*by_text, "cover").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "rank"))["rank"].alias("rank")
     )
     kind = F.array(*(F.lit(k) for k in KINDS))[F.col("rank")].alias("kind")
-    spans = covers.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("_m"))
-    spans = written(spans.groupBy(*by_text).agg(F.any_value("_m").alias("_m")), "spans")
+    spans = covers.groupBy(*by_text).agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("spans"))
+    spans = written(spans, "spans")
     before, after = mark.split("{}")
 
     def cut(s: Column, i: Column) -> Column:
-        last = F.when(i == 0, F.lit(0)).otherwise(F.get("_m", i - 1)["end"])
+        last = F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"])
         return F.concat(F.col("text").substr(last + 1, s["start"] - last), F.lit(before), s["kind"], F.lit(after))
 
-    tail = F.col("text").substr(F.element_at("_m", -1)["end"] + 1, F.length("text"))
-    clean = F.when(F.col("_n") > 0, F.concat(F.array_join(F.transform("_m", cut), ""), tail)).otherwise(F.col("text"))
-    out = keyed.join(spans, by_text, "left").withColumn("_n", F.size(F.coalesce("_m", F.array()))).withColumn("text", clean)
+    tail = F.col("text").substr(F.element_at("spans", -1)["end"] + 1, F.length("text"))
+    clean = F.concat(F.array_join(F.transform("spans", cut), ""), tail)
+    found = asked.join(spans, by_text, "left").withColumn("clean", F.when(F.col("spans").isNotNull(), clean))
+    row = F.col("row").withField("text", F.coalesce(F.col("clean").cast(docs.schema["text"].dataType), F.col("row.text")))
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_n") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        length = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("clean").isNotNull(), length).otherwise(F.col("row.n_chars")))
+    return rows.where(~some).select("row").union(found.select(row.alias("row"))).select("row.*")
 
 
 def any_part(text: Column) -> Column:
@@ -185,7 +200,7 @@ def _oracle() -> str:
     kinds = " union all ".join(_sql_kind(k, p) for k, (p, _) in KINDS.items())
     r = _RANK
     valid = f"""case rank when {r["assign"]} then {_group_2(_SECRET, 6)} when {r["id"]} then {_group_2(_NAME, 3)}
-      when {r["key"]} then length(m) between 40 and 88 and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')
+      when {r["key"]} then regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')
       else true end"""
     secrets, names = (", ".join(str(r[k]) for k in ks) for ks in (SECRETS, NAMES))
     shown = ", ".join(f"'{k}'" for k in KINDS)
@@ -201,7 +216,7 @@ scoped as (
   select *, sum((rank = {len(_RANK)})::int) over (partition by row_id order by start) as scope from parts),
 linked as (
   select *, max((valid and rank in ({secrets}))::int) over near as secret, max((valid and rank in ({names}))::int) over near as name
-  from scoped window near as (partition by row_id, scope order by start range between {WINDOW} preceding and {WINDOW} following)),
+  from scoped window near as (partition by row_id, scope)),
 spans as (
   select row_id, rank, start::bigint || ':' || stop::bigint as place, start from linked where valid and (rank < 3
     or rank = {r["id"]} and secret = 1 or rank = {r["key"]} and name = 1 or rank = {r["endpoint"]} and secret = 1 and name = 1)),

@@ -265,18 +265,20 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     groups = written(grouped(docs, radius), "groups")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull())
-    repeated = written(repeated.select(F.col("doc_id").alias("_id")), "repeated")
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    repeated = written(repeated.select(F.col("doc_id").alias("id")), "repeated")
+    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id"))
     lost = written(lost.union(repeated).distinct(), "lost")
-    once = docs.where("doc_id is not null").join(lost, F.col("doc_id") == F.col("_id"), "left_anti")
-    others = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
+    # Rows are carried as one column, so theirs can have any names.
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    others = others.select(row, fingerprint_of(F.col("text").cast("string")).alias("fp"), F.col("doc_id").alias("id"), F.col("text").alias("by"))
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("by"))
+    once = rows.where("id is not null").join(lost, "id", "left_anti").select("row")
+    others = rows.join(repeated, "id", "left_semi").select("row", "id", "by").union(rows.where("id is null").select("row", "id", "by"))
+    others = others.withColumn("fp", fingerprint_of("by"))
     named = groups.groupBy("fp").agg(F.count("*").alias("n"), F.first("component").alias("component"), F.first("component_id").alias("least"))
     others = looked_up(others, written(named, "named"), "fp").where("id <=> least")
     # Equal ids in one component: that with the least text. The minimum is taken before the shuffle, so no key is hot.
     picked = others.groupBy("component").agg(F.min_by("row", F.coalesce("by", F.lit(""))).alias("row"))
-    return once.unionByName(picked.select("row.*"))
+    return once.unionByName(picked.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

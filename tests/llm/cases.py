@@ -9,7 +9,9 @@ PROSE = (
     "what had been set aside for it by the town so they will have to find the rest from other sources before any of the "
     "builders can be paid for what they do on the river banks this coming year"
 )
-EXTRA = "start int, end int, rank int, size int, shard int, slot int, fp long, kept boolean, spans string, n_words string, part int, block int"
+EXTRA = "start int, end int, rank int, size int, shard int, slot int, fp long, kept boolean, spans string, n_words string, part int, block int, "
+HIDDEN = "_a _b _m _n _id _row _file _old _no _t _p _x _all row id text2 a b fp by clean gone".split()
+EXTRA += ", ".join(f"{n} string" for n in HIDDEN if n not in ("fp",))
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
 
 
@@ -25,7 +27,7 @@ def texts() -> list[tuple[int | None, str | None]]:
 
 def documents(spark: SparkSession, rows=None) -> DataFrame:
     rows = texts() if rows is None else rows
-    return spark.createDataFrame([(i, t, None, "s", None, *[None] * 12) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, "s", None, *[None] * 12, *(n for n in HIDDEN if n != "fp")) for i, t in rows], SCHEMA)
 
 
 def saved(df: DataFrame, folder, name: str) -> str:
