@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import sequence as s
 from .operators import approx, exact, lift, windows
 from .plans import knowledge, validate, verify
-from .sources import assemblies, fasta, files, tables
+from .sources import assemblies, fasta, fasta_ranges, files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -695,6 +695,30 @@ def fasta_files(spark: SparkSession, d: str) -> DataFrame:
     return fasta.replicons(fasta.records(text.select(name, "value"))).select("replicon_id", "replicon_type", "length_bp", "gc_fraction", "seq")
 
 
+_LETTERS = "translate(" + " || ".join(f"md5(l_orderkey::varchar || '/' || l_linenumber::varchar || '{x}')" for x in "abcd") + ", '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query("fasta_ranges", f"""with l as (select l_orderkey, l_linenumber, {_LETTERS} as letters from lineitem),
+    r as (select l_orderkey, string_agg(letters, '' order by l_linenumber, letters) as seq from l group by l_orderkey)
+    select l_orderkey % 5 as file_no, row_number() over (partition by l_orderkey % 5 order by l_orderkey) as number,
+      'NC_' || l_orderkey || '.1 order' as header, length(seq)::bigint as length_bp,
+      (length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')))::double / length(seq) as gc_fraction, md5(seq) as seq_md5 from r""")
+def fasta_ranges_query(spark: SparkSession, d: str) -> DataFrame:
+    """Plain FASTA files, a record for each order and a line of 128 letters for each of its items, read by ranges of 256 KB."""
+    path, k = files.scratch(spark, "fasta"), F.concat_ws("/", "l_orderkey", "l_linenumber")
+    letters = F.translate(F.concat(*(F.md5(F.concat(k, F.lit(x))) for x in "abcd")), "0123456789abcdef", "ACGT" * 4)
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", letters.alias("letters"))))
+    made = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("all"))
+    head = F.concat(F.lit(">NC_"), "l_orderkey", F.lit(".1 order"))
+    made = made.select("l_orderkey", (F.col("l_orderkey") % 5).alias("file_no"), F.array_join(F.concat(F.array(head), F.transform("all", lambda x: x["letters"])), "\n").alias("value"))
+    made.repartition("file_no").sortWithinPartitions("file_no", "l_orderkey").select("file_no", "value").write.partitionBy("file_no").text(path)
+    found = fasta_ranges.fragments(spark, path, 1 << 18, ".txt")
+    file_no = F.regexp_extract("file_path", "file_no=([0-9]+)/", 1).cast("long").alias("file_no")
+    stats = fasta_ranges.record_stats(found).select("file_path", "number", file_no, "header", "length_bp", "gc_fraction")
+    whole = fasta_ranges.assembled(found).select("file_path", "number", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+    return stats.join(whole, ["file_path", "number"]).drop("file_path")
+
+
 @query("csv_round_trip", _REPLICONS + "select assembly_accession, replicon_id, replicon_type, length_bp, gc_fraction, taxonomy_id, nullif(checksum_sha256, '') as checksum_sha256 from r")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The replicon table as CSV, read back."""
