@@ -1,4 +1,9 @@
-"""The functions as SQL functions of a session."""
+"""The functions as SQL functions of a session: scalar ones, and table functions to be called by LATERAL.
+
+    select t.id, w.* from t, lateral windows(t.seq, 24, 6) w
+
+`windows`, `orbit` and `dihedral_transforms` are SQL all through, so they become generators within the caller's plan.
+"""
 
 from __future__ import annotations
 
@@ -38,6 +43,21 @@ _BODIES = {
     ),
     "is_palindrome(seq STRING) RETURNS BOOLEAN": "seq = reverse(seq)",
     "is_rc_fixed(seq STRING) RETURNS BOOLEAN": "seq = translate(reverse(seq), 'ACGTRYKMBDHV', 'TGCAYRMKVHDB')",
+    "windows(seq STRING, window INT, step INT) RETURNS TABLE (window_start BIGINT, window_seq STRING)": (
+        "select i * step, substr(seq, cast(i * step as int) + 1, window) from (select explode("
+        "case when length(seq) >= window then sequence(0L, (length(seq) - window) div step) else cast(array() as array<bigint>) end) as i)"
+    ),
+    "orbit(seq STRING) RETURNS TABLE (member STRING)": (
+        "select explode(case when coalesce(length(seq), 0) = 0 then cast(array() as array<string>) else array_distinct(flatten(transform(sequence(0, greatest(length(seq), 1) - 1), "
+        "i -> array(concat(substr(seq, i + 1), substr(seq, 1, i)), concat(substr(reverse(seq), i + 1), substr(reverse(seq), 1, i)))))) end)"
+    ),
+    "dihedral_transforms(seq STRING) RETURNS TABLE (family STRING, k BIGINT, transformed STRING, distance BIGINT)": (
+        "select family, k, transformed, cast(size(filter(zip_with(split(seq, ''), split(transformed, ''), (p, q) -> p <> q), x -> x)) as bigint) from ("
+        "select family, k, concat(substr(image, cast(k as int) + 1), substr(image, 1, cast(k as int))) as transformed from ("
+        "select family, image, explode(case when coalesce(length(image), 0) = 0 then cast(array() as array<bigint>) else sequence(0L, greatest(length(image), 1) - 1L) end) as k from ("
+        "select inline(array(struct('SHIFT' as family, seq as image), struct('REVERSE_SHIFT' as family, reverse(seq) as image), "
+        "struct('RC_SHIFT' as family, translate(reverse(seq), 'ACGTRYKMBDHV', 'TGCAYRMKVHDB') as image))))) where family <> 'SHIFT' or k > 0)"
+    ),
     "engine_version() RETURNS STRING": f"'{__version__}'",
 }
 

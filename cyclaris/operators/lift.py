@@ -119,9 +119,10 @@ def relations(ns: DataFrame) -> DataFrame:
     return made.select("n", *(v.alias(k) for k, v in checks.items()))
 
 
-def dicyclic_lifts(spark: SparkSession, ns: tuple[int, ...] = LIFT_ORDERS) -> DataFrame:
-    """dihedral_order, verified_double_cover, lift_group, relations_satisfied."""
-    both = double_cover(orders(spark, ns)).join(relations(orders(spark, ns)), "n")
+def dicyclic_lifts(spark: SparkSession, ns: tuple[int, ...] | DataFrame = LIFT_ORDERS) -> DataFrame:
+    """dihedral_order, verified_double_cover, lift_group, relations_satisfied; ns: orders, or a table of distinct ones (n)."""
+    ns = ns if isinstance(ns, DataFrame) else orders(spark, ns)
+    both = double_cover(ns).join(relations(ns), "n")
     return both.select(
         (2 * F.col("n")).alias("dihedral_order"),
         F.col("verified").alias("verified_double_cover"),
@@ -130,10 +131,10 @@ def dicyclic_lifts(spark: SparkSession, ns: tuple[int, ...] = LIFT_ORDERS) -> Da
     )
 
 
-def quaternion_results(spark: SparkSession, ns: tuple[int, ...] = RESULT_ORDERS) -> DataFrame:
-    """n, dicyclic_order, dihedral_order, double_cover_verified, group_notation."""
+def quaternion_results(spark: SparkSession, ns: tuple[int, ...] | DataFrame = RESULT_ORDERS) -> DataFrame:
+    """n, dicyclic_order, dihedral_order, double_cover_verified, group_notation; ns: orders, or a table of distinct ones (n)."""
     n = F.col("n")
-    return double_cover(orders(spark, ns)).select(
+    return double_cover(ns if isinstance(ns, DataFrame) else orders(spark, ns)).select(
         "n",
         (4 * n).alias("dicyclic_order"),
         (2 * n).alias("dihedral_order"),

@@ -45,26 +45,50 @@ def git_sha() -> str:
         return "unknown"
 
 
-def validity(metric: Column, x: Column, is_boolean: Column, orbit_ratio_min: Column | None = None) -> Column:
-    """(holds, predicate) of a metric's value; x: the value as a number, null if it is none.
+#: The predicates as conditions on x, the value as a number, and is_boolean.
+_CONDITIONS = {
+    "x > 0": "x > 0",
+    "x >= 0": "x >= 0",
+    "0 <= x <= 1": "x between 0 and 1",
+    "0.25 <= x <= 1": "x between 0.25 and 1",
+    "x > 0 and even": "x > 0 and pmod(x, 2d) = 0",
+    "boolean": "is_boolean",
+}
+RULE = "metric_name string, predicate string, condition string"
+#: Rules of a table beyond which it is no rule table.
+MOST_RULES = 10_000
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """The rules as a table: metric_name, predicate (as records show it) and condition, SQL over x, the value as a number (null if
+    it is none), shown, the value as text, and is_boolean. Rows added to it are rules like the others."""
+    return spark.createDataFrame([(m, p, _CONDITIONS[p]) for m, p in PREDICATES.items()], RULE)
+
 
-    A value that a predicate can't be applied to holds, without a predicate.
+def compiled(table: DataFrame | None = None) -> Column:
+    """One expression for a table of rules (without one: the fixed ones): (holds, predicate) of a row with metric_name, x,
+    is_boolean and shown.
+
+    All rules of a metric must hold; its predicate names them in order, joined by " and ". A condition that a value can't
+    answer (null) holds and isn't named. Conditions are checked by Spark as it plans; the table may have MOST_RULES rows.
     """
-    least = F.lit(0.25) if orbit_ratio_min is None else orbit_ratio_min
-    checks = {
-        "x > 0": x > 0,
-        "x >= 0": x >= 0,
-        "0 <= x <= 1": x.between(0, 1),
-        "0.25 <= x <= 1": x.between(least, 1),
-        "x > 0 and even": (x > 0) & (F.pmod(x, F.lit(2.0)) == 0),
-        "boolean": is_boolean,
-    }
-    holds, predicate = F.lit(True), F.lit(None).cast("string")
-    for name, text in PREDICATES.items():
-        applies = (metric == name) & (F.lit(True) if text == "boolean" else x.isNotNull())
-        holds = F.when(applies, checks[text]).otherwise(holds)
-        predicate = F.when(applies, F.lit(text)).otherwise(predicate)
-    return F.struct(holds.alias("holds"), predicate.alias("predicate"))
+    if table is None:
+        rows = [(m, p, _CONDITIONS[p]) for m, p in PREDICATES.items()]
+    else:
+        rows = [tuple(r) for r in table.select("metric_name", "predicate", "condition").distinct().limit(MOST_RULES + 1).collect()]
+        if len(rows) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules")
+    by_metric: dict[str, list[tuple[str, str]]] = {}
+    for metric, predicate, condition in sorted(rows):
+        by_metric.setdefault(metric, []).append((predicate, condition))
+
+    every = F.lit(None).cast("array<struct<p:string,ok:boolean>>")
+    for name, found in by_metric.items():
+        answers = F.array(*(F.struct(F.lit(p).alias("p"), F.expr(f"({c})").cast("boolean").alias("ok")) for p, c in found))
+        every = F.when(F.col("metric_name") == name, answers).otherwise(every)
+    answered = F.filter(F.coalesce(every, F.array().cast("array<struct<p:string,ok:boolean>>")), lambda r: r["ok"].isNotNull())
+    predicate = F.nullif(F.array_join(F.transform(answered, lambda r: r["p"]), " and "), F.lit(""))
+    return F.struct(F.forall(answered, lambda r: r["ok"]).alias("holds"), predicate.alias("predicate"))
 
 
 def _cell(number: int, name: str, column: Column, kind: str, epsilon: float | None, confidence: float | None) -> Column:
@@ -160,15 +184,18 @@ def base_provenance(pipeline_max: int = 200, pipeline_seed: int = 42, sha: str |
     }
 
 
-def records(rows: DataFrame, provenance: dict[str, Column]) -> DataFrame:
-    """record_type, metric_name, value, epsilon, confidence, validity, provenance of unpivoted rows, with their sort keys."""
+def records(rows: DataFrame, provenance: dict[str, Column], rule_table: DataFrame | None = None) -> DataFrame:
+    """record_type, metric_name, value, epsilon, confidence, validity, provenance of unpivoted rows, with their sort keys.
+
+    rule_table: the rules that validity is told by, in place of the fixed ones.
+    """
     exact = F.col("metric_name").isin(*DETERMINISTIC)
     context = [F.col(c) for c in _CONTEXT]
-    return rows.select(
+    return rows.withColumnRenamed("number", "x").select(
         "table_no", "row", "metric_no", "record_type", "metric_name", "value", "shown",
         F.when(exact, F.lit(0.0)).otherwise(F.col("epsilon")).alias("epsilon"),
         F.when(exact, F.lit(1.0)).otherwise(F.col("confidence")).alias("confidence"),
-        validity(F.col("metric_name"), F.col("number"), F.col("is_boolean")).alias("validity"),
+        compiled(rule_table).alias("validity"),
         F.struct(*(v.alias(k) for k, v in provenance.items()), *context).alias("provenance"),
     )
 

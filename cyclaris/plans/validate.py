@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as s
@@ -78,10 +78,10 @@ def symmetry_checks(df: DataFrame, *keep: str, strategy: str = "arrow") -> DataF
     )
 
 
-def technical_validation(spark: SparkSession) -> DataFrame:
-    """All checks on the fixed cases."""
-    a = operator_checks(sequences(spark, OPERATOR_CASES))
-    return a.unionByName(symmetry_checks(sequences(spark, SYMMETRY_CASES)))
+def technical_validation(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """All checks on the sequences of cases (seq), or on the fixed ones."""
+    a = operator_checks(sequences(spark, OPERATOR_CASES) if cases is None else cases)
+    return a.unionByName(symmetry_checks(sequences(spark, SYMMETRY_CASES) if cases is None else cases))
 
 
 def all_passed(found: DataFrame) -> bool:
@@ -117,21 +117,37 @@ def compared(df: DataFrame, plans: dict = PLANS) -> DataFrame:
     return long.withColumn("passed", F.coalesce(same, F.col("a").eqNullSafe(F.col("b"))))
 
 
-def cross_validation(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """n_tests, n_passed, n_failed, max_error, failed_cases of each function, and the total (function_name null).
+#: Failing inputs that a result names.
+SHOWN = 20
+
+
+def first_failures(rows: DataFrame, n: int = SHOWN) -> DataFrame:
+    """function_name (null: of all) and failed_cases, the first n failing inputs of rows (function_name, input, passed).
+
+    Ranks are cut to n before the shuffle, so no function's failures are ever together.
+    """
+    failed = rows.where("not passed").select("function_name", "input").distinct()
+    ranked = failed.withColumn("nth", F.row_number().over(Window.partitionBy("function_name").orderBy("input"))).where(F.col("nth") <= n)
+    each = ranked.groupBy("function_name").agg(F.sort_array(F.collect_list("input")).alias("failed_cases"))
+    # Of all functions: from the first n of each, so at most n rows a function.
+    every = ranked.agg(F.slice(F.array_sort(F.collect_set("input")), 1, n).alias("failed_cases"))
+    return each.unionByName(every.select(F.lit(None).cast("string").alias("function_name"), "failed_cases"))
+
+
+def cross_validation(df: DataFrame, spark: SparkSession | None = None, plans: dict = PLANS) -> DataFrame:
+    """n_tests, n_passed, n_failed, max_error, failed_cases (the first `SHOWN`) of each function, and the total (function_name null).
 
     With a session the double cover of orders 2 to 16 is tested too, against the elements counted one by one.
     """
-    rows = compared(df).select("function_name", F.col("seq").alias("input"), "error", "passed")
+    rows = compared(df, plans).select("function_name", F.col("seq").alias("input"), "error", "passed")
     if spark is not None:
         cover = lift.double_cover(lift.orders(spark, lift.RESULT_ORDERS))
         ok = F.col("verified") & (F.col("n_elements") == 4 * F.col("n"))
         rows = rows.unionByName(cover.select(F.lit("verify_double_cover").alias("function_name"), F.col("n").cast("string").alias("input"), F.lit(0.0).alias("error"), ok.alias("passed")))
-    failed = F.when(~F.col("passed"), F.col("input"))
-    return rows.rollup("function_name").agg(
-        F.count("*").alias("n_tests"),
-        F.count_if("passed").alias("n_passed"),
-        F.count_if(~F.col("passed")).alias("n_failed"),
-        F.max("error").alias("max_error"),
-        F.slice(F.sort_array(F.collect_set(failed)), 1, 20).alias("failed_cases"),
+    counts = rows.rollup("function_name").agg(
+        F.count("*").alias("n_tests"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.max("error").alias("max_error")
     )
+    named = first_failures(rows).withColumnRenamed("function_name", "_of")
+    none = F.array().cast("array<string>")
+    found = counts.join(named, F.col("function_name").eqNullSafe(F.col("_of")), "left")
+    return found.withColumn("failed_cases", F.coalesce("failed_cases", none)).drop("_of")

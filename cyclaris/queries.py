@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as s
+from .functions import sql
 from .operators import approx, exact, lift, windows
-from .plans import knowledge, validate, verify
+from .plans import derivation, knowledge, validate, verify
 from .sources import assemblies, fasta, fasta_ranges, files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,46 +304,54 @@ def window_table(spark: SparkSession, d: str) -> DataFrame:
     return windows.window_stats(_texts(spark, d))
 
 
-# Quaternions
+# Quaternions: a group for each supplier
 
-_ELEMENTS = """with g as (select unnest(range(2, 17)) as n), e as (select n, unnest(range(0, 2 * n)) as k from g),
+_ELEMENTS = """with g as (select distinct s_suppkey + 2 as n from supplier), e as (select n, unnest(range(0, 2 * n)) as k from g),
     r as (select n, k, unnest([false, true]) as is_reflection from e),
     q as (select n, k, is_reflection, case when is_reflection then 0 else cos(pi() * k / n) end as w,
       case when is_reflection then 0 else sin(pi() * k / n) end as x from r),
     p as (select *, (round_even(atan2(x, w) * n / pi(), 0)::bigint % n + n) % n as pk,
       (round_even(atan2(-x, -w) * n / pi(), 0)::bigint % n + n) % n as nk from q) """
+#: The relations by angles: a^k is the rotation by pi k / n, b is j, and b^-1 a b turns a's second component round.
+_RELATIONS = """abs(cos(2 * n * (pi() / n)) - 1) < 1e-10 and abs(sin(2 * n * (pi() / n))) < 1e-10 as a_power_2n,
+    abs(cos(n * (pi() / n)) + 1) < 1e-10 and abs(sin(n * (pi() / n))) < 1e-10 as b_squared,
+    abs(sin(-pi() / n) + sin(pi() / n)) < 1e-10 as conjugation"""
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "supplier").select((F.col("s_suppkey") + 2).alias("n")).distinct()
 
 
 @query("dicyclic_elements", _ELEMENTS + "select n, k, is_reflection, pk as projected_k from p")
 def dicyclic_elements(spark: SparkSession, d: str) -> DataFrame:
-    made = lift.elements(lift.orders(spark, lift.RESULT_ORDERS))
+    made = lift.elements(_groups(spark, d))
     return made.select("n", "k", "is_reflection", lift.project(F.col("q"), F.col("n"))["k"].alias("projected_k"))
 
 
-@query("dicyclic_reflections", "with g as (select unnest(range(2, 17)) as n), e as (select n, unnest(range(0, 2 * n)) as k from g) select n, k, k % n as reflection_index from e")
+@query("dicyclic_reflections", "with g as (select distinct s_suppkey + 2 as n from supplier), e as (select n, unnest(range(0, 2 * n)) as k from g) select n, k, k % n as reflection_index from e")
 def dicyclic_reflections(spark: SparkSession, d: str) -> DataFrame:
-    made = lift.elements(lift.orders(spark, lift.RESULT_ORDERS)).where("is_reflection")
+    made = lift.elements(_groups(spark, d)).where("is_reflection")
     return made.select("n", "k", lift.reflection_index(F.col("q"), F.col("n")).alias("reflection_index"))
 
 
 @query("double_cover", _ELEMENTS + "select n, count(*) as n_elements, bool_and(pk = nk) as verified from p group by n")
 def double_cover(spark: SparkSession, d: str) -> DataFrame:
-    return lift.double_cover(lift.orders(spark, lift.RESULT_ORDERS))
+    return lift.double_cover(_groups(spark, d))
 
 
-@query("generator_relations", "select unnest(range(2, 17)) as n, true as a_power_2n, true as b_squared, true as conjugation")
+@query("generator_relations", f"select distinct s_suppkey + 2 as n, {_RELATIONS} from (select *, s_suppkey + 2 as n from supplier)")
 def generator_relations(spark: SparkSession, d: str) -> DataFrame:
-    return lift.relations(lift.orders(spark, lift.RESULT_ORDERS))
+    return lift.relations(_groups(spark, d))
 
 
-@query("dicyclic_lifts", _ELEMENTS + "select 2 * n as dihedral_order, bool_and(pk = nk) as verified_double_cover, 'Dic_' || n as lift_group, true as relations_satisfied from p where n in (2, 4, 8, 16) group by n")
+@query("dicyclic_lifts", _ELEMENTS + f", c as (select n, bool_and(pk = nk) as verified from p group by n), rel as (select n, {_RELATIONS} from g) select 2 * n as dihedral_order, verified as verified_double_cover, 'Dic_' || n as lift_group, a_power_2n and b_squared and conjugation as relations_satisfied from c join rel using (n)")
 def dicyclic_lifts(spark: SparkSession, d: str) -> DataFrame:
-    return lift.dicyclic_lifts(spark)
+    return lift.dicyclic_lifts(spark, _groups(spark, d))
 
 
 @query("quaternion_results", _ELEMENTS + "select n, 4 * n as dicyclic_order, 2 * n as dihedral_order, bool_and(pk = nk) as double_cover_verified, 'Dic_' || n || ' → D_' || n as group_notation from p group by n")
 def quaternion_results(spark: SparkSession, d: str) -> DataFrame:
-    return lift.quaternion_results(spark)
+    return lift.quaternion_results(spark, _groups(spark, d))
 
 
 # Sources
@@ -474,10 +483,10 @@ _KNOWN_REPLICONS = " union all ".join(
 )
 _KNOWN_LIFTS = " union all ".join(
     [
-        _record_sql("dicyclic_lift", "dihedral_order", "(2 * n)::varchar", "(select unnest([2, 4, 8, 16]) as n)", _EXACT, "true", "'x > 0 and even'", "null::varchar"),
-        _record_sql("dicyclic_lift", "lift_group", "'Dic_' || n", "(select unnest([2, 4, 8, 16]) as n)", _EXACT, "true", "null", "null::varchar"),
-        _record_sql("dicyclic_lift", "verified_double_cover", "'true'", "(select unnest([2, 4, 8, 16]) as n)", _EXACT, "true", "'boolean'", "null::varchar"),
-        _record_sql("dicyclic_lift", "relations_satisfied", "'true'", "(select unnest([2, 4, 8, 16]) as n)", _EXACT, "true", "'boolean'", "null::varchar"),
+        _record_sql("dicyclic_lift", "dihedral_order", "(2 * n)::varchar", "(select distinct s_suppkey + 2 as n from supplier)", _EXACT, "true", "'x > 0 and even'", "null::varchar"),
+        _record_sql("dicyclic_lift", "lift_group", "'Dic_' || n", "(select distinct s_suppkey + 2 as n from supplier)", _EXACT, "true", "null", "null::varchar"),
+        _record_sql("dicyclic_lift", "verified_double_cover", "'true'", "(select distinct s_suppkey + 2 as n from supplier)", _EXACT, "true", "'boolean'", "null::varchar"),
+        _record_sql("dicyclic_lift", "relations_satisfied", "'true'", "(select distinct s_suppkey + 2 as n from supplier)", _EXACT, "true", "'boolean'", "null::varchar"),
     ]
 )
 
@@ -494,7 +503,7 @@ def knowledge_replicons(spark: SparkSession, d: str) -> DataFrame:
 
 @query("knowledge_lifts", _KNOWN_LIFTS)
 def knowledge_lifts(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(knowledge.export_lifts(lift.dicyclic_lifts(spark)))
+    return _shown(knowledge.export_lifts(lift.dicyclic_lifts(spark, _groups(spark, d))))
 
 
 _APPROX_ROWS = _nearest_sql(_CUSTOMERS, "c_custkey") + ", a as (select 'c' || c_custkey as replicon_id, b.d as dmin, b.d::double / n as dn from m) "
@@ -545,7 +554,7 @@ def knowledge_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("knowledge_union", _APPROX_ROWS + ", " + _REPLICONS.removeprefix("with ") + f"select record_type, metric_name, count(*) as n, count(*) filter (holds) as n_holds from ({_KNOWN_REPLICONS} union all {_KNOWN_LIFTS} union all {_KNOWN_APPROX}) group by all")
 def knowledge_union(spark: SparkSession, d: str) -> DataFrame:
-    tables = {"atlas_replicons": _replicons(spark, d), "dicyclic_lifts": lift.dicyclic_lifts(spark), "approx_symmetry_stats": _approx_table(spark, d)}
+    tables = {"atlas_replicons": _replicons(spark, d), "dicyclic_lifts": lift.dicyclic_lifts(spark, _groups(spark, d)), "approx_symmetry_stats": _approx_table(spark, d)}
     made = _shown(knowledge.union(tables))
     return made.groupBy("record_type", "metric_name").agg(F.count("*").alias("n"), F.count_if("holds").alias("n_holds"))
 
@@ -771,6 +780,128 @@ def strategy_crosscheck(spark: SparkSession, d: str) -> DataFrame:
     return found.select("function_name", "n_tests", "n_passed", "n_failed")
 
 
-@query("technical_validation", "select unnest(['shift_cyclic', 'reverse_involution', 'complement_involution', 'rc_commutative', 'dihedral_relation', 'orbit_divides_2n', 'orbit_ratio_bounds', 'dmin_bounds', 'dmin_periodic_zero']) as check_name, unnest([1, 1, 1, 1, 1, 4, 4, 4, 4])::bigint as n, true as passed")
+@query("technical_validation", "with c as (select count(*) as n from supplier) select unnest(['shift_cyclic', 'reverse_involution', 'complement_involution', 'rc_commutative', 'dihedral_relation', 'orbit_divides_2n', 'orbit_ratio_bounds', 'dmin_bounds', 'dmin_periodic_zero']) as check_name, n, true as passed from c")
 def technical_validation(spark: SparkSession, d: str) -> DataFrame:
-    return validate.technical_validation(spark).groupBy("check_name").agg(F.count("*").alias("n"), F.bool_and("passed").alias("passed"))
+    cases = _read(spark, d, "supplier").select(_d("s_suppkey").alias("seq"))
+    return validate.technical_validation(spark, cases).groupBy("check_name").agg(F.count("*").alias("n"), F.bool_and("passed").alias("passed"))
+
+
+@query("crosscheck_failures", _PARTS + f""", f as (select 'period_is_orbit' as function_name, seq from t where {PERIOD} <> {ORBIT} union all select 'palindrome_is_rc', seq from t where (seq = reverse(seq)) <> (seq = {RC.format('seq')})),
+    r as (select *, dense_rank() over (partition by function_name order by seq) as nth from f),
+    c as (select function_name, count(*) as n_failed, string_agg(distinct seq, ',' order by seq) filter (nth <= 20) as failed_cases from r group by 1),
+    u as (select string_agg(seq, ',' order by seq) as failed_cases from (select distinct seq from f order by seq limit 20)),
+    n as (select count(*) as n from part)
+    select g.name as function_name, n as n_tests, n - coalesce(n_failed, 0) as n_passed, coalesce(n_failed, 0) as n_failed, coalesce(failed_cases, '') as failed_cases
+      from (select unnest(['period_is_orbit', 'palindrome_is_rc', 'orbit_size']) as name) g left join c on function_name = name, n
+    union all select null, 3 * n, 3 * n - (select count(*) from f), (select count(*) from f), coalesce(u.failed_cases, '') from u, n""")
+def crosscheck_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Two pairs of plans that don't agree, and one that does: the counts, and the first failing inputs."""
+    plans = {
+        "period_is_orbit": (exact.rotational_period, exact.orbit_size), "palindrome_is_rc": (exact.is_palindrome, exact.is_rc_fixed),
+        "orbit_size": validate.PLANS["orbit_size"],
+    }
+    found = validate.cross_validation(_parts(spark, d).select("seq"), plans=plans)
+    return found.select("function_name", "n_tests", "n_passed", "n_failed", F.array_join("failed_cases", ",").alias("failed_cases"))
+
+
+# SQL text over the registered functions
+
+
+def _sql(spark: SparkSession, d: str, text: str, **views: DataFrame) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(text, **views)
+
+
+@query("sql_scalar", f"with t as (select c_custkey, {K.format('c_custkey')} as seq from customer) select c_custkey, {ORBIT} as orbit_size, {RATIO} as orbit_ratio, {PERIOD} as rotational_period, seq = reverse(seq) as is_palindrome, seq = {RC.format('seq')} as is_rc_fixed, substr(seq, 6) || substr(seq, 1, 5) as shifted, {RC.format('seq')} as rev_comp, hamming(seq, {RC.format('seq')})::bigint as distance from t")
+def sql_scalar(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(
+        spark, d,
+        """select c_custkey, orbit_size(seq) as orbit_size, orbit_ratio(seq) as orbit_ratio, rotational_period(seq) as rotational_period,
+          is_palindrome(seq) as is_palindrome, is_rc_fixed(seq) as is_rc_fixed, shift(seq, 37) as shifted, rev_comp(seq) as rev_comp,
+          hamming_distance(seq, rev_comp(seq)) as distance from {t}""",
+        t=_customers(spark, d),
+    )
+
+
+@query("sql_dmin", _nearest_sql(_CUSTOMERS, "c_custkey") + f"select c_custkey, b.d as dmin, b.d::double / n as dmin_normalized, {_FAMILY} as family, b.k as k from m")
+def sql_dmin(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(
+        spark, d, "select c_custkey, dmin(seq) as dmin, dmin_normalized(seq) as dmin_normalized, n.family, n.k from (select *, nearest_transform(seq) as n from {t})", t=_customers(spark, d)
+    )
+
+
+@query("sql_windows", f"""with s as (select doc_id, {T} as whole from documents),
+    w as (select doc_id, whole, unnest(range(0, length(whole) - 23, 6)) as pos from s where length(whole) >= 24),
+    v as (select doc_id, pos as window_start, substr(whole, pos::int + 1, 24) as seq from w)
+    select doc_id, count(*) as n_windows, max(window_start) as last_start, sum({ORBIT})::bigint as orbits, count(*) filter (seq = {RC.format('seq')}) as n_fixed from v group by doc_id""")
+def sql_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping windows by a table function, and metrics of them by scalar ones."""
+    return _sql(
+        spark, d,
+        """select doc_id, count(*) as n_windows, max(w.window_start) as last_start, sum(orbit_size(w.window_seq)) as orbits,
+          count_if(is_rc_fixed(w.window_seq)) as n_fixed from {t} t, lateral windows(t.seq, 24, 6) w group by doc_id""",
+        t=_read(spark, d, "documents").select("doc_id", _t().alias("seq")),
+    )
+
+
+@query("sql_orbit", ORACLES["orbit_members"])
+def sql_orbit(spark: SparkSession, d: str) -> DataFrame:
+    made = _read(spark, d, "supplier").select("s_suppkey", _d("s_suppkey").alias("seq"))
+    return _sql(spark, d, "select s_suppkey, o.member from {t} t, lateral orbit(t.seq) o", t=made)
+
+
+@query("sql_transforms", ORACLES["dihedral_transforms"])
+def sql_transforms(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, d, "select p_partkey, x.family, x.k, x.transformed, x.distance from {t} t, lateral dihedral_transforms(t.seq) x", t=_parts(spark, d))
+
+
+# Rules as a table, derivations
+
+
+@query("knowledge_rules", """with e as (select c_custkey as k from customer), s as (select r_regionkey as r from region),
+    bound as (select max(r_regionkey) as b from region)
+    select metric_name, predicate, holds, count(*) as n from (
+      select 'chain_length' as metric_name, 'odd' as predicate, (k % 9) % 2 = 1 as holds from e
+      union all select 'n_trials', 'under 50 and up to ' || (b + 40), k % 100 < 50 and k % 100 <= b + 40 from e, bound
+      union all select 'seed', null, true from e where k % 2 = 0
+      union all select 'quaternion_acc', '0 <= x <= 1', (k % 4) / 4.0 between 0 and 1 from e)
+    group by all""")
+def knowledge_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that no code knows, one of them with a bound out of a table, beside the fixed ones."""
+    bound = _read(spark, d, "region").agg((F.max("r_regionkey") + 40).cast("string").alias("b"))
+    more = spark.createDataFrame(
+        [("chain_length", "odd", "x % 2 = 1"), ("n_trials", "under 50", "x < 50"), ("quaternion_acc", "0 <= x <= 1", "x between 0 and 1"), ("quaternion_acc", "later", "date(null) > current_date()")],
+        knowledge.RULE,
+    )
+    more = more.union(bound.select(F.lit("n_trials"), F.concat(F.lit("up to "), "b"), F.concat(F.lit("x <= "), "b")))
+    made = knowledge.records(knowledge.export_experiments(_experiments(spark, d)), knowledge.base_provenance(sha="0"), knowledge.rules(spark).union(more))
+    return made.groupBy("metric_name", "validity.predicate", "validity.holds").agg(F.count("*").alias("n")).where("metric_name in ('chain_length', 'n_trials', 'seed', 'quaternion_acc')")
+
+
+#: A record for each order; most derive from a neighbour, by chains of up to a dozen, some of which end in a cycle or nowhere.
+_DERIVED = """with recursive o as (select o_orderkey as k, (o_orderkey * 7 % 11) / 16.0 as eps, o_orderkey % 5 = 0 as has_rule from orders),
+    e as (select k, k - 1 as s from o where k % 4 <> 0 union select k, k - 2 from o where k % 4 = 2 union select k, k - 1 from o where k % 4 = 0 and k % 12 <> 0
+      union select k, k + 3 from o where k % 400 = 0 union select k, -1 from o where k % 97 = 0),
+    walk(k, s) as (select k, s from e union select w.k, e.s from walk w join e on e.k = w.s join o on o.k = w.s and not o.has_rule),
+    reach(k, s) as (select k, s from e union select r.k, e.s from reach r join e on e.k = r.s),
+    bound as (select w.k, max(o.eps) as b from walk w join o on o.k = w.s group by w.k),
+    loops as (select distinct r.k from reach r join reach c on c.k = r.s and c.s = r.s),
+    absent as (select distinct k from e where s not in (select k from o)) """
+
+
+@query("derivation_closure", _DERIVED + """select 'derivation_sources' as rule, k as record_idx, k not in (select k from absent) as passed from (select distinct k from e)
+    union all select 'derivation_ends', k, k not in (select k from loops) from (select distinct k from e)
+    union all select 'no_miracles_chain', k, has_rule or coalesce(eps >= b, true) from (select distinct k from e) join o using (k) left join bound using (k)""")
+def derivation_closure(spark: SparkSession, d: str) -> DataFrame:
+    k, none = F.col("o_orderkey"), F.lit(None).cast("bigint")
+    sources = F.array(
+        F.when((k % 4 != 0) | (k % 12 != 0), k - 1), F.when(k % 4 == 2, k - 2), F.when(k % 400 == 0, k + 3), F.when(k % 97 == 0, F.lit(-1)), none
+    )
+    names = F.transform(F.filter(sources, lambda s: s.isNotNull()), lambda s: F.concat(F.lit('"o'), s, F.lit('"')))
+    rule = F.when(k % 5 == 0, ', "rule": "measured anew"').otherwise("")
+    line = F.concat(
+        F.lit('{"record_id": "o'), k, F.lit('", "epsilon": '), (k * 7 % 11 / 16.0).cast("double").cast("string"),
+        F.lit(', "derivation": {"sources": ['), F.array_join(names, ", "), F.lit("]"), rule, F.lit("}}"),
+    )
+    lines = _read(spark, d, "orders").select(k.alias("record_idx"), line.alias("value"))
+    return derivation.derivation_checks(lines).select("rule", "record_idx", "passed")
