@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 from ..functions.sequence import _col, rev_comp, reverse, shift
 
@@ -69,6 +69,49 @@ def orbit(seq: Column | str) -> Column:
     return F.when(F.length(seq) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(both))
 
 
+def least_rotation(s: str) -> str:
+    """The first rotation of a text in the order of its letters, in linear time: of two candidate places, the one that loses a
+    comparison leaves out all places up to where it lost."""
+    n, i, j, k = len(s), 0, 1, 0
+    t = s + s
+    while i < n and j < n and k < n:
+        a, b = t[i + k], t[j + k]
+        if a == b:
+            k += 1
+            continue
+        if a > b:
+            i += k + 1
+        else:
+            j += k + 1
+        j += i == j
+        k = 0
+    at = min(i, j)
+    return t[at : at + n]
+
+
+@F.pandas_udf(StringType())
+def _orbit_key(seqs: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else min(least_rotation(s), least_rotation(s[::-1])) for s in seqs], dtype=object)
+
+
+def orbit_key(seq: Column | str, strategy: str = "arrow") -> Column:
+    """The first member of a sequence's orbit, which all sequences of the orbit share: to group by, without their members.
+
+    "arrow" takes linear time; "sql" compares all 2n members, without Python, for short sequences.
+    """
+    seq = _col(seq)
+    if strategy == "arrow":
+        return _orbit_key(seq)
+    return F.when(F.length(seq) == 0, F.lit("")).when(seq.isNotNull(), F.array_min(orbit(seq)))
+
+
+def distinct_orbits(df: DataFrame, seq: str = "seq", strategy: str = "arrow") -> DataFrame:
+    """orbit_key, n_rows and n_sequences (distinct ones) of each orbit that the sequences of df fall into."""
+    keyed = df.where(F.col(seq).isNotNull()).groupBy(F.col(seq).alias("_s")).agg(F.count("*").alias("n"))
+    keyed = keyed.select(orbit_key("_s", strategy).alias("orbit_key"), "n")
+    return keyed.groupBy("orbit_key").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sequences"))
+
+
 def symmetry_stats(seq: Column | str, strategy: str = "sql") -> dict[str, Column]:
     """The six metrics by name."""
     return {

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequence as s
 from .functions import sql
-from .operators import approx, exact, lift, windows
+from .operators import approx, chromosome, exact, lift, rolling, windows
 from .plans import derivation, knowledge, validate, verify
 from .sources import assemblies, fasta, fasta_ranges, files, tables
 
@@ -192,6 +192,18 @@ def symmetry_stats_text(spark: SparkSession, d: str) -> DataFrame:
     return exact.with_symmetry_stats(made).drop("seq")
 
 
+@query("distinct_orbits", f"""with t as (select {D.format('p_partkey')} as seq from part union all select reverse({D.format('s_suppkey')}) from supplier),
+    u as (select distinct seq, unnest(range(0, greatest(length(seq), 1))) as k from t),
+    m as (select seq, substr(seq, k::int + 1) || substr(seq, 1, k::int) as member from u
+      union all select seq, substr(reverse(seq), k::int + 1) || substr(reverse(seq), 1, k::int) from u),
+    f as (select seq, min(member) as orbit_key from m group by seq)
+    select orbit_key, count(*) as n_rows, count(distinct seq) as n_sequences from t join f using (seq) group by 1""")
+def distinct_orbits(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers, whose sequences may be turned ones of each other."""
+    turned = _read(spark, d, "supplier").select(s.reverse(_d("s_suppkey")).alias("seq"))
+    return exact.distinct_orbits(_parts(spark, d).select("seq").union(turned))
+
+
 # Approximate symmetry
 
 
@@ -265,6 +277,19 @@ def dihedral_transforms(spark: SparkSession, d: str) -> DataFrame:
     return approx.transforms(_parts(spark, d)).drop("seq")
 
 
+@query("dmin_chromosomes")
+def dmin_chromosomes(spark: SparkSession, d: str) -> DataFrame:
+    """A sequence of all the letters of a supplier's items, in blocks of 32,768; n * n letters a sequence in SQL, so tests hold it
+    against the other plans."""
+    k = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    letters = F.translate(F.concat(*(F.md5(F.concat(k, F.lit(x))) for x in "abcd")), "0123456789abcdef", "ACGT" * 4)
+    made = _read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", letters.alias("letters"))
+    # Items of one number in one order are written one after the other.
+    alike = made.groupBy("l_suppkey", "l_orderkey", "l_linenumber", "letters").agg(F.count("*").alias("n"))
+    made = alike.select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("place"), F.repeat("letters", F.col("n").cast("int")).alias("seq"))
+    return chromosome.nearest(made, "l_suppkey", size=1 << 15)
+
+
 # Windows
 
 
@@ -304,6 +329,25 @@ def window_table(spark: SparkSession, d: str) -> DataFrame:
     return windows.window_stats(_texts(spark, d))
 
 
+_ROLLING = f"""with s as (select doc_id, {T} as whole from documents),
+    w as (select doc_id, whole, unnest(range(0, length(whole) - 11)) as pos from s where length(whole) >= 12),
+    v as (select doc_id, pos as window_start, substr(whole, pos::int + 1, 12) as seq from w) """
+
+
+@query("window_rolling", _nearest_sql(_ROLLING + "select doc_id::varchar || '/' || window_start::varchar as id, seq from v", "id") + f""", o as (select id, seq, {ORBIT} as orbit_size, {PERIOD} as rotational_period from t)
+    select split_part(id, '/', 1) as replicon_id, count(*) as n_windows, sum(b.d)::bigint as sum_dmin, sum(b.k)::bigint as sum_k, count(*) filter (b.f = 2) as n_rc,
+      sum(orbit_size)::bigint as sum_orbit, sum(rotational_period)::bigint as sum_period, count(*) filter (seq = reverse(seq)) as n_palindromes,
+      count(*) filter (seq = {RC.format('seq')}) as n_fixed, max(split_part(id, '/', 2)::bigint * (b.d + 1)) as largest from m join o using (id) group by 1""")
+def window_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """A window of 12 letters at every letter of every text, summed up for each text."""
+    made = rolling.rolling_stats(_texts(spark, d), 12)
+    return made.groupBy("replicon_id").agg(
+        F.count("*").alias("n_windows"), F.sum("dmin").alias("sum_dmin"), F.sum("nearest_k").alias("sum_k"), F.count_if(F.col("nearest_family") == "RC_SHIFT").alias("n_rc"),
+        F.sum("orbit_size").alias("sum_orbit"), F.sum("rotational_period").alias("sum_period"), F.count_if("is_palindrome").alias("n_palindromes"),
+        F.count_if("is_rc_fixed").alias("n_fixed"), F.max(F.col("window_start") * (F.col("dmin") + 1)).alias("largest"),
+    )
+
+
 # Quaternions: a group for each supplier
 
 _ELEMENTS = """with g as (select distinct s_suppkey + 2 as n from supplier), e as (select n, unnest(range(0, 2 * n)) as k from g),
