@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import datetime
-import functools
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lift, windows
-from ..sources import assemblies, fasta, files, tables
+from ..sources import assemblies, downloads, fasta, files, tables
 from . import knowledge, validate, verify
 
 
@@ -45,31 +43,43 @@ def build_tables(spark: SparkSession, data_dir: str, window_sizes: tuple[int, ..
         tables.write_table(windows.window_summary(made), folder, "approx_symmetry_summary")
 
 
-#: Downloads that run side by side.
-DOWNLOADS = 8
+def _by_driver(urls: DataFrame, folder: str, get) -> list[tuple[str, str]]:
+    failed = []
+    for (url,) in urls.collect():  # at most max_genomes
+        try:
+            get(url, folder)
+        except OSError as e:
+            failed.append((url, str(e)))
+    return failed
 
 
-def fetch(spark: SparkSession, data_dir: str, summary_path: str | None = None, max_genomes: int = 200, seed: int = 42, level: str = "complete genome", get=None) -> DataFrame:
+def _by_tasks(spark: SparkSession, urls: DataFrame, folder: str, per_host: int, how: dict) -> list[tuple[str, str]]:
+    files.put_folder(spark, folder)
+    log = files.scratch(spark, "downloads")
+    downloads.fetched(urls, folder, per_host, **how).write.parquet(log)
+    failed = spark.read.parquet(log).where("error is not null").select("url", "error")
+    return [tuple(r) for r in failed.limit(SHOWN_FAILURES).collect()]
+
+
+#: Files passed over that a run names; the table of downloads has all.
+SHOWN_FAILURES = 100
+
+
+def fetch(spark: SparkSession, data_dir: str, summary_path: str | None = None, max_genomes: int = 200, seed: int = 42, level: str = "complete genome", get=None, per_host: int = downloads.PER_HOST, **how) -> DataFrame:
     """Downloads what the summary (a path or an address) names, reads all raw files, appends the manifest; the files passed over.
 
-    get(url, folder) fetches one file; fasta.download unless another is given.
+    Tasks fetch the files, per_host at a time from a host; how: see downloads.fetched. The summary itself is one file. get(url,
+    folder), if given, fetches each file in the driver instead, for stores and networks that only it reaches.
     """
-    get, about = get or functools.partial(fasta.download, spark), None
+    about = None
     if summary_path:
         if summary_path.startswith(("http://", "https://", "ftp://")):
-            summary_path = get(summary_path, f"{data_dir}/summary")
+            how_one = {k: v for k, v in how.items() if k in ("attempts", "wait", "opened")}
+            summary_path = get(summary_path, f"{data_dir}/summary") if get else fasta.download(spark, summary_path, f"{data_dir}/summary", **how_one)
         about = assemblies.query_assemblies(spark, summary_path, max_genomes, seed, level)
-        urls = [r[0] for r in about.select(assemblies.file_url(F.col("ftp_path"))).collect()]  # at most max_genomes
-
-        def one(url: str) -> str | None:
-            try:
-                get(url, f"{data_dir}/raw")
-            except OSError as e:
-                return f"passed over: {url}: {e}"
-
-        with ThreadPoolExecutor(DOWNLOADS) as pool:
-            for said in filter(None, pool.map(one, urls)):
-                print(said)
+        urls = about.select(assemblies.file_url(F.col("ftp_path")).alias("url"))
+        for url, error in (_by_driver(urls, f"{data_dir}/raw", get) if get else _by_tasks(spark, urls, f"{data_dir}/raw", per_host, how)):
+            print(f"passed over: {url}: {error}")
         about = about.withColumn("assembly_accession", fasta.assembly_of(F.element_at(F.split("ftp_path", "/"), -1)))
     made, passed_over = fasta.ingest(spark, f"{data_dir}/raw", about)
     old = fasta.read_manifest(spark, f"{data_dir}/manifest/manifest.jsonl").select("replicon_id")

@@ -19,6 +19,7 @@ from .functions import sql
 from .operators import approx, chromosome, exact, lift, rolling, windows
 from .plans import derivation, knowledge, validate, verify
 from .sources import assemblies, fasta, fasta_ranges, files, tables
+from .streaming import replicons
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -790,17 +791,30 @@ def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return fasta.read_manifest(spark, path).drop("download_date")
 
 
+@query("stream_manifest", ORACLES["manifest_round_trip"])
+def stream_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest that a stream keeps: half of the files, then all, then a stream begun anew over them."""
+    source, path, checkpoint = (files.scratch(spark, n) for n in ("stream", "manifest", "checkpoint"))
+    made = _fasta_files(spark, d).repartition("file_name")
+    name = F.regexp_extract(F.col("_metadata.file_path"), "file_name=([^/]+)/", 1)
+    first = F.crc32(F.col("file_name").cast("binary")) % 2 == 0
+    for half, at in ((first, checkpoint), (~first, checkpoint), (F.lit(False), checkpoint), (F.lit(False), f"{checkpoint}-2")):
+        made.where(half).write.mode("append").partitionBy("file_name").option("lineSep", "\n").text(source)
+        replicons.stream_manifest(spark, source, path, at, name=name).awaitTermination()
+    return fasta.read_manifest(spark, path).drop("download_date")
+
+
 @query("knowledge_verified", _REPLICONS + """select rule, count(*) as n from (
       select unnest(['provenance_atlas_git_sha', 'provenance_timestamp_utc', 'provenance_pipeline_seed', 'provenance_pipeline_max',
         'provenance_assembly_accession', 'provenance_replicon_id', 'epsilon_nonneg', 'confidence_range', 'validity_holds', 'no_miracles',
         'join_replicon']) as rule from r, range(5)
       union all select unnest(['gc_fraction_range', 'length_positive']) from r) group by rule""")
 def knowledge_verified(spark: SparkSession, d: str) -> DataFrame:
-    """Records written as JSON and read back: every check passes."""
-    made = _replicons(spark, d)
+    """Records written as lines of JSON and read back, numbered: every check passes."""
+    made, path = _replicons(spark, d), files.scratch(spark, "knowledge")
     lines = knowledge.to_lines(knowledge.records(knowledge.export_replicons(made), knowledge.base_provenance(sha="0", timestamp="2000-01-01T00:00:00Z")))
-    numbered = lines.select(F.lit(1).cast("long").alias("record_idx"), "value")
-    found = verify.checks(numbered, made.select("replicon_id"))
+    tables.write_json_lines(lines, "value", path)
+    found = verify.checks(verify.read_lines(spark, path), made.select("replicon_id"))
     return found.where("passed").groupBy("rule").agg(F.count("*").alias("n"))
 
 

@@ -115,7 +115,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows, one for each replicon_id; a path that isn't there gives none."""
     if not exists(spark, path):
         return spark.createDataFrame([], REPLICON)
-    return spark.read.schema(REPLICON).json(path).where("replicon_id is not null").dropDuplicates(["replicon_id"])
+    rows = spark.read.schema(REPLICON).option("recursiveFileLookup", True).json(path)
+    return rows.where("replicon_id is not null").dropDuplicates(["replicon_id"])
 
 
 def write_checksums(sums: DataFrame, path: str) -> None:

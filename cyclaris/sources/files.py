@@ -19,6 +19,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def put_folder(spark: SparkSession, path: str) -> None:
+    """Makes a folder unless it is there."""
+    fs, at = _at(spark, path)
+    fs.mkdirs(at)
+
+
 def put(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> str:
     """Writes one file under a name of its own and gives it its name once it is whole."""
     (fs, part), (_, at) = _at(spark, f"{path}.{uuid.uuid4().hex}.part"), _at(spark, path)
