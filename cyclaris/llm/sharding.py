@@ -1,18 +1,23 @@
 """Resharding by minimum-cost flow: from the sizes of old shards and new capacities to the transfers that move fewest bytes.
 
 The law is `rows`: the new shards' counts are at most one apart. An old shard is a file of the table, or the files in a
-folder shard=N; it has a number, and what it may keep stays in the new shard of that number. What it gives up are its
-smallest rows, as every row that moves counts the same towards the counts and its own bytes towards the cost. The flow
-network has one node for each old and new shard, never one for a row, and its edges cost the bytes of the rows on them:
+folder shard=N, which has that number. What an old shard may keep stays in one new shard, and a new shard keeps rows of one old
+shard at most. Which old shards keep anything is found by a flow first where there are more of them than new shards: a full new
+shard, and one that holds one row more, are units that flow to old shards, at what these then keep. A number in a folder's
+name is fixed; others are free. All that keep nothing count as one. What an old shard gives up are its smallest rows, as every
+row that moves counts the same towards the counts and its own bytes towards the cost. The flow network has one node for each
+new shard and the old shard that stays there, never one for a row, and its edges cost the bytes of the rows on them:
 
     source -> old shard -> new shard of its number -> sink     what stays costs nothing
               old shard -> pool, in blocks of rows             each block at its bytes
               gone -> pool                                     old shards beyond the new ones give up all
               pool -> new shards; new shard -> spare -> sink   the one row more that some new shards hold
 
-Which of the new shards hold one row more is left to the flow. Successive shortest paths solve it on the driver, as its size
-depends on the number of new shards alone. What it takes of the table are counts, bytes and, of each old shard that is too
-large, the bytes of the rows that leave it in any case and of the one that is in question.
+Which of the new shards hold one row more is left to the flow. Successive shortest paths solve both on the driver, as their size
+depends on the number of new shards alone: an old shard of more rows than a new one holds can be no more than they are, and of the
+others only as many as there are new shards, those of most bytes, can be among the best. What the flow takes of the table are
+counts, bytes and, of each old shard that is too large, the bytes of the rows that leave it in any case and of the one that is in
+question.
 
 No text is shuffled. A row's place in its old shard by (size, file, position) comes from a range partitioning of these three
 numbers, for the old shards that give up rows only; the driver gets the first row of each transfer. A task that reads a file
@@ -21,8 +26,9 @@ new shard. A row's slot is its position in its file behind the rows of the files
 
 Defined cases: a null text has no bytes (size 16, CRC-32 zero); repeated rows are placed each on its own; null ids are kept;
 very long texts are rows like others; an empty table gives an empty result; columns besides doc_id and text go along to
-the files that `rewritten` writes, under their own names, but for those that bear the name of a result, which replaces them;
-a table that doesn't come from files is written to files first.
+the files that `rewritten` writes, under their own names, but for those that bear the name of a result or of a working column (`MADE`,
+`HELD`), which replaces them; files outside of shard=N folders, where others are in such, keep nothing; a table that doesn't come from
+files is written to files first.
 """
 
 from __future__ import annotations
@@ -38,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import looked_up, new_path, table, written
 
 SHARDS, OVERHEAD = 40, 16
-#: Old shards at most; of more files several are one. Files up to which their numbers are broadcast.
-OLD_SHARDS, BROADCAST_FILES = 10_000, 100_000
+#: Files up to which their numbers are broadcast.
+BROADCAST_FILES = 100_000
 #: Rows to a part of the range partitioning, and parts at most: the driver gets and broadcasts a row for each.
 PART_ROWS, PARTS = 1 << 20, 50_000
 
@@ -146,10 +152,25 @@ def transfers(counts: dict[int, int], gives: dict[int, list[tuple[int, int]]], s
     return out, int(cost)
 
 
+def keepers(kept: dict[int, tuple[int, int]], shards: int, spare: int) -> list[int]:
+    """Which old shards keep rows, so that the bytes that stay are most; kept: of each the bytes that stay in a new shard, and in
+    one that holds one row more, of which there are `spare`."""
+    net, most = Network(), max((b for _, b in kept.values()), default=0)
+    chosen = {}
+    for kind, n in enumerate((shards - spare, spare)):
+        net.add("source", kind, n, 0)
+        for i, stays in kept.items():
+            chosen[kind, i] = net.add(kind, ("old", i), 1, most - stays[kind])
+    for i in kept:
+        net.add(("old", i), "sink", 1, 0)
+    net.send("source", "sink")
+    return sorted(i for (_, i), e in chosen.items() if not net.edges[e][1])
+
+
 def _filed(docs: DataFrame) -> DataFrame:
     """docs with file and position of each row, written to files first if it doesn't come from any."""
     where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MADE, "_file", "_row", "_no", "_old")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MADE, *HELD)]
     try:
         return docs.select(*kept, *where)
     except AnalysisException:
@@ -158,11 +179,16 @@ def _filed(docs: DataFrame) -> DataFrame:
 
 #: Names of results, which columns of the table can't keep.
 MADE = ("size", "text_crc32", "shard", "slot")
+HELD = ("_file", "_row", "_no", "_old", "_first", "_cuts", "_moves")
 _TEXT = "cast(text as string)"
 _SIZE = f"cast(coalesce(octet_length({_TEXT}), 0) + {OVERHEAD} as bigint) as size"
 _CRC = f"crc32(cast(coalesce({_TEXT}, '') as binary)) as text_crc32"
 
 
+#: The old shard of files without a label, where others have one.
+_NONE = -1
+
+
 def ranked(rows: DataFrame, total: int) -> DataFrame:
     """rows (_old, size, _no, _row; so many) as a table in the shared folder, with _nth, the rank in the old shard by size."""
     spark = rows.sparkSession
@@ -210,24 +236,49 @@ def planned(docs: DataFrame, shards: int = SHARDS) -> Plan:
     files = sizes.groupBy("_file").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     # One row for each file, so one task numbers them.
     number = (F.row_number().over(Window.orderBy("_file")) - 1).alias("_no")
-    own = F.regexp_extract("_file", "/shard=([0-9]{1,9})/", 1)
-    old = F.when(own != "", own.cast("int")).otherwise(F.pmod(F.col("_no"), F.lit(OLD_SHARDS))).alias("_old")
-    files = written(files.select("*", number).select("*", old), "files")
-    about = {r[0]: (r[1], r[2]) for r in files.groupBy("_old").agg(F.sum("n"), F.sum("bytes")).collect()}
-    counts = {i: n for i, (n, _) in about.items()}
-    low = sum(counts.values()) // shards
-    cut = {i: n - low - 1 for i, n in counts.items() if i < shards and n > low}
-    gives = {i: [about[i]] for i in counts if i >= shards}
-    ranks = None
-    if cut or gives:
-        asked = spark.createDataFrame([(i, cut.get(i)) for i in (*cut, *gives)], "_old int, _edge long")
-        numbers = looked_up(sizes, files, "_file").select("_old", "size", "_no", "_row")
-        numbers = numbers.join(F.broadcast(asked.select("_old")), "_old", "left_semi")
-        ranks = ranked(numbers, sum(counts[i] for i in (*cut, *gives)))
+    label = F.regexp_extract("_file", "/shard=([0-9]{1,9})/", 1)
+    files = written(files.select("*", number, F.when(label != "", label.cast("int")).alias("_label")), "numbered-files")
+    total, labels = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("_label")).first()
+    low, spare = divmod(total, shards)
+    # Old shards: by the labels of their folders if there are any, else a file each.
+    unit = F.coalesce("_label", F.lit(_NONE)) if labels else F.col("_no")
+    files = files.withColumn("_unit", unit)
+    units = written(files.groupBy("_unit").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "old-shards")
+    numbers = looked_up(sizes, files, "_file").select(F.col("_unit").alias("_old"), "size", "_no", "_row")
+    # Fewer than there are new shards, as each has more rows than one of these holds.
+    large = {r[0]: (r[1], r[2]) for r in units.where(F.col("n") > low).collect() if r[0] != _NONE and (not labels or r[0] < shards)}
+    edges, ranks = {}, None
+    if large:
+        asked = spark.createDataFrame([(i, n - low - 1) for i, (n, _) in large.items()], "_old int, _edge long")
+        ranks = ranked(numbers.join(F.broadcast(asked.select("_old")), "_old", "left_semi"), sum(n for n, _ in large.values()))
         at_edge = ranks.join(F.broadcast(asked), "_old").where("_nth <= _edge")
         leaving = F.sum(F.when(F.col("_nth") < F.col("_edge"), F.col("size")))
         for i, sure, more in at_edge.groupBy("_old").agg(leaving, F.sum(F.when(F.col("_nth") == F.col("_edge"), F.col("size")))).collect():
-            gives[i] = [(cut[i], sure or 0), (1, more)]
+            edges[i] = sure or 0, more
+    if labels:
+        place = {i: i for (i,) in units.where(F.col("_unit").between(0, shards - 1)).select("_unit").collect()}
+    elif units.count() <= shards:
+        place = {i: i for (i,) in units.select("_unit").collect()}
+    else:
+        small = units.where(F.col("n") <= low).orderBy(F.desc("bytes"), "_unit").limit(shards).collect()
+        kept = {r["_unit"]: (r["bytes"], r["bytes"]) for r in small}
+        kept |= {i: (b - sum(edges[i]), b - edges[i][0]) for i, (_, b) in large.items()}
+        chosen = keepers(kept, shards, spare)
+        free = iter(sorted(set(range(shards)) - set(chosen)))
+        place = {i: i if i < shards else next(free) for i in chosen}
+    placed = F.broadcast(spark.createDataFrame(list(place.items()), "_unit int, _place int"))
+    files = files.join(placed, "_unit", "left").withColumn("_old", F.coalesce("_place", F.lit(shards)))
+    files = written(files.select("_file", "_no", "_old", "_unit", "n", "bytes"), "files")
+    about = {r[0]: (r[1], r[2]) for r in files.groupBy("_old").agg(F.sum("n"), F.sum("bytes")).collect()}
+    counts = {i: n for i, (n, _) in about.items()}
+    gives = {place[i]: [(large[i][0] - low - 1, edges[i][0]), (1, edges[i][1])] for i in large if i in place}
+    if ranks is not None:
+        ranks = ranks.withColumnRenamed("_old", "_unit").join(placed, "_unit").drop("_unit").withColumnRenamed("_place", "_old")
+    if shards in counts:
+        gives[shards] = [about[shards]]
+        gone = looked_up(sizes, files, "_file").where(F.col("_old") == shards).select("_old", "size", "_no", "_row")
+        gone = ranked(gone, counts[shards])
+        ranks = gone if ranks is None else ranks.unionByName(gone)
     moves, cost = transfers(counts, gives, shards)
     first = {t.old: t.new for t in moves if not t.first}
     runs = {i: [] for i in first}

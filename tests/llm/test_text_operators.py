@@ -400,6 +400,56 @@ def test_transfers_move_the_fewest_bytes():
         assert moved == best == cost
 
 
+def fewest_bytes(sizes, shards):
+    """The fewest bytes that move, over all choices of files that stay (one to a new shard at most) and of shards with one row more."""
+    sizes = [sorted(s) for s in sizes]
+    low, spare = divmod(sum(map(len, sizes)), shards)
+    best = math.inf
+    for extra in set(itertools.permutations([1] * spare + [0] * (shards - spare))):
+        for stay in itertools.permutations(range(max(len(sizes), shards)), shards):
+            cap = {i: low + e for i, e in zip(stay, extra)}
+            best = min(best, sum(sum(s[: max(0, len(s) - cap.get(i, 0))]) for i, s in enumerate(sizes)))
+    return best
+
+
+def table_of_files(spark, folder, sizes):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder.mkdir()
+    for i, s in enumerate(sizes):
+        pq.write_table(pa.table({"doc_id": pa.array(range(len(s)), pa.int64()), "text": ["x" * (n - 16) for n in s]}), folder / f"f{i}.parquet")
+    return spark.read.parquet(str(folder))
+
+
+def test_the_files_that_stay_are_chosen_by_bytes(spark, tmp_path):
+    rng = random.Random(7)
+    cases = [([[20, 20], [10_016] * 5, [20, 20], [10_016] * 5, [20, 20], [10_016] * 5], 3)]
+    cases += [([[rng.choice((16, 17, 30, 200, 5_000)) for _ in range(rng.choice((1, 2, 3, 6)))] for _ in range(rng.randint(2, 6))], rng.choice((2, 3))) for _ in range(7)]
+    for n, (sizes, shards) in enumerate(cases):
+        plan = sharding.planned(table_of_files(spark, tmp_path / str(n), sizes), shards)
+        assert plan.bytes == fewest_bytes(sizes, shards)
+        rows = plan.rows(True).unionByName(plan.rows(False)).select("_old", "shard", "size").collect()
+        assert sum(r["size"] for r in rows if r["_old"] != r["shard"]) == plan.bytes and len(rows) == sum(map(len, sizes))
+        counts = collections.Counter(r["shard"] for r in rows)
+        assert max(counts.values()) - min(counts[j] for j in range(shards)) <= 1
+    assert sharding.planned(table_of_files(spark, tmp_path / "first", cases[0][0]), 3).bytes == 120
+
+
+def test_keepers():
+    rng = random.Random(8)
+    for _ in range(100):
+        n, shards = rng.randint(1, 5), rng.randint(1, 5)
+        spare = rng.randrange(shards)
+        kept = {i: (b := rng.randrange(50), b + rng.randrange(5)) for i in range(n)}
+        best = 0
+        for order in itertools.permutations(range(max(n, shards)), shards):
+            best = max(best, sum(kept.get(i, (0, 0))[j < spare] for j, i in enumerate(order)))
+        got = sharding.keepers(kept, shards, spare)
+        assert len(got) == min(n, shards)
+        assert best == max(sum(kept[i][i in more] for i in got) for more in itertools.combinations(got, min(spare, len(got)))) or spare > len(got)
+
+
 def test_rewritten_files_keep_other_columns(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     plan = sharding.rewritten(documents(spark).repartition(4), path, 5)
@@ -437,6 +487,8 @@ def test_only_files_that_lose_rows_are_rewritten(spark, tmp_path, monkeypatch, o
     # The result can be dealt anew: its folders are the old shards then.
     again = sharding.planned(spark.read.parquet(path), shards)
     assert {t.old for t in again.moves} <= set(range(shards))
+    fewer = sharding.planned(spark.read.parquet(path), shards - 1)
+    assert {t.new for t in fewer.moves} == set(range(shards - 1)) and any(t.old == shards - 1 for t in fewer.moves)
 
 
 # Scores
