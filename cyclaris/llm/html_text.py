@@ -2,8 +2,10 @@
 
 A page is read once, from left to right, and cut into blocks at block-level tags; each block knows its text, the share of
 its letters inside links, the share of its words that are stop words (of the list that fits it best), and the elements
-around it. The first pass calls a block good, bad or undecided from these; the second gives undecided blocks the label of
-their nearest decided neighbours. Elements that never hold article text (navigation, footers, forms, adverts, comments and
+around it. The first pass calls a block good, bad or undecided from these. The second looks at what surrounds it: blocks that
+stand alike in the same container are a run, and the run with most good text is the article's; what lies outside of it, in
+runs with little text against it, is bad, as adverts, footers and notices are whatever they are called. Then it gives
+undecided blocks the label of their nearest decided neighbours. Elements that never hold article text (navigation, footers, forms, adverts, comments and
 the like, by tag, role or class) decide their blocks before any rule. An <article> or <main> around a block is one more
 signal for it: fewer stop words are asked for, and on a page without any good block those inside that aren't bad are.
 Where none of the lists fits a page, as in other languages, length and links decide alone.
@@ -52,6 +54,10 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
+#: Elements that are parts of running text: their text stands in what holds them.
+FLOW = frozenset(
+    "address blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre section table tbody td tfoot th thead tr ul".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose open ends outside an end tag inside doesn't reach, and the end tags that reach through them.
 SCOPES = frozenset("table td th caption".split())
@@ -91,6 +97,8 @@ SHORT, LONG = 40, 80
 LOW_STOP, HIGH_STOP, LINKS, FEW_LINKS = 0.10, 0.20, 0.5, 0.2
 #: Share of a page's words under which no list fits it.
 FITTING = 0.05
+#: Letters of good text that a run outside the article's must have against it; outside of an <article> or <main> that holds it.
+RUN_SHARE, OUTSIDE_SHARE = 0.2, 1.0
 
 
 @dataclass
@@ -100,6 +108,7 @@ class Block:
     aside: bool = False
     main: int = 0  # the number of the outermost <article> or <main> around it, or zero
     heading: bool = False
+    run: tuple[int, str] = (0, "")  # the container that it stands in, and the element that it is if that is one itself
     label: str = ""
 
 
@@ -135,10 +144,11 @@ class _Reader:
         self.pieces: list[str] = []
         self.linked, self.link = 0, False  # letters of the block inside links; whether a link is open
         self.asides = self.mains = self.mutes = self.headings = self.inline = 0
-        self.main_number = 0
-        self.about = (False, 0, False)
-        # tag, beside, main, mute, heading, whether a link was open, the place of the block that it is or stands in
-        self.open: list[tuple[str, bool, bool, bool, bool, bool, int]] = []
+        self.main_number = self.containers = 0
+        self.about = (False, 0, False, (0, ""))
+        # tag, beside, main, mute, heading, whether a link was open, the place of the block that it is or stands in, its run
+        # and the container that it is or stands in
+        self.open: list[tuple[str, bool, bool, bool, bool, bool, int, tuple[int, str], int]] = []
         self.scopes, self.total = [Counter()], Counter()
 
     def text(self, text: str) -> None:
@@ -154,17 +164,24 @@ class _Reader:
         if self.pieces:
             text = _WHITE.sub(" ", "".join(self.pieces)).strip()
             if text:
-                aside, main, heading = self.about
-                self.out.append(Block(text, self.linked, aside, main, heading))
+                aside, main, heading, run = self.about
+                self.out.append(Block(text, self.linked, aside, main, heading, run))
             self.pieces, self.linked = [], 0
-        self.about = (self.asides > 0, self.main_number if self.mains else 0, self.headings > 0)
+        run = self.open[-1][7] if self.open else (0, "")
+        self.about = (self.asides > 0, self.main_number if self.mains else 0, self.headings > 0, run)
 
     def enter(self, tag: str, beside: bool, mute: bool) -> None:
         main, heading, block = tag in MAIN, tag in HEADINGS, tag in BLOCK
         if main and not self.mains:
             self.main_number += 1
         base = len(self.open) if block or not self.open else self.open[-1][6]
-        self.open.append((tag, beside, main, mute, heading, self.link, base))
+        run, container = self.open[-1][7:] if self.open else ((0, ""), 0)
+        if block and tag in FLOW:
+            run = (container, "")
+        elif block:
+            self.containers += 1
+            run, container = (container, tag), self.containers
+        self.open.append((tag, beside, main, mute, heading, self.link, base, run, container))
         self.asides, self.mains, self.mutes, self.headings = self.asides + beside, self.mains + main, self.mutes + mute, self.headings + heading
         self.inline += not block
         self.scopes[-1][tag] += 1
@@ -173,7 +190,7 @@ class _Reader:
             self.scopes.append(Counter())
 
     def leave(self) -> str:
-        tag, beside, main, mute, heading, link, _ = self.open.pop()
+        tag, beside, main, mute, heading, link, *_ = self.open.pop()
         if tag in SCOPES:
             self.scopes.pop()
         self.scopes[-1][tag] -= 1
@@ -314,9 +331,34 @@ def first_pass(found: list[Block]) -> None:
                 b.label = "good"
 
 
+def inside_runs(within: list[Block]) -> list[Block]:
+    """Calls bad what lies outside of the article's run, in runs with little good text against it, and gives the other blocks.
+    Headings just before the run, and what is in the same <article> or <main> (in any, if the run is in none), are among these."""
+    letters: Counter = Counter()
+    for b in within:
+        if b.label == "good":
+            letters[b.run] += len(b.text)
+    if not letters:
+        return within
+    best, most = max(letters.items(), key=lambda x: x[1])
+    places = [i for i, b in enumerate(within) if b.label == "good" and b.run == best]
+    first, last, number = places[0], places[-1], within[places[0]].main
+    while first and within[first - 1].heading and within[first - 1].label == "short":
+        first -= 1
+    inside = []
+    for i, b in enumerate(within):
+        own = first <= i <= last or b.run == best or b.main and number in (0, b.main)
+        if own or letters[b.run] >= most * (OUTSIDE_SHARE if number and not b.main else RUN_SHARE):
+            inside.append(b)
+        else:
+            b.label = "bad"
+    return inside
+
+
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks take the labels of their nearest decided neighbours; parts beside the article are no neighbours."""
-    within = [b for b in found if not b.aside]
+    """What lies outside of the article's run is bad; undecided blocks take the labels of their nearest decided neighbours.
+    Such blocks and parts beside the article are no neighbours."""
+    within = inside_runs([b for b in found if not b.aside])
     labels = [b.label for b in within]
     n = len(within)
 
