@@ -9,28 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECK = "array<struct<rule:string,passed:boolean,message:string>>"
-#: What the report lists as rules, by gate.
+#: What the report lists as rules, by gate. The names of rules and gates are fixed by the report's format.
 GATES = {
     "Schema Compliance": {
-        "provenance_present": "Provenance object must exist",
-        "provenance_atlas_git_sha": "Git SHA must be present",
-        "provenance_timestamp_utc": "Timestamp must be present",
-        "provenance_pipeline_seed": "Pipeline seed must be present",
-        "provenance_pipeline_max": "Pipeline max must be present",
-        "provenance_assembly_accession": "Required for replicon_metric",
-        "provenance_replicon_id": "Required for replicon_metric",
-        "epsilon_nonneg": "Error bounds must be >= 0",
-        "confidence_range": "Confidence must be in [0,1]",
-        "validity_holds": "Validity predicate must hold",
+        "provenance_present": "a record says where it comes from",
+        "provenance_atlas_git_sha": "the code's revision is named",
+        "provenance_timestamp_utc": "so is the time of the run",
+        "provenance_pipeline_seed": "and the seed of its sample",
+        "provenance_pipeline_max": "and how many genomes were asked for",
+        "provenance_assembly_accession": "a replicon's record names its assembly",
+        "provenance_replicon_id": "and the replicon",
+        "epsilon_nonneg": "an error bound isn't negative",
+        "confidence_range": "a confidence is a share",
+        "validity_holds": "the metric's own condition is met",
     },
     "Data Integrity": {
-        "gc_fraction_range": "GC fraction in [0,1]",
-        "orbit_ratio_range": "Orbit ratio in [0.25,1]",
-        "dmin_range": "d_min/L in [0,1]",
-        "length_positive": "Sequence length > 0",
-        "join_replicon": "replicon_id must exist in atlas_replicons.csv",
+        "gc_fraction_range": "the share of G and C is one",
+        "orbit_ratio_range": "an orbit has a quarter of all transforms at least",
+        "dmin_range": "a distance by length is a share",
+        "length_positive": "sequences have letters",
+        "join_replicon": "the replicon that a record names is in the replicon table",
     },
-    "Epistemic Invariants": {"no_miracles": "Epsilon cannot decrease without explicit derivation rule"},
+    "Epistemic Invariants": {"no_miracles": "what is derived is no more certain than its sources, unless a rule says why"},
 }
 
 
