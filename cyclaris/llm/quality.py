@@ -6,9 +6,9 @@ the candidates' words decide, so a hash that two windows share by chance changes
 
 The cascade: on a sample each rule's rejections are counted, and its cost is estimated by many evaluations against a rule
 that does nothing; the rules then run in the order of rejections per cost, and a text leaves at the first rule that it
-fails. Costs count in powers of `COST_STEP` from `COST_LEAST` on and ties go by name, so that noise doesn't change the
-order. The order changes the work, never the verdict; `rejected_by` names the rule at which a text left, and is the same in
-every run with the same order. The sample is the first rows that the first input splits give, which reads as many splits as
+fails. Costs count in powers of `COST_STEP` from `COST_LEAST` on and ties go by name, so that little noise doesn't change the
+order; a cost between two powers may fall to either. The order changes the work, never the verdict; `rejected_by` names the
+rule at which a text left, and is the same in every run with the same order. The sample is the first rows that the first input splits give, which reads as many splits as
 it needs: it orders rules and nothing else.
 
 Defined cases: a null or blank text has no words and is rejected by the base rule; a very long text is measured whole (only
