@@ -101,16 +101,16 @@ def test_blocks_and_whole_gzip(tmp_path, size):
 def test_source(spark, tmp_path):
     rng, want = random.Random(3), []
     for i in range(4):
-        text = b">first\n" + b"\n".join(text_of(rng, True) for _ in range(30))
+        text = b">first\n" + b"\n".join(text_of(rng, True) for _ in range(4))
         name = ("a.fna", "b.fa", "c_genomic.fna.gz", "d.fasta.gz")[i]
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / name).write_bytes((text, text, blocks(text, 3000), gzip.compress(text))[i])
         want += [(name.split(".")[0].removesuffix("_genomic"), n, h, s) for n, (h, s) in enumerate(records_of(text), 1)]
     (tmp_path / "in" / "e.fna").write_bytes(b"")
     (tmp_path / "in" / "notes.txt").write_bytes(b">no\nA\n")
-    found = fr.fragments(spark, str(tmp_path / "in"), 4096)
+    found = fr.fragments(spark, str(tmp_path / "in"), 20_000)
     got = [tuple(r)[1:] for r in fr.assembled(found).collect()]
-    assert sorted(got) == sorted(want) and found.rdd.getNumPartitions() > 20
+    assert sorted(got) == sorted(want) and found.rdd.getNumPartitions() > 12
     stats = fr.record_stats(found, fragments=F.count("*")).collect()
     sizes = {(r["assembly_accession"], r["number"]): (r["header"], r["length_bp"], round(r["gc_fraction"], 12)) for r in stats}
     assert sizes == {(a, n): (h, len(s), round((s.count("G") + s.count("C")) / max(1, len(s)), 12)) for a, n, h, s in want}
