@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from cyclaris.llm import bpe, common, katz, packing, quality, secrets, sharding, simhash
@@ -223,6 +224,41 @@ def test_components_of_random_graphs(spark):
             assert got.get(i, i) == min(j for j in range(n) if root[j] == root[i])
 
 
+def _rows_by_task(spark, first_stage: int) -> list[list[int]]:
+    """Shuffled rows that each task read, by stage, from a stage on."""
+    store, out = spark.sparkContext._jsc.sc().statusStore(), []
+    for stage in range(first_stage, first_stage + 500):
+        try:
+            tasks = store.taskList(stage, 0, 10_000)
+        except Py4JJavaError:  # a stage that was skipped
+            continue
+        metrics = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+        out.append([m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined()])
+    return out
+
+
+@pytest.mark.parametrize("hub", [0, 40_000])
+def test_links_of_a_hub_are_dealt_to_many_tasks(spark, hub):
+    """The hub as the smallest and as the largest node, without Spark's own ways around a hot key."""
+    n, settings = 40_000, {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    first = spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        links = spark.range(n + 1).where(F.col("id") != hub).select(F.lit(hub).cast("long").alias("a"), F.col("id").alias("b"))
+        got = components(links, "a", "b").agg(F.count("*"), F.max("component")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert tuple(got) == (n, 0)
+    full = [rows for rows in _rows_by_task(spark, first) if sum(rows) > n // 2 and len(rows) > 1]
+    assert full and all(max(rows) < 3 * sorted(rows)[len(rows) // 2] for rows in full)
+
+
 def test_dedup_keeps_one_of_each_group(spark):
     kept = simhash.deduplicated(documents(spark).repartition(2)).collect()
     fps = {plain_fingerprint(r["text"]) for r in kept}
