@@ -4,12 +4,14 @@ Base measures are computed once per text, by expressions that stay linear (or n
 3-word windows are hashed with their position into one sorted array, neighbours with equal hashes are candidates, and
 the candidates' words decide, so a hash that two windows share by chance changes nothing. No row is ever shuffled.
 
-The cascade: on a sample each rule's rejections are counted, and its cost is estimated by many evaluations against a rule
-that does nothing; the rules then run in the order of rejections per cost, and a text leaves at the first rule that it
-fails. Costs count in powers of `COST_STEP` from `COST_LEAST` on and ties go by name, so that little noise doesn't change the
-order; a cost between two powers may fall to either. The order changes the work, never the verdict; `rejected_by` names the
-rule at which a text left, and is the same in every run with the same order. The sample is the first rows that the first input splits give, which reads as many splits as
-it needs: it orders rules and nothing else.
+The cascade: on a sample each rule's rejections are counted and its evaluations timed, all rules in one job: a row of the
+sample reads the clock, evaluates a rule several times, and reads it again; the shortest of some readings counts, so that
+pauses and first runs don't. Rules then run in the order of rejections per cost, and a text leaves at the first rule that it
+fails. Rules that reject nothing of the sample come last, by name: a text that reaches them is expected to pass them all, so
+their order saves nothing. Costs count in powers of `COST_STEP` from `COST_LEAST` on and ties go by name, so that little noise doesn't
+change the order; a cost between two powers may fall to either. The order changes the work, never the verdict; `rejected_by`
+names the rule at which a text left, and is the same in every run with the same order. The sample is the first rows that the first
+input splits give, which reads as many splits as it needs: it orders rules and nothing else.
 
 Defined cases: a null or blank text has no words and is rejected by the base rule; a very long text is measured whole (only
 the sample leaves it out); repeated rows are judged each on its own; null ids are kept; an empty table gives an empty result; `judged` keeps further columns unless they bear a result's
@@ -19,17 +21,16 @@ name, which then replaces them; `filtered` gives the rows back as they are.
 from __future__ import annotations
 
 import math
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, put, table, written
+from .common import new_path, put, table
 
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: The sample on which rules are timed: so many rows, of texts up to this length. Evaluations of a rule for each row, and
-#: times that they are timed, of which the shortest counts.
-SAMPLE_ROWS, SAMPLE_CHARS, EVALUATIONS, TIMES = 300, 50_000, 30, 2
+#: The sample on which rules are timed: so many rows, of texts up to this length. Evaluations of a rule between two readings
+#: of the clock, and such readings for each row, of which the shortest counts.
+SAMPLE_ROWS, SAMPLE_CHARS, EVALUATIONS, TIMES = 300, 50_000, 4, 3
 #: Seconds of one evaluation below which rules cost the same, and the factor between one cost and the next.
 COST_LEAST, COST_STEP = 5e-6, 4
 
@@ -103,35 +104,33 @@ def sampled(base: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     rows = fine.select(F.to_json(F.struct("*"))).limit(SAMPLE_ROWS).collect()
     spark, path = base.sparkSession, new_path(base.sparkSession, "sample")
     put(spark, path, "\n".join([r[0] for r in rows]))
-    return written(spark.read.schema(fine.schema).json(path).coalesce(1), "sample")
+    return spark.read.schema(fine.schema).json(path).coalesce(1)
 
 
-def _seconds(sample: DataFrame, rule: str) -> tuple[float, int]:
-    """How long so many evaluations of a rule take, and how many rows it rejects."""
-    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(EVALUATIONS))).alias("_i")).agg(F.count_if(F.expr(rule)))
-    took = []
-    for _ in range(TIMES):
-        began = time.perf_counter()
-        rejected = many.first()[0]
-        took.append(time.perf_counter() - began)
-    return min(took), rejected // EVALUATIONS
+def _nanoseconds(rule: str) -> Column:
+    """The shortest time that so many evaluations of a rule take on a row."""
+    clock = "java_method('java.lang.System', 'nanoTime')"
+    run = f"aggregate(sequence(1, {EVALUATIONS}), 0, (_n, _i) -> _n + if({rule}, _i, 0))"
+    readings = [F.expr(f"array(cast({clock} as bigint), cast({run} as bigint), cast({clock} as bigint))") for _ in range(TIMES)]
+    return F.array_min(F.transform(F.array(*readings), lambda x: x[2] - x[0]))
 
 
 def costs(sample: DataFrame, rules: dict[str, str] = RULES) -> dict[str, tuple[float, int]]:
     """Of each rule: the cost of one evaluation in steps, and the rows of the sample that it rejects."""
-    rows = sample.count()
-    idle, out = _seconds(sample, "_i < 0")[0], {}
-    for name, rule in rules.items():
-        took, rejected = _seconds(sample, rule)
-        each = (took - idle) / max(1, rows * EVALUATIONS)
-        out[name] = COST_STEP ** max(0, round(math.log(max(each, COST_LEAST) / COST_LEAST, COST_STEP))), rejected
+    timed = sample.select(_nanoseconds("_i < 0").alias("_idle"), *(F.struct(_nanoseconds(r).alias("ns"), F.expr(r).alias("out")).alias(k) for k, r in rules.items()))
+    sums = [F.struct(F.sum(F.col(k)["ns"] - F.col("_idle")), F.count_if(F.col(k)["out"])).alias(k) for k in rules]
+    found, out = timed.agg(F.count("*").alias("_rows"), *sums).first(), {}
+    for k in rules:
+        ns, rejected = found[k]
+        each = (ns or 0) / 1e9 / max(1, found["_rows"] * EVALUATIONS)
+        out[k] = COST_STEP ** max(0, round(math.log(max(each, COST_LEAST) / COST_LEAST, COST_STEP))), rejected
     return out
 
 
 def ordered_rules(base: DataFrame, rules: dict[str, str] = RULES) -> list[str]:
     """Names of the rules by rejections per cost on a bounded sample, the most rewarding first; ties by name."""
     found = costs(sampled(base, rules), rules)
-    return sorted(rules, key=lambda k: (-found[k][1] / found[k][0], found[k][0], k))
+    return sorted(rules, key=lambda k: (-found[k][1] / found[k][0], k))
 
 
 def first_failed(order: list[str], rules: dict[str, str] = RULES) -> Column:
