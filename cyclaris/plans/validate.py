@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,19 +42,31 @@ def _gives(what: str, found: Column) -> Column:
     return F.concat_ws(" ", F.lit(what), F.col("seq"), F.lit("gives"), found.cast("string"))
 
 
-def operator_checks(df: DataFrame, *keep: str) -> DataFrame:
-    """check_name, passed, message, details (and columns to keep) for each sequence (seq): the relations of the operators."""
+class Operators(NamedTuple):
+    """The four operators whose relations are checked."""
+
+    shift: Callable[[Column, Column | int], Column] = s.shift
+    reverse: Callable[[Column], Column] = s.reverse
+    complement: Callable[[Column], Column] = s.complement
+    rev_comp: Callable[[Column], Column] = s.rev_comp
+
+
+def operator_checks(df: DataFrame, *keep: str, of: Operators = Operators()) -> DataFrame:
+    """check_name, passed, message, details (and columns to keep) for each sequence (seq): the relations of the operators.
+
+    of: operators in place of the engine's own, such as those of a user, or wrong ones that the checks must find.
+    """
     seq, n = F.col("seq"), F.length("seq")
-    wrong = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: s.reverse(s.shift(seq, k)) != s.shift(s.reverse(seq), n - k))
-    both = s.reverse(s.complement(seq))
+    wrong = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: of.reverse(of.shift(seq, k)) != of.shift(of.reverse(seq), n - k))
+    both = of.reverse(of.complement(seq))
     return _long(
         df,
         keep,
         {
-            "shift_cyclic": (s.shift(seq, n) == seq, _gives("a whole turn of", s.shift(seq, n))),
-            "reverse_involution": (s.reverse(s.reverse(seq)) == seq, _gives("two reversals of", s.reverse(s.reverse(seq)))),
-            "complement_involution": (s.complement(s.complement(seq)) == seq, _gives("two complements of", s.complement(s.complement(seq)))),
-            "rc_commutative": ((s.rev_comp(seq) == both) & (s.rev_comp(seq) == s.complement(s.reverse(seq))), _gives("RC and R with K differ: RC of", s.rev_comp(seq))),
+            "shift_cyclic": (of.shift(seq, n) == seq, _gives("a whole turn of", of.shift(seq, n))),
+            "reverse_involution": (of.reverse(of.reverse(seq)) == seq, _gives("two reversals of", of.reverse(of.reverse(seq)))),
+            "complement_involution": (of.complement(of.complement(seq)) == seq, _gives("two complements of", of.complement(of.complement(seq)))),
+            "rc_commutative": ((of.rev_comp(seq) == both) & (of.rev_comp(seq) == of.complement(of.reverse(seq))), _gives("RC and R with K differ: RC of", of.rev_comp(seq))),
             "dihedral_relation": (F.size(wrong) == 0, F.concat(F.lit("reversed shifts differ for k = "), F.array_join(wrong.cast("array<string>"), ", "))),
         },
     )

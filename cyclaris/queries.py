@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import sequence as s
 from .functions import sql
 from .operators import approx, chromosome, exact, lift, rolling, windows
-from .plans import derivation, knowledge, validate, verify
+from .plans import derivation, knowledge, pipeline, validate, verify
 from .sources import assemblies, fasta, fasta_ranges, files, tables
 from .streaming import replicons
 
@@ -497,9 +497,7 @@ def fasta_replicons(spark: SparkSession, d: str) -> DataFrame:
 
 @query("replicon_table", _REPLICONS + "select assembly_accession, replicon_id, replicon_type, length_bp, gc_fraction, taxonomy_id, checksum_sha256 from r")
 def replicon_table(spark: SparkSession, d: str) -> DataFrame:
-    from .plans.pipeline import replicon_table as table
-
-    return table(_replicons(spark, d))
+    return pipeline.replicon_table(_replicons(spark, d))
 
 
 # Knowledge
@@ -818,6 +816,49 @@ def knowledge_verified(spark: SparkSession, d: str) -> DataFrame:
     return found.where("passed").groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query("export_report", _REPLICONS + """, s as (select count(*) as n, count(*) filter (replicon_type = 'PLASMID') as p,
+      count(*) filter (replicon_type = 'CHROMOSOME') as c, 4 * count(*) + count(*) filter (checksum_sha256 <> '') as records from r),
+    runs as (select 'clean' as run, n, 0 as p, 0 as c, records from s union all select 'planted', n, p, c, records from s),
+    t as (select *, 11 * records + 2 * n as checks, 2 * (p + c) as failed from runs)
+    select run, item, value from (select run,
+        unnest(['exit_status', 'exported', 'provenance', 'outcome', 'records', 'checks', 'passed', 'failed',
+          'validity_holds', 'gc_fraction_range', 'length_positive', 'lines']) as item,
+        unnest([(failed > 0)::int::varchar, records::varchar, 'atlas_replicons, maximum 50, seed 7, records ' || records,
+          case when failed > 0 then 'Some checks failed' else 'All checks passed' end,
+          records::varchar, checks::varchar, (checks - failed)::varchar, failed::varchar, nullif(p + c, 0)::varchar, nullif(p, 0)::varchar, nullif(c, 0)::varchar,
+          (least(10, p + c) + least(10, p) + least(10, c))::varchar]) as value from t) where value is not null""")
+def export_report(spark: SparkSession, d: str) -> DataFrame:
+    """Tables to records, provenance file, verification, report and exit status, all through files: as they are, and with faults.
+
+    A replicon has a record for each of four metrics, and one for its checksum if it has one: an empty field of a table is null.
+    """
+    clean, kind = replicon_table(spark, d), F.col("replicon_type")
+    planted = clean.withColumns(
+        {"gc_fraction": F.when(kind == "PLASMID", 1.5).otherwise(F.col("gc_fraction")), "length_bp": F.when(kind == "CHROMOSOME", 0).otherwise(F.col("length_bp"))}
+    )
+    found = []
+    for run, table in (("clean", clean), ("planted", planted)):
+        folder = files.scratch(spark, run)
+        tables.write_table(table, f"{folder}/tables", "atlas_replicons")
+        total = pipeline.export(spark, folder, 50, 7)
+        told = [("exit_status", str(pipeline.verify_file(spark, folder))), ("exported", str(total))]
+        found.append(spark.createDataFrame(told, "item string, value string").withColumn("run", F.lit(run)))
+        about = spark.read.schema("tables_exported array<string>, pipeline_params struct<max: bigint, seed: bigint>, total_records bigint").json(f"{folder}/epistemic/atlas_provenance.json")
+        said = F.format_string("%s, maximum %d, seed %d, records %d", F.array_join("tables_exported", " "), "pipeline_params.max", "pipeline_params.seed", "total_records")
+        found.append(about.select(F.lit("provenance").alias("item"), said.alias("value"), F.lit(run).alias("run")))
+        report = spark.read.text(f"{folder}/epistemic/atlas_knowledge_report.md")
+        named = F.regexp_extract("value", "^(?:###|[*]) ([a-z_]+): ([0-9]+)$", 1)
+        item = F.when(F.col("value").rlike("^## .* checks "), "outcome").when(named != "", named)
+        value = F.regexp_extract("value", "^(?:##|(?:###|[*]) [a-z_]+:) (.*)$", 1)
+        found.append(report.select(item.alias("item"), value.alias("value"), F.lit(run).alias("run")).where("item is not null"))
+        shown = report.agg(F.count_if(F.col("value").startswith("* line ")).cast("string").alias("value"))
+        found.append(shown.select(F.lit("lines").alias("item"), "value", F.lit(run).alias("run")))
+    made = found[0]
+    for more in found[1:]:
+        made = made.unionByName(more)
+    return made
+
+
 # Validation
 
 
@@ -826,6 +867,26 @@ def algebra_checks(spark: SparkSession, d: str) -> DataFrame:
     return validate.operator_checks(_customers(spark, d), "c_custkey").select("c_custkey", "check_name", "passed")
 
 
+@query("algebra_failures", _PARTS + """select p_partkey, o.operators, c.check_name, case
+        when operators = 'late shift' and check_name = 'shift_cyclic' then substr(seq, 2) || substr(seq, 1, 1) = seq
+        when operators = 'late shift' and check_name = 'dihedral_relation'
+          then substr(seq, 2 % length(seq) + 1) || substr(seq, 1, 2 % length(seq)) = seq
+        when operators = 'half complement' and check_name = 'complement_involution' then translate(seq, 'AC', '') = seq
+        when operators = 'half complement' and check_name = 'rc_commutative' then translate(seq, 'GT', '') = seq
+        else true end as passed
+      from t, (select unnest(['late shift', 'half complement']) as operators) o,
+        (select unnest(['shift_cyclic', 'reverse_involution', 'complement_involution', 'rc_commutative', 'dihedral_relation']) as check_name) c""")
+def algebra_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Wrong operators, which the checks must find: a shift that goes one too far, a complement of two letters only."""
+    wrong = {
+        "late shift": validate.Operators(shift=lambda seq, k: s.shift(seq, k + 1)),
+        "half complement": validate.Operators(complement=lambda seq: F.translate(seq, "AC", "TG")),
+    }
+    late, half = (validate.operator_checks(_parts(spark, d), "p_partkey", of=o).withColumn("operators", F.lit(k)) for k, o in wrong.items())
+    told = (F.col("message") == "") == F.col("passed")  # a message for each failure, and for nothing else
+    return late.unionByName(half).where(told).select("p_partkey", "operators", "check_name", "passed")
+
+
 @query("symmetry_checks", _PARTS + "select unnest(['orbit_divides_2n', 'orbit_ratio_bounds', 'dmin_bounds', 'dmin_periodic_zero']) as check_name, count(*) as n, count(*) as n_passed from t group by 1")
 def symmetry_checks(spark: SparkSession, d: str) -> DataFrame:
     found = validate.symmetry_checks(_parts(spark, d))
