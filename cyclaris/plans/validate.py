@@ -154,7 +154,7 @@ def cross_validation(df: DataFrame, spark: SparkSession | None = None, plans: di
     """
     rows = compared(df, plans).select("function_name", F.col("seq").alias("input"), "error", "passed")
     if spark is not None:
-        cover = lift.double_cover(lift.orders(spark, lift.RESULT_ORDERS))
+        cover = lift.double_cover(lift.orders(spark, lift.RESULT_ORDERS), "elements")
         ok = F.col("verified") & (F.col("n_elements") == 4 * F.col("n"))
         rows = rows.unionByName(cover.select(F.lit("verify_double_cover").alias("function_name"), F.col("n").cast("string").alias("input"), F.lit(0.0).alias("error"), ok.alias("passed")))
     counts = rows.rollup("function_name").agg(
