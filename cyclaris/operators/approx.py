@@ -29,21 +29,48 @@ _COMPLEMENT[list(IUPAC.encode())] = list(COMPLEMENT.encode())
 _AT_ONCE = 1 << 20
 
 
+def _transform_length(n: int) -> int:
+    """n if it has small prime factors only; else the least such length that two sequences of n letters fit in."""
+
+    def rest(x: int) -> int:
+        for p in (2, 3, 5, 7):
+            while x % p == 0:
+                x //= p
+        return x
+
+    if n < 64 or rest(n) == 1:
+        return n
+    length = 2 * n
+    while rest(length) > 1:
+        length += 1
+    return length
+
+
 def _nearest(rows: np.ndarray, include_rc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """family, k, distance for sequences of one length, a row of code points each."""
     m, n = rows.shape
     if n == 0:
         zero = np.zeros(m, np.int64)
         return zero, zero, zero
-    flipped = rows[:, ::-1]
-    images = [rows, flipped]
-    if include_rc:
-        images.append(np.where(flipped < 128, _COMPLEMENT[np.minimum(flipped, 127)], flipped))
-    matches = [np.zeros((m, n)) for _ in images]
-    for letter in np.unique(np.concatenate([x.ravel() for x in images])):
-        own = np.conj(np.fft.rfft(rows == letter, axis=1))
-        for total, image in zip(matches, images):
-            total += np.fft.irfft(own * np.fft.rfft(image == letter, axis=1), n, axis=1)
+    size = _transform_length(n)
+    # A reversed sequence has the conjugate spectrum, each frequency turned, and a complement trades letters in pairs: so a transform for
+    # each letter gives the spectra of all images, and sums of products one inverse transform for each family.
+    sums: list = [0.0] * (3 if include_rc else 2)
+    found = set(np.unique(rows).tolist())
+    while found:
+        letter = found.pop()
+        other = int(_COMPLEMENT[letter]) if include_rc and letter < 128 else letter
+        pair = [np.fft.rfft(rows == x, size, axis=1) for x in ([letter] if other == letter else [letter, other])]
+        found.discard(other)
+        for x in pair:
+            sums[0] = sums[0] + (x.real**2 + x.imag**2)
+            sums[1] = sums[1] + x * x
+        if include_rc:
+            sums[2] = sums[2] + len(pair) * (pair[0] * pair[-1])
+    turn = np.exp(-2j * np.pi / size * (np.arange(size // 2 + 1) * (n - 1) % size))
+    matches = [np.fft.irfft(x if i == 0 else np.conj(x) * turn, size, axis=1) for i, x in enumerate(sums)]
+    if size > n:  # the letters that a turn takes round the end
+        matches = [x[:, :n] + x[:, size - n :] for x in matches]
     distance = n - np.rint(np.stack(matches, axis=1)).astype(np.int64)
     distance[:, 0, 0] = n + 1  # the identity
     flat = distance.reshape(m, -1)

@@ -1,13 +1,17 @@
 """The nearest transform of sequences too long for one row's transform, by correlation in blocks.
 
-A sequence comes as fragments. They are cut anew into blocks of B letters, and for each family of transforms and each block of B
-lags a task correlates all blocks of the sequence with the letters that lie so far on (overlap-save: B letters against 2 B). The
-spectra of the blocks are added up before the one inverse transform that a task makes, so a task holds the sequence as
-one byte a letter, spectra of 2 B letters, and nothing that grows with both. What a task gives is one row: the least
-distance among its lags, and the first lag that has it.
+A sequence comes as fragments, and each fragment goes through one shuffle, to the task of its sequence. A sequence of up to `WHOLE`
+blocks of B letters is transformed as one row. A longer one is correlated in blocks: for each family of transforms and each block
+of B lags all blocks of the sequence with the letters that lie so far on (overlap-save: B letters against 2 B). The spectra of
+the blocks are added up before the one inverse transform, so a task holds the sequence as one byte a letter, spectra of
+2 B letters (one row: of `WHOLE` B), and nothing that grows with both.
 
-The work is n / B transforms of 2 B letters for each letter of the alphabet, family and lag block: larger blocks mean less work and more
-memory (about 100 bytes a letter of a block). Results equal approx.nearest_transform, ties included.
+Families and blocks of lags of a sequence are dealt to several tasks, each with a copy of its letters, only as far as it
+has more than its share of the work: the work of all sequences is cut into some `TASKS` parts. So fewer than `TASKS` copies are made
+beyond the letters themselves, however many sequences there are and however long they are.
+
+The work of a long sequence is n / B transforms of 2 B letters for each letter of the alphabet, family and lag block: larger blocks mean
+less work and more memory (about 100 bytes a letter of a block). Results equal approx.nearest_transform, ties included.
 
 Defined cases: letters are bytes, as `fasta_ranges` gives them, any without complement is its own; a sequence without letters has
 (SHIFT, 0, 0); fragments may be of any length, empty ones too, and must have a place that orders them; a null key is a
@@ -21,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .approx import _COMPLEMENT, _decoded
+from .approx import _COMPLEMENT, _decoded, _nearest
 
 BLOCK = 1 << 20
+#: Blocks of a sequence that is transformed as one row.
+WHOLE = 4
+#: Into how many parts the work of all sequences is cut.
+TASKS = 256
 
 
 def blocks(found: DataFrame, key: str, place: str = "place", seq: str = "seq", size: int = BLOCK) -> DataFrame:
@@ -70,24 +78,35 @@ def best_lag(w: np.ndarray, family: int, lag_block: int, size: int) -> tuple[int
 
 def nearest(found: DataFrame, key: str, place: str = "place", seq: str = "seq", include_rc: bool = True, size: int = BLOCK) -> DataFrame:
     """key, length, nearest_family, nearest_k, dmin, dmin_normalized of the sequences whose fragments are given."""
-    cut = blocks(found, key, place, seq, size)
-    lengths = cut.groupBy("key").agg(F.sum(F.length("seq")).cast("long").alias("n"))
-    kind = cut.schema["key"].dataType.simpleString()
-    lags = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / size), F.lit(1)) - 1)
-    families = F.array(*(F.lit(f) for f in range(3 if include_rc else 2)))
-    tasks = lengths.where("n > 0").select(F.col("key").alias("_key"), F.explode(families).alias("f"), "n").withColumn("lag_block", F.explode(lags)).drop("n")
+    rows = found.select(F.col(key).alias("key"), F.col(place).alias("place"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
+    kind = rows.schema["key"].dataType.simpleString()
+    families = 3 if include_rc else 2
+    # A row for each sequence that is dealt to several tasks, fewer than TASKS.
+    m = F.ceil(F.col("n") / size)
+    work = rows.groupBy("key").agg(F.sum(F.length("seq")).cast("long").alias("n")).where(m > WHOLE).select("key", (families * m).alias("pairs"), (families * m * m).cast("double").alias("work"))
+    shares = work.crossJoin(F.broadcast(work.agg(F.sum("work").alias("all"))))
+    parts = F.least(F.col("pairs"), F.ceil(F.col("work") * TASKS / F.col("all")))
+    heavy = shares.select(F.col("key").alias("_key"), parts.alias("parts")).where("parts > 1")
 
     def search(group: pa.Table) -> pa.Table:
-        blocks_of = group.sort_by("block").column("seq").to_pylist()
-        w = np.frombuffer("".join(blocks_of).encode("latin-1", "replace"), np.uint8)
-        f = group.column("f")[0].as_py()
-        d, k = best_lag(w, f, group.column("lag_block")[0].as_py(), size)
-        return pa.table({"key": group.column("key").slice(0, 1).combine_chunks(), "distance": pa.array([d], pa.int64()), "f": pa.array([f], pa.int32()), "k": pa.array([k], pa.int64())})
-
-    dealt = tasks.join(cut, F.col("_key").eqNullSafe(F.col("key"))).select("key", "f", "lag_block", "block", "seq")
-    each = dealt.groupBy("key", "f", "lag_block").applyInArrow(search, f"key {kind}, distance long, f int, k long")
-    best = each.groupBy("key").agg(F.min(F.struct("distance", "f", "k")).alias("b"))
-    made = lengths.join(best.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
+        w = np.frombuffer("".join(group.sort_by("nth").column("seq").to_pylist()).encode("latin-1", "replace"), np.uint8)
+        n, part, parts = len(w), group.column("part")[0].as_py(), group.column("parts")[0].as_py()
+        best = None
+        if 0 < n <= WHOLE * size:
+            f, k, d = (int(x[0]) for x in _nearest(w[None, :].astype(np.uint32), include_rc))
+            best = d, f, k
+        elif n:
+            pairs = [(f, lag_block) for f in range(families) for lag_block in range(-(-n // size))]
+            best = min((d, f, k) for f, lag_block in pairs[part::parts] for d, k in [best_lag(w, f, lag_block, size)])
+        d, f, k = best or (None, None, None)
+        return pa.table({"key": group.column("key").slice(0, 1).combine_chunks(), "n": pa.array([n], pa.int64()), "distance": pa.array([d], pa.int64()), "f": pa.array([f], pa.int32()), "k": pa.array([k], pa.int64())})
+
+    copied = rows.join(F.broadcast(heavy), F.col("key").eqNullSafe(F.col("_key")), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = copied.select("key", "place", "seq", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # Numbered where they are grouped, so that a place may be of any type that Spark orders.
+    placed = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key", "part").orderBy("place"))).drop("place")
+    each = placed.groupBy("key", "part").applyInArrow(search, f"key {kind}, n long, distance long, f int, k long")
+    made = each.groupBy("key").agg(F.max("n").alias("n"), F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "f", "k"))).alias("b"))
     start = F.struct(F.col("n").alias("distance"), F.lit(-1).alias("f"), F.lit(1).cast("long").alias("k"))
     nearest_of = _decoded(F.least(F.coalesce("b", start), start), F.col("n"))
     made = made.select(F.col("key").alias(key), F.col("n").alias("length"), nearest_of.alias("_n"))

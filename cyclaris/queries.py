@@ -284,10 +284,9 @@ def dmin_chromosomes(spark: SparkSession, d: str) -> DataFrame:
     against the other plans."""
     k = F.concat_ws("/", "l_orderkey", "l_linenumber")
     letters = F.translate(F.concat(*(F.md5(F.concat(k, F.lit(x))) for x in "abcd")), "0123456789abcdef", "ACGT" * 4)
-    made = _read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", letters.alias("letters"))
-    # Items of one number in one order are written one after the other.
-    alike = made.groupBy("l_suppkey", "l_orderkey", "l_linenumber", "letters").agg(F.count("*").alias("n"))
-    made = alike.select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("place"), F.repeat("letters", F.col("n").cast("int")).alias("seq"))
+    # Items of one number in one order are written one after the other; their letters are made behind the shuffle.
+    alike = _read(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    made = alike.select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("place"), F.repeat(letters, F.col("n").cast("int")).alias("seq"))
     return chromosome.nearest(made, "l_suppkey", size=1 << 15)
 
 

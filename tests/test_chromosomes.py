@@ -60,3 +60,33 @@ def test_orbit_keys(spark):
     assert all(r["a"] == r["b"] for r in both) and {r["seq"]: r["a"] for r in both}["TGGCA"] == "ACGGT"
     found = {tuple(r) for r in exact.distinct_orbits(df.union(df.limit(1))).collect()}
     assert ("ACGT", 4, 3) in found and exact.distinct_orbits(df.where(F.lit(False))).count() == 0
+
+
+def test_letters_are_shuffled_once(spark, monkeypatch):
+    """Short sequences aren't copied at all, and long ones only as far as there are tasks for the copies."""
+    monkeypatch.setattr(chromosome, "TASKS", 6)
+    rng = random.Random(7)
+    seqs = {f"s{i}": "".join(rng.choices("ACGT", k=50 + i)) for i in range(40)} | {f"l{i}": "".join(rng.choices("ACGTN", k=900 + 50 * i)) for i in range(3)}
+    rows = [(k, i, x) for k, s in seqs.items() for i, x in enumerate(cut(rng, s, 40))]
+    rng.shuffle(rows)
+    made = chromosome.nearest(spark.createDataFrame(rows, "id string, place int, seq string"), "id", size=16)
+    assert {r["id"]: tuple(r)[1:5] for r in made.collect()} == {k: (len(s), *approx.nearest_of([s], True)[0]) for k, s in seqs.items()}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert grouped.count("FlatMapGroupsInArrow") == 1 and "collect_list" not in plan
+    joins = [line for line in grouped.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 1 and "strategy=broadcast" in joins[0]
+
+
+def test_transforms_of_any_length():
+    """Lengths with large prime factors are padded; all equal a plain search."""
+    rng = random.Random(3)
+    for n in (*range(1, 12), 63, 64, 67, 97, 121, 128, 134, 200, 211):
+        assert approx._transform_length(n) == n or n >= 64
+        for letters in ("ACGT", "A", "ANRY", "xAT"):
+            s = "".join(rng.choices(letters, k=n))
+            for rc in (True, False):
+                images = [s, s[::-1]] + [s[::-1].translate(str.maketrans("ACGTRYKMBDHV", "TGCAYRMKVHDB"))] * rc
+                every = [(sum(p != q for p, q in zip(s, x[k:] + x[:k])), f, k) for f, x in enumerate(images) for k in range(n) if f or k]
+                d, f, k = min([(n, -1, 1), *every])
+                assert approx.nearest_of([s], rc) == [(approx.FAMILIES[max(f, 0)], k, d)]
