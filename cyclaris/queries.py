@@ -40,6 +40,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a table of some megabytes is read by one or two, and what is done with
+    each row here takes far longer than to read it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _k(key: str) -> Column:
     return F.translate(F.md5(F.col(key).cast("string")), "0123456789abcdef", "ACGT" * 4)
 
@@ -137,7 +143,7 @@ def orbit_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "part").select("p_partkey", _d("p_partkey").alias("seq"))
+    return _spread(_read(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", _d("p_partkey").alias("seq"))
 
 
 _PARTS = f"with t as (select p_partkey, {D.format('p_partkey')} as seq from part) "
@@ -224,7 +230,7 @@ _FAMILY = "case greatest(b.f, 0) when 0 then 'SHIFT' when 1 then 'REVERSE_SHIFT'
 
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "customer").select("c_custkey", _k("c_custkey").alias("seq"))
+    return _spread(_read(spark, d, "customer").select("c_custkey"), "c_custkey").select("c_custkey", _k("c_custkey").alias("seq"))
 
 
 @query("dmin", _nearest_sql(_CUSTOMERS, "c_custkey") + "select c_custkey, b.d as dmin from m")
@@ -656,7 +662,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     parts = {"record_type": F.concat(lit('"'), kind, lit('"')), "metric_name": F.concat(lit('"'), metric, lit('"')), "value": value, "epsilon": epsilon, "confidence": confidence, "validity": validity, "provenance": prov}
     line = F.concat(lit("{"), F.concat_ws(", ", *(F.concat(lit(f'"{n}": '), v) for n, v in parts.items())), lit("}"))
     line = F.when(k % 23 == 0, '{"record_type": ').when(k % 29 == 0, "  ").otherwise(line)
-    return _read(spark, d, "customer").select(k.alias("record_idx"), line.alias("value"))
+    return _spread(_read(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("record_idx"), line.alias("value"))
 
 
 def _ids(spark: SparkSession) -> DataFrame:
