@@ -4,11 +4,13 @@ A plain or block-gzipped file is cut into ranges of `range_bytes`; one that is g
 read from its middle. A range gives fragments: the header of a record, where the record begins in it, and letters of the
 record, at most `FRAGMENT` a row. A line belongs to the range that its bytes lie in, so a line of any length is read by many
 tasks; only headers are read as a whole, by the range in which they begin. A range looks back at most `HEADER_BYTES` to
-see whether it begins within a header.
+see whether it begins within a header. A task reads one range, or several on end where there are many small ones: at least
+`LEAST_TASKS` tasks are made of them, and none of more than `RANGE_BYTES`.
 
 `fragments` numbers the records over the ranges of each file: what a range begins with belongs to the last record of the ranges
 before it. Measures of records are sums over fragments (`record_stats`), so a chromosome is never one row; `assembled` puts
-sequences together where they may be one.
+sequences together where they may be one. With `folders` the files of a folder count as one, in the order of their names, as
+the part files of a table that was written by many tasks.
 
 Files are read by the tasks themselves, through pyarrow's file systems: any address that these know (file, s3, gs, hdfs). For a
 store that only Spark's readers reach there is `fasta.read_fasta`.
@@ -33,6 +35,8 @@ from .files import scratch
 
 RANGE_BYTES, FRAGMENT, HEADER_BYTES, READ_BYTES = 32 << 20, 1 << 20, 1 << 16, 1 << 20
 ENDINGS = ".fna,.fa,.fasta,.fna.gz,.fa.gz,.fasta.gz"
+#: Tasks that small ranges are dealt to at least, before one reads several.
+LEAST_TASKS = 100
 #: Ranges up to which their table (some 100 bytes a row) is broadcast.
 MOST_RANGES = 300_000
 SCHEMA = "file_path string, range_no long, fragment_no long, heads long, header string, seq string"
@@ -209,12 +213,22 @@ def fragments_of(text: Bytes) -> Iterator[tuple[int, str | None, bytes]]:
     yield from flushed(True)
 
 
+def heads_of(text: Bytes) -> int:
+    """How many headers begin in a range: as many as lines that begin there with >."""
+    last, n = text.before(1)[-1:] or b"\n", 0
+    for chunk in text.own():
+        n += chunk.count(b"\n>") + (last == b"\n" and chunk[:1] == b">")
+        last = chunk[-1:] or last
+    return n
+
+
 @dataclass
-class Range(InputPartition):
+class Ranges(InputPartition):
+    """Ranges of a file on end, from a number on: a range begins at each of `cuts` but the last."""
+
     path: str
     number: int
-    start: int
-    end: int
+    cuts: list[int]
     kind: str
 
 
@@ -233,17 +247,20 @@ class _Reader(DataSourceReader):
         found = [info]
         if info.type == fs.FileType.Directory:
             found = [x for x in store.get_file_info(fs.FileSelector(at, recursive=True)) if x.type == fs.FileType.File and x.base_name.endswith(self.endings)]
-        made = []
+        ranges = []
         for x in sorted(found, key=lambda x: x.path):
             kind = "plain"
             if x.path.endswith(".gz"):
                 with store.open_input_file(x.path) as f:
                     kind = "blocked" if is_blocked(f.read(18)) else "gzipped"
             step = max(1, x.size if kind == "gzipped" else self.range_bytes)
-            made += [Range(x.path, i, a, min(a + step, x.size), kind) for i, a in enumerate(range(0, x.size, step))]
-        return made or [Range("", 0, 0, 0, "plain")]
+            ranges.append((x.path, [*range(0, x.size, step), x.size], kind))
+        most = max(1, RANGE_BYTES // self.range_bytes)
+        each = min(most, max(1, sum(len(cuts) - 1 for _, cuts, _ in ranges) // LEAST_TASKS))
+        made = [Ranges(path, i, cuts[i : i + each + 1], kind) for path, cuts, kind in ranges for i in range(0, len(cuts) - 1, each)]
+        return made or [Ranges("", 0, [], "plain")]
 
-    def read(self, part: Range) -> Iterator:
+    def read(self, part: Ranges) -> Iterator:
         import pyarrow as pa
         from pyarrow import fs
 
@@ -251,20 +268,30 @@ class _Reader(DataSourceReader):
             return
         schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in SCHEMA.split(", "))])
         store, _ = fs.FileSystem.from_uri(self.path)
-        rows, size, heads = [], 0, 0
+        rows, counts = [], []
+
+        def batch(path: str, number: int) -> pa.RecordBatch:
+            """What rows hold, all of one range."""
+            cells = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:])]
+            return pa.RecordBatch.from_arrays([pa.repeat(path, len(rows)), pa.repeat(pa.scalar(number, pa.int64()), len(rows)), *cells], schema=schema)
+
         with store.open_input_file(part.path) as f:
-            text = {"plain": plain, "blocked": blocked, "gzipped": gzipped}[part.kind](f, part.start, part.end)
-            for i, (heads, header, letters) in enumerate(fragments_of(text)):
-                if not self.only_heads:
-                    rows.append((part.path, part.number, i, heads, header, letters.decode(errors="replace")))
+            for number, (start, end) in enumerate(zip(part.cuts, part.cuts[1:]), part.number):
+                text, size = {"plain": plain, "blocked": blocked, "gzipped": gzipped}[part.kind](f, start, end), 0
+                if self.only_heads:
+                    counts.append({"file_path": part.path, "range_no": number, "fragment_no": 0, "heads": heads_of(text)})
+                    continue
+                for i, (heads, header, letters) in enumerate(fragments_of(text)):
+                    rows.append((i, heads, header, letters.decode(errors="replace")))
                     size += len(letters) + 256
-                if size > FRAGMENT:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, size = [], 0
-        if self.only_heads:
-            rows = [(part.path, part.number, 0, heads, None, None)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    if size > FRAGMENT:
+                        yield batch(part.path, number)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(part.path, number)
+                    rows = []
+        if counts:
+            yield pa.RecordBatch.from_pylist(counts, schema=schema)
 
 
 class FastaRanges(DataSource):
@@ -282,15 +309,20 @@ class FastaRanges(DataSource):
         return _Reader(dict(self.options))
 
 
-def fragments(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, endings: str = ENDINGS) -> DataFrame:
+def fragments(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, endings: str = ENDINGS, folders: bool = False) -> DataFrame:
     """file_path, assembly_accession, number (of the record in its file, from 1), header (in a record's first fragment), place (of
-    the fragment in its record, growing) and seq of all FASTA files under path."""
+    the fragment in its record, growing) and seq of all FASTA files under path.
+
+    folders: the files of a folder count as one, in the order of their names, and file_path is the folder's.
+    """
     spark.dataSource.register(FastaRanges)
     source = spark.read.format("fasta_ranges").option("range_bytes", range_bytes).option("endings", endings)
     # A row for each range. Its first records' numbers follow the headers of the ranges before it.
-    ahead = Window.partitionBy("file_path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_replace("file_path", "/[^/]*$", "") if folders else F.col("file_path")
+    order = Window.partitionBy(whole).orderBy("file_path", "range_no")
+    ahead = F.coalesce(F.sum("heads").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = source.option("only_heads", "true").load(path)
-    counted = counted.select("file_path", "range_no", F.coalesce(F.sum("heads").over(ahead), F.lit(0)).alias("ahead"))
+    counted = counted.select("file_path", "range_no", ahead.alias("ahead"), F.row_number().over(order).cast("long").alias("nth"))
     at = scratch(spark, "fasta-ranges")
     counted.write.parquet(at)
     sizes = spark.read.schema(counted.schema).parquet(at)
@@ -298,24 +330,28 @@ def fragments(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, en
     sizes = F.broadcast(sizes) if sizes.count() <= MOST_RANGES else sizes
     rows = source.option("only_heads", "false").load(path).join(sizes, ["file_path", "range_no"])
     name = F.element_at(F.split("file_path", "/"), -1)
-    place = F.struct("range_no", "fragment_no").alias("place")
-    rows = rows.withColumn("number", F.col("ahead") + F.col("heads")).where("number > 0")
+    place = F.struct(F.col("nth").alias("range_no"), "fragment_no").alias("place")
+    rows = rows.withColumn("number", F.col("ahead") + F.col("heads")).where("number > 0").withColumn("file_path", whole)
     return rows.select("file_path", assembly_of(name).alias("assembly_accession"), "number", "header", place, "seq")
 
 
 def record_stats(found: DataFrame, **more: Column) -> DataFrame:
     """file_path, assembly_accession, number, header, length_bp and gc_fraction of each record of fragments; more: further sums or the like
     over a record's fragments. Fragments are summed where they are read, so no sequence is shuffled."""
-    gc = F.sum(F.length("seq") - F.length(F.translate("seq", "GC", "")))
+    gc = F.sum(F.length("seq") - F.length(F.replace(F.replace("seq", F.lit("G")), F.lit("C"))))
     n = F.sum(F.length("seq"))
     made = found.groupBy("file_path", "assembly_accession", "number").agg(F.max("header").alias("header"), n.cast("long").alias("length_bp"), gc.alias("gc"), *(c.alias(k) for k, c in more.items()))
     share = F.when(F.col("length_bp") == 0, 0.0).otherwise(F.col("gc") / F.nullif("length_bp", F.lit(0)))
     return made.withColumn("gc_fraction", share.cast("double")).drop("gc")
 
 
-def assembled(found: DataFrame) -> DataFrame:
-    """file_path, assembly_accession, number, header, seq: the records of fragments as rows, as fasta.records gives them. A record must be
+def sequence() -> Column:
+    """The sequence of a record, as an aggregate over its fragments: beside others in record_stats, so that files are read once. It must be
     under 2 GB, as a row is."""
-    parts = F.sort_array(F.collect_list(F.struct("place", "seq")))
-    made = found.groupBy("file_path", "assembly_accession", "number").agg(F.max("header").alias("header"), F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "seq"))), lambda x: x["seq"]), "")
+
+
+def assembled(found: DataFrame) -> DataFrame:
+    """file_path, assembly_accession, number, header, seq: the records of fragments as rows, as fasta.records gives them."""
+    made = found.groupBy("file_path", "assembly_accession", "number").agg(F.max("header").alias("header"), sequence().alias("seq"))
     return made.select("file_path", "assembly_accession", "number", "header", "seq")

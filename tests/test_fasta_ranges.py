@@ -120,3 +120,31 @@ def test_no_files(spark, tmp_path):
     assert fr.fragments(spark, str(tmp_path)).count() == 0
     (tmp_path / "a.fna").write_bytes(b"no header\n")
     assert fr.assembled(fr.fragments(spark, str(tmp_path / "a.fna"))).count() == 0
+
+
+def test_small_ranges_share_tasks_and_part_files_count_as_one(spark, tmp_path):
+    want = []
+    for i, folder in enumerate(("x", "y")):
+        (tmp_path / folder).mkdir()
+        for part in range(3):
+            records = [(f"h{i}{part}{j}", "ACGT" * (1 + 700 * (j % 2))) for j in range(4)]
+            (tmp_path / folder / f"part-{part}.fa").write_text("".join(f">{h}\n{q}\n" for h, q in records))
+            want += [(folder, 4 * part + j, h, len(q), q) for j, (h, q) in enumerate(records, 1)]
+    parts = fr._Reader({"path": str(tmp_path), "range_bytes": "20"}).partitions()
+    ranges = sum(len(p.cuts) - 1 for p in parts)
+    assert ranges > 1600 and 100 <= len(parts) <= 120
+    found = fr.fragments(spark, str(tmp_path), 20, folders=True)
+    got = fr.record_stats(found, seq=fr.sequence()).select(F.element_at(F.split("file_path", "/"), -1), "number", "header", "length_bp", "seq")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("step", [1, 7, 100])
+def test_headers_are_counted_as_they_are_read(tmp_path, step):
+    from pyarrow import fs
+
+    text, path = b"".join(text_of(random.Random(s)) + b"\n" for s in range(5)), tmp_path / "x.fna"
+    path.write_bytes(text)
+    with fs.LocalFileSystem().open_input_file(str(path)) as f:
+        for a in range(0, len(text), step):
+            one = fr.plain(f, a, min(a + step, len(text)))
+            assert fr.heads_of(one) == max((h for h, _, _ in fr.fragments_of(one)), default=0)
