@@ -38,7 +38,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """record_idx (line number from 1, blank lines counted) and value of the lines under path.
 
     Several files count as one, in the order of their names. Lines are numbered within the pieces in which they are read, and
-    a piece's numbers begin behind the lines of the pieces before it, so that no file has to be in one task.
+    a piece's numbers begin behind the lines of the pieces before it, so that no file has to be in one task. The table of pieces is
+    broadcast (some 200 bytes for each piece, so for each 128 MB at most): no line is shuffled.
     """
     text = spark.read.option("lineSep", "\n").text(path)
     piece = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
@@ -46,22 +47,52 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
     sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return lines.join(sizes, ["file", "start"]).select((F.col("ahead") + F.col("at") - F.col("first") + 1).alias("record_idx"), "value")
+    return lines.join(F.broadcast(sizes), ["file", "start"]).select((F.col("ahead") + F.col("at") - F.col("first") + 1).alias("record_idx"), "value")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """record_idx and record (a VARIANT, null where the line is no JSON object); blank lines are left out."""
     kept = lines.where(F.trim("value") != "")
-    record = F.try_parse_json("value")
-    return kept.select("record_idx", F.when(F.schema_of_variant(record).startswith("OBJECT"), record).alias("record"))
+    # JSON is an object if it begins with a brace; to have the schema of the whole record reckoned takes longer than to parse it.
+    is_object = F.ltrim("value", F.lit(" \t\r\n")).startswith("{")
+    return kept.select("record_idx", F.when(is_object, F.try_parse_json("value")).alias("record"))
 
 
 def _get(path: str) -> Column:
     """A field as VARIANT; an absent one and a JSON null are both null."""
-    v = F.try_variant_get("record", f"$.{path}", "variant")
+    return _there(F.try_variant_get("record", f"$.{path}", "variant"))
+
+
+def _there(v: Column) -> Column:
     return F.when(~F.is_variant_null(v), v)
 
 
+#: What the checks read of a record, of its provenance and of its validity.
+_FIELDS = ("record_type", "metric_name", "value", "epsilon", "confidence", "validity", "provenance")
+_PROVENANCE = ("atlas_git_sha", "timestamp_utc", "pipeline_seed", "pipeline_max", "assembly_accession", "replicon_id")
+_VALIDITY = ("holds", "predicate")
+
+
+def _struct_of(v: Column | str, names: tuple[str, ...]) -> Column:
+    return F.try_variant_get(v, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
+
+
+def _read_once(rows: DataFrame) -> DataFrame:
+    """Rows with what the checks ask of a record as columns: each field is looked up and told apart once, not by every check."""
+    rows = rows.withColumn("_r", _struct_of("record", _FIELDS))
+    rows = rows.withColumns({"_p": _struct_of("_r.provenance", _PROVENANCE), "_v": _struct_of("_r.validity", _VALIDITY)})
+    r = {n: F.col(f"_r.{n}") for n in _FIELDS}
+    made = {
+        "has_provenance": _there(r["provenance"]).isNotNull(), "has_validity": _there(r["validity"]).isNotNull(),
+        "kind": F.try_variant_get(r["record_type"], "$", "string"), "metric": F.try_variant_get(r["metric_name"], "$", "string"),
+        **{n: _number(_there(r[n])) for n in ("value", "epsilon", "confidence")},
+        **{f"blank_{n}": _is_blank(_there(F.col(f"_p.{n}"))) for n in _PROVENANCE if not n.startswith("pipeline")},
+        **{f"has_{n}": _there(F.col(f"_p.{n}")).isNotNull() for n in _PROVENANCE if n.startswith("pipeline")},
+        "has_holds": _there(F.col("_v.holds")).isNotNull(), "holds": F.try_variant_get(_there(F.col("_v.holds")), "$", "boolean"),
+    }
+    return rows.select("record_idx", "record", *(c.alias(f"_{k}") for k, c in made.items()))
+
+
 def _text(path: str) -> Column:
     return F.try_variant_get("record", f"$.{path}", "string")
 
@@ -94,20 +125,19 @@ def _outside(name: Column | str, field: str, allowed: str) -> Column:
 
 
 def provenance_checks() -> Column:
-    prov, always = _get("provenance"), F.lit(True)
-    replicon = _text("record_type") == "replicon_metric"
-    rows = [(always, check(f"provenance_{f}", ~_is_blank(_get(f"provenance.{f}")), f"provenance.{f} is absent or empty")) for f in ("atlas_git_sha", "timestamp_utc")]
-    rows += [(always, check(f"provenance_{f}", _get(f"provenance.{f}").isNotNull(), f"provenance.{f} is absent")) for f in ("pipeline_seed", "pipeline_max")]
+    always, replicon = F.lit(True), F.col("_kind") == "replicon_metric"
+    rows = [(always, check(f"provenance_{f}", ~F.col(f"_blank_{f}"), f"provenance.{f} is absent or empty")) for f in ("atlas_git_sha", "timestamp_utc")]
+    rows += [(always, check(f"provenance_{f}", F.col(f"_has_{f}"), f"provenance.{f} is absent")) for f in ("pipeline_seed", "pipeline_max")]
     rows += [
-        (replicon, check(f"provenance_{f}", ~_is_blank(_get(f"provenance.{f}")), f"provenance.{f} is absent or empty in a replicon's record"))
+        (replicon, check(f"provenance_{f}", ~F.col(f"_blank_{f}"), f"provenance.{f} is absent or empty in a replicon's record"))
         for f in ("assembly_accession", "replicon_id")
     ]
     missing = F.array(check("provenance_present", F.lit(False), "no provenance"))
-    return F.when(prov.isNull(), missing).otherwise(_some(*rows))
+    return F.when(~F.col("_has_provenance"), missing).otherwise(_some(*rows))
 
 
 def bound_checks() -> Column:
-    eps, conf = _number(_get("epsilon")), _number(_get("confidence"))
+    eps, conf = F.col("_epsilon"), F.col("_confidence")
     return F.array(
         check("epsilon_nonneg", eps.isNull() | (eps >= 0), _outside("epsilon", "epsilon", "from 0")),
         check("confidence_range", conf.isNull() | conf.between(0, 1), _outside("confidence", "confidence", "0 to 1")),
@@ -115,21 +145,20 @@ def bound_checks() -> Column:
 
 
 def validity_checks() -> Column:
-    validity, holds = _get("validity"), _get("validity.holds")
-    false = F.try_variant_get(holds, "$", "boolean") == F.lit(False)
+    false = F.col("_holds") == F.lit(False)
     shown = F.concat(
         F.lit("validity.holds is false: "), F.coalesce(_text("metric_name"), F.lit("no metric")), F.lit(" is "),
         F.coalesce(_text("value"), F.lit("absent")), F.lit(", asked for is "), F.coalesce(_text("validity.predicate"), F.lit("nothing")),
     )
     return F.array(
-        F.when(validity.isNull(), check("validity_present", F.lit(False), "no validity"))
-        .when(holds.isNull(), check("validity_holds", F.lit(False), "no validity.holds"))
+        F.when(~F.col("_has_validity"), check("validity_present", F.lit(False), "no validity"))
+        .when(~F.col("_has_holds"), check("validity_holds", F.lit(False), "no validity.holds"))
         .otherwise(check("validity_holds", ~F.coalesce(false, F.lit(False)), shown))
     )
 
 
 def value_checks(orbit_ratio_min: float = 0.25) -> Column:
-    metric, x = _text("metric_name"), _number(_get("value"))
+    metric, x = F.col("_metric"), F.col("_value")
 
     def row(names: tuple[str, ...], rule: str, holds: Column, said: str) -> tuple[Column, Column]:
         return metric.isin(*names) & x.isNotNull(), check(rule, holds, _outside(metric, "value", said))
@@ -148,7 +177,7 @@ def miracle_checks(strict: bool = False) -> Column:
         return F.array(check("no_miracles", F.lit(True), ""))
     sources = F.array_max(F.try_variant_get("record", "$.derivation.source_epsilons", "array<double>"))
     free = _get("derivation").isNull() | _get("derivation.rule").isNotNull() | sources.isNull()
-    own = F.coalesce(_number(_get("epsilon")), F.lit(0.0))
+    own = F.coalesce("_epsilon", F.lit(0.0))
     return F.array(check("no_miracles", free | (own >= sources), "epsilon is below that of a source, and no rule is given"))
 
 
@@ -160,15 +189,16 @@ def checks(lines: DataFrame, replicon_ids: DataFrame | None = None, strict: bool
         provenance_checks(), bound_checks(), validity_checks(), value_checks(orbit_ratio_min), miracle_checks(strict)
     )
     each = F.when(F.col("record").isNull(), broken).otherwise(made).cast(CHECK)
+    found = _read_once(rows).select("record_idx", F.inline(each))
     if replicon_ids is not None:
         known = replicon_ids.select(F.col("replicon_id").alias("_id")).where("_id is not null").distinct().withColumn("_known", F.lit(True))
         asked = F.when(_text("record_type") == "replicon_metric", _text("provenance.replicon_id"))
-        # The ids are as many as there are replicons; Spark broadcasts them where their size allows it.
-        rows = rows.withColumn("_asked", asked).join(known, F.col("_asked") == F.col("_id"), "left")
+        # What is joined are numbers and ids alone, so that no record is shuffled where the ids are too many to broadcast.
+        joined = rows.where("record is not null").select("record_idx", asked.alias("_asked")).join(known, F.col("_asked") == F.col("_id"), "left")
         said = F.concat(F.lit("replicon_id "), F.col("_asked"), F.lit(" isn't in the replicon table"))
-        joined = F.array(check("join_replicon", F.col("_asked").isNull() | F.col("_known").isNotNull(), said)).cast(CHECK)
-        each = F.when(F.col("record").isNull(), each).otherwise(F.concat(each, joined))
-    return rows.select("record_idx", F.inline(each)).select("rule", "passed", "message", "record_idx")
+        one = F.array(check("join_replicon", F.col("_asked").isNull() | F.col("_known").isNotNull(), said)).cast(CHECK)
+        found = found.unionByName(joined.select("record_idx", F.inline(one)))
+    return found.select("rule", "passed", "message", "record_idx")
 
 
 def _kernel_checks(lines: DataFrame) -> DataFrame:
@@ -253,14 +283,17 @@ def unknown_replicons(lines: DataFrame, replicon_ids: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame, lines: DataFrame, generated: str = "") -> tuple[str, bool]:
-    """The report as Markdown, and whether all passed. What comes to the driver are at most ten rows a rule."""
-    found = found.persist()
-    try:
-        s = summary(found, lines).first()
-        counts = [tuple(r) for r in rule_counts(found).collect()]
-        tops = [tuple(r) for r in top_failures(found).select("rule", "record_idx", "message").orderBy("rule", "record_idx").collect()]
-    finally:
-        found.unpersist()
+    """The report as Markdown, and whether all passed. What comes to the driver are at most ten rows a rule.
+
+    Checks are counted by rule in one pass and never kept; a second pass, for the first failures, is only made if there are any.
+    """
+    total = lines.where(F.trim("value") != "").count()
+    by_rule = found.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed")).collect()
+    n, p = sum(r["n"] for r in by_rule), sum(r["passed"] for r in by_rule)
+    rate = lines.sparkSession.range(1).select(F.bround(100 * F.lit(p) / F.greatest(F.lit(n), F.lit(1)), 2)).first()[0]
+    s = (total, n, p, n - p, rate)
+    counts = sorted(((r["rule"], r["n"] - r["passed"]) for r in by_rule if r["n"] > r["passed"]), key=lambda x: (-x[1], x[0]))
+    tops = [tuple(r) for r in top_failures(found).select("rule", "record_idx", "message").orderBy("rule", "record_idx").collect()] if counts else []
     names = ("records", "checks", "passed", "failed", "percent passed")
     out = ["# Check of the knowledge records", "", f"Written {generated}", "", *(f"* {k}: {v}" for k, v in zip(names, s)), ""]
     out += ["## All checks passed", ""] if not s[3] else ["## Some checks failed", ""]

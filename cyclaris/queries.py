@@ -492,7 +492,7 @@ def _fasta_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replicons(spark: SparkSession, d: str) -> DataFrame:
-    return fasta.replicons(fasta.records(_fasta_files(spark, d)))
+    return fasta.replicons(_spread(fasta.records(_fasta_files(spark, d)), "number"))
 
 
 @query("fasta_replicons", _REPLICONS + "select * from r")

@@ -133,6 +133,25 @@ def test_verifier_rules(spark, tmp_path):
     assert not passed and "### json_parse: 2" in text and "* line 12: replicon_id r9 isn't in the replicon table" in text
 
 
+def test_checks_shuffle_no_record(spark, tmp_path):
+    """Lines are numbered and ids are looked up without a record in any shuffle, whatever the ids' number; JSON that is no object fails."""
+    lines = [_record(), " \t" + _record(), '"{"', "[{}]", " {x", "{}"]
+    (tmp_path / "k.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.createDataFrame([("r1",)], "replicon_id string")
+        found = verify.checks(verify.read_lines(spark, str(tmp_path / "k.jsonl")), ids)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in found.where("not passed").select("record_idx", "rule").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "hashpartitioning(_asked" in plan and "hashpartitioning(file" in plan
+    below = plan[plan.index("hashpartitioning(_asked") :].split("\n")[1]
+    assert "record#" not in below.split("AS _asked")[-1] and plan.count("BroadcastHashJoin") == 2
+    assert sorted(i for i, r in got if r == "json_parse") == [3, 4, 5]
+
+
 def test_strict_miracles(spark, tmp_path):
     line = _record(epsilon=0.1, derivation={"source_epsilons": [0.2, 0.05]})
     assert _failures(spark, tmp_path, [line])[0] == []
