@@ -51,11 +51,12 @@ class Operators(NamedTuple):
     rev_comp: Callable[[Column], Column] = s.rev_comp
 
 
-def operator_checks(df: DataFrame, *keep: str, of: Operators = Operators()) -> DataFrame:
+def operator_checks(df: DataFrame, *keep: str, of: Operators | None = None) -> DataFrame:
     """check_name, passed, message, details (and columns to keep) for each sequence (seq): the relations of the operators.
 
     of: operators in place of the engine's own, such as those of a user, or wrong ones that the checks must find.
     """
+    of = of or Operators(s.shift, s.reverse, s.complement, s.rev_comp)
     seq, n = F.col("seq"), F.length("seq")
     wrong = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: of.reverse(of.shift(seq, k)) != of.shift(of.reverse(seq), n - k))
     both = of.reverse(of.complement(seq))
