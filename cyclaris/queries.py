@@ -55,7 +55,7 @@ def _d(key: str) -> Column:
 
 
 def _t(text: str = "text") -> Column:
-    return F.upper(F.regexp_replace(text, "[^ACGTacgt]", ""))
+    return F.upper(F.regexp_replace(text, "[^ACGTacgt]+", ""))
 
 
 K = "translate(md5(cast({} as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -306,7 +306,8 @@ def _window_source(length: int) -> str:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("replicon_id"), _t().alias("seq"))
+    rows = _spread(_read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select(F.col("doc_id").cast("string").alias("replicon_id"), _t().alias("seq"))
 
 
 @query("window_exact", _window_source(24) + f"select doc_id::varchar as replicon_id, 24::bigint as window_length, window_start, {RATIO} as orbit_ratio, seq = reverse(seq) as is_palindrome, seq = {RC.format('seq')} as is_rc_fixed, {ORBIT} as orbit_size from v")

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cyclaris import queries
 from cyclaris.operators import approx, exact, rolling, windows
 
+from .helpers import DATA
+
 ROWS = ("window_start", "orbit_ratio", "is_palindrome", "is_rc_fixed", "orbit_size", "dmin", "dmin_normalized")
 
 
@@ -63,3 +66,28 @@ def test_nothing_to_roll_over(spark):
     with pytest.raises(ValueError):
         rolling.rolling_stats(df, 0)
     assert rolling.rolling_stats(df.select(F.lit(1).alias("replicon_id"), "seq"), 5).schema["replicon_id"].dataType.simpleString() == "int"
+
+
+@pytest.mark.parametrize(("n", "step"), [(1, 1), (5, 1), (5, 3), (12, 20)])
+def test_short_texts_share_a_vector(monkeypatch, n, step):
+    rng = random.Random(n)
+    texts = ["".join(rng.choices("ACGTNé", (9, 9, 9, 9, 1, 1), k=rng.choice([n, n + 1, 3 * n + 7]))) for _ in range(40)]
+    want = [rolling.of_windows(np.frombuffer(x.encode("utf-32-le"), np.uint32), n, step) for x in texts]
+    calls, of_windows = [], rolling.of_windows
+    monkeypatch.setattr(rolling, "of_windows", lambda *a: calls.append(a) or of_windows(*a))
+    got = rolling.of_texts(texts, n, step)
+    assert len(calls) == 1
+    for k in want[0]:
+        assert np.array_equal(np.concatenate([m[k] for m in want]), got[k])
+    assert np.array_equal(got["text"], np.repeat(np.arange(len(texts)), [len(m["at"]) for m in want]))
+
+
+def test_texts_are_taken_by_their_letters():
+    texts = ["a" * 3, "b" * 3, "c" * 9, "d", "e"]
+    assert list(rolling._together(texts, 6)) == [(0, texts[:2]), (2, texts[2:3]), (3, texts[3:])]
+    assert list(rolling._together(texts, 6, 5)) == [(i, [x]) for i, x in enumerate(texts)] and not list(rolling._together([], 6))
+
+
+def test_texts_are_dealt_to_tasks(spark):
+    made = queries._texts(spark, DATA).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(made) > 1 and max(r["n"] for r in made) < sum(r["n"] for r in made)
