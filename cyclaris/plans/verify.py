@@ -50,12 +50,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(F.broadcast(sizes), ["file", "start"]).select((F.col("ahead") + F.col("at") - F.col("first") + 1).alias("record_idx"), "value")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """record_idx and record (a VARIANT, null where the line is no JSON object); blank lines are left out."""
-    kept = lines.where(F.trim("value") != "")
+def _as_records(lines: DataFrame) -> DataFrame:
+    """record_idx and record (a VARIANT, null where the line is no JSON object) of all lines."""
     # JSON is an object if it begins with a brace; to have the schema of the whole record reckoned takes longer than to parse it.
     is_object = F.ltrim("value", F.lit(" \t\r\n")).startswith("{")
-    return kept.select("record_idx", F.when(is_object, F.try_parse_json("value")).alias("record"))
+    return lines.select("record_idx", F.when(is_object, F.try_parse_json("value")).alias("record"))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """record_idx and record (a VARIANT, null where the line is no JSON object); blank lines are left out."""
+    return _as_records(lines.where(F.trim("value") != ""))
 
 
 def _get(path: str) -> Column:

@@ -1031,5 +1031,5 @@ def derivation_closure(spark: SparkSession, d: str) -> DataFrame:
         F.lit('{"record_id": "o'), k, F.lit('", "epsilon": '), (k * 7 % 11 / 16.0).cast("double").cast("string"),
         F.lit(', "derivation": {"sources": ['), F.array_join(names, ", "), F.lit("]"), rule, F.lit("}}"),
     )
-    lines = _read(spark, d, "orders").select(k.alias("record_idx"), line.alias("value"))
+    lines = _spread(_read(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("record_idx"), line.alias("value"))
     return derivation.derivation_checks(lines).select("rule", "record_idx", "passed")

@@ -114,3 +114,23 @@ def test_failures_are_bounded_before_the_shuffle(spark):
     assert "WindowGroupLimit" in made._jdf.queryExecution().executedPlan().toString()
     found = {r["function_name"]: r["failed_cases"] for r in made.collect()}
     assert found["0"] == [f"{i:05d}" for i in range(0, 40, 2)] and found[None] == [f"{i:05d}" for i in range(20)]
+
+
+def test_what_rounds_write_grows_with_the_links(spark, monkeypatch):
+    chains, length = 20, 12
+    records = [record(f"{c}-{i}", 0.5, [f"{c}-{i - 1}", f"{c}-{i // 2}"] if i else None) for c in range(chains) for i in range(length)]
+    records += [record("x", 0.4, ["y", "0-11", "nowhere"]), record("y", 0.4, ["x"]), record("z", 0.6, ["x"]), record("w", 0.45, ["z", "1-0"], "rule"), record("v", 0.1, ["w"])]
+    paths, scratch, partitions = [], derivation.scratch, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(derivation, "scratch", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    at = chains * length
+    ends = {(at + i, "derivation_ends") for i in range(5)}
+    bounds = {(at + i, "no_miracles_chain") for i in (0, 1, 4)}
+    assert failures(spark, records) == ends | bounds | {(at, "derivation_sources")} == plain_failures(records)
+    written = sum(spark.read.parquet(p).count() for p in paths)
+    assert written < 3 * sum(1 + len(r.get("derivation", {}).get("sources", [])) for r in records)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+
+
+def test_links_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(derivation, "PER_TASK", 30)
+    test_random_derivations(spark, 3)
