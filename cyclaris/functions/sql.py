@@ -2,7 +2,8 @@
 
     select t.id, w.* from t, lateral windows(t.seq, 24, 6) w
 
-`windows`, `orbit` and `dihedral_transforms` are SQL all through, so they become generators within the caller's plan.
+`windows`, `orbit` and `dihedral_transforms` are SQL all through, with one generator each, so they become generators within the caller's
+plan. Two generators, one over the other, would be a join of the caller's rows with their own results, and these broadcast.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ _BODIES = {
     "dihedral_transforms(seq STRING) RETURNS TABLE (family STRING, k BIGINT, transformed STRING, distance BIGINT)": (
         "select family, k, transformed, cast(size(filter(zip_with(split(seq, ''), split(transformed, ''), (p, q) -> p <> q), x -> x)) as bigint) from ("
         "select family, k, concat(substr(image, cast(k as int) + 1), substr(image, 1, cast(k as int))) as transformed from ("
-        "select family, image, explode(case when coalesce(length(image), 0) = 0 then cast(array() as array<bigint>) else sequence(0L, greatest(length(image), 1) - 1L) end) as k from ("
-        "select inline(array(struct('SHIFT' as family, seq as image), struct('REVERSE_SHIFT' as family, reverse(seq) as image), "
-        "struct('RC_SHIFT' as family, translate(reverse(seq), 'ACGTRYKMBDHV', 'TGCAYRMKVHDB') as image))))) where family <> 'SHIFT' or k > 0)"
+        "select element_at(array('SHIFT', 'REVERSE_SHIFT', 'RC_SHIFT'), cast(i div length(seq) as int) + 1) as family, i % length(seq) as k, "
+        "case i div length(seq) when 0 then seq when 1 then reverse(seq) else translate(reverse(seq), 'ACGTRYKMBDHV', 'TGCAYRMKVHDB') end as image from ("
+        "select explode(case when coalesce(length(seq), 0) = 0 then cast(array() as array<bigint>) else sequence(1L, greatest(3L * length(seq), 2L) - 1L) end) as i)))"
     ),
     "engine_version() RETURNS STRING": f"'{__version__}'",
 }

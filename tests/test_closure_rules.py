@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cyclaris.functions import sql
-from cyclaris.operators import exact
+from cyclaris.operators import approx, exact
 from cyclaris.plans import derivation, knowledge, validate
 
 
@@ -108,6 +108,17 @@ def test_table_functions(spark):
     assert "ArrowEval" not in spark.sql("select w.* from {t} t, lateral windows(t.seq, 2, 2) w", t=t)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_table_functions_are_no_joins(spark):
+    sql.register(spark)
+    t = spark.createDataFrame([(1, "ACGTN"), (2, ""), (3, None), (4, "A"), (5, "ACGTN"), (6, "AC")], "id int, seq string")
+    for call in ("windows(t.seq, 2, 2)", "orbit(t.seq)", "dihedral_transforms(t.seq)"):
+        plan = spark.sql(f"select t.id, x.* from {{t}} t, lateral {call} x", t=t)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    got = spark.sql("select id, x.family, x.k, x.transformed, x.distance from {t} t, lateral dihedral_transforms(t.seq) x", t=t)
+    want = approx.transforms(t.where("seq <> ''")).drop("seq")
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count() == 2 * (3 * 5 - 1) + 2 + 5
+
+
 def test_failures_are_bounded_before_the_shuffle(spark):
     rows = spark.range(5000).select((F.col("id") % 2).cast("string").alias("function_name"), F.format_string("%05d", "id").alias("input"), F.lit(False).alias("passed"))
     made = validate.first_failures(rows)
