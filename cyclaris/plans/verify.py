@@ -294,7 +294,9 @@ def report(found: DataFrame, lines: DataFrame, generated: str = "") -> tuple[str
     total = lines.where(F.trim("value") != "").count()
     by_rule = found.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed")).collect()
     n, p = sum(r["n"] for r in by_rule), sum(r["passed"] for r in by_rule)
-    rate = lines.sparkSession.range(1).select(F.bround(100 * F.lit(p) / F.greatest(F.lit(n), F.lit(1)), 2)).first()[0]
+    # Counts are longs, also where a number of the driver's would be an int, of which the hundredfold of 21.5 million checks is none.
+    n_long, p_long = (F.lit(v).cast("long") for v in (n, p))
+    rate = lines.sparkSession.range(1).select(F.bround(100 * p_long / F.greatest(n_long, F.lit(1)), 2)).first()[0]
     s = (total, n, p, n - p, rate)
     counts = sorted(((r["rule"], r["n"] - r["passed"]) for r in by_rule if r["n"] > r["passed"]), key=lambda x: (-x[1], x[0]))
     tops = [tuple(r) for r in top_failures(found).select("rule", "record_idx", "message").orderBy("rule", "record_idx").collect()] if counts else []

@@ -133,6 +133,14 @@ def test_verifier_rules(spark, tmp_path):
     assert not passed and "### json_parse: 2" in text and "* line 12: replicon_id r9 isn't in the replicon table" in text
 
 
+def test_report_of_more_checks_than_a_hundredth_of_an_int(spark):
+    n = 2**31 // 100 + 2
+    found = spark.range(n).select(F.lit("a_rule").alias("rule"), (F.col("id") > 0).alias("passed"), F.lit("wrong").alias("message"), F.col("id").alias("record_idx"))
+    text, passed = verify.report(found, spark.createDataFrame([("{}",)], "value string"))
+    assert not passed and f"* checks: {n}\n* passed: {n - 1}\n* failed: 1\n* percent passed: 100.0\n" in text
+    assert verify.report(found.limit(0), spark.createDataFrame([("{}",)], "value string"))[0].count("* percent passed: 0.0") == 1
+
+
 def test_checks_shuffle_no_record(spark, tmp_path):
     """Lines are numbered and ids are looked up without a record in any shuffle, whatever the ids' number; JSON that is no object fails."""
     lines = [_record(), " \t" + _record(), '"{"', "[{}]", " {x", "{}"]
